@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, filter_rows
 from .labelled import fold, labelled_sample
 from .textstats import FEATURES, statistics
 
@@ -118,6 +118,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
     return model
 
 
+def passing(docs: DataFrame, model: AdditiveModel) -> DataFrame:
+    """The rows of ``docs`` whose text scores 0.5 or more, with all columns."""
+
+    def keep(texts: list[bytes | None]) -> list[bool]:
+        return (model.score(np.array([statistics(t)[1] for t in texts]).reshape(-1, len(FEATURES))) >= 0.5).tolist()
+
+    return filter_rows(docs, "text", keep)
+
+
 def quality_scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; one pass without a shuffle.
 

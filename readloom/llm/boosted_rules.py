@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, filter_rows
 from .labelled import labelled_sample
 from .textstats import FEATURES, statistics
 
@@ -116,6 +116,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     return FlatTrees(np.array(feature), np.array(threshold), np.array(value), model.base)
 
 
+def judge(texts: list[bytes | None], model: FlatTrees, threshold: float = 0.5) -> list[tuple]:
+    """(base counts, base_failed, score, kept) of each text."""
+    stats = [statistics(t) for t in texts]
+    p = 1 / (1 + np.exp(-model.margin(np.array([s[1] for s in stats]).reshape(-1, len(FEATURES)))))
+    out = []
+    for (base, _), v in zip(stats, p.tolist(), strict=True):
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        out.append((base, failed, v, not failed and v >= threshold))
+    return out
+
+
+def passing(docs: DataFrame, model: FlatTrees) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all columns."""
+    return filter_rows(docs, "text", lambda texts: [j[3] for j in judge(texts, model)])
+
+
 def quality_rules(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, tree_score and kept of every row; one pass without a shuffle.
 
@@ -129,12 +145,8 @@ def quality_rules(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) ->
     def score(batches):
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                stats = [statistics(t) for t in part.column("_raw").to_pylist()]
-                p = 1 / (1 + np.exp(-model.margin(np.array([s[1] for s in stats]).reshape(-1, len(FEATURES)))))
-                rows = []
-                for i, (base, _), v in zip(part.column("doc_id").to_pylist(), stats, p.tolist(), strict=True):
-                    failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-                    rows.append((i, *base, failed, v, not failed and v >= threshold))
+                judged = judge(part.column("_raw").to_pylist(), model, threshold)
+                rows = [(i, *j[0], *j[1:]) for i, j in zip(part.column("doc_id").to_pylist(), judged, strict=True)]
                 yield batch_of(schema, rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_raw")).mapInArrow(

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -48,6 +49,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """``df``, marked for a broadcast if it has ``most`` rows at most; else the planner shuffles. ``df`` is counted up to there."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def fresh(names: list[str], base: str) -> str:
+    """A column name that is none of ``names``, in any case."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def filter_rows(df: DataFrame, column: str, keep) -> DataFrame:
+    """The rows of ``df``, with all their columns, where ``keep`` (binary values of ``column`` -> booleans) holds."""
+    at = [n.lower() for n in df.columns].index(column.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                yield part.filter(pa.array(keep(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it (file, hdfs, s3, gs, ...)."""
     if "://" not in uri and not uri.startswith("file:"):
