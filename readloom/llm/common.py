@@ -1,17 +1,16 @@
-"""Shared storage, materialisation and text helpers of the llm operators."""
+"""Helpers that the llm operators share; storage is the library's own."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, new_dir, shared_root, store  # noqa: F401 - the operators take them from here
+
 #: The ASCII white space that separates words.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: A word of a text, as a Spark/Java regular expression.
@@ -22,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local master gets a temporary folder of its own; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_readloom_shared", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        spark._readloom_shared = root
-    return root.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh URI under the shared root; nothing is created yet."""
-    return f"{shared_root(spark)}/readloom/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, most: int) -> DataFrame:
     """``df``, marked for a broadcast if it has ``most`` rows at most; else the planner shuffles. ``df`` is counted up to there."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -74,15 +46,6 @@ def filter_rows(df: DataFrame, column: str, keep) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path in it (file, hdfs, s3, gs, ...)."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def task_ids() -> tuple[int, int]:
     """Partition and attempt of the running task."""
     from pyspark import TaskContext
