@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flush_rows, materialise, new_dir, rows_of, store, task_ids
+from .common import batch_of, flush_rows, materialise, new_dir, rows_of, store, task_ids
 from .packing import LENGTH, SEPARATOR, encoder, sequences, tokens, vocabulary_path
 
 ROUNDS = 6
-#: Sequences in a shard file.
+#: Sequences in a shard file, and those that a map task gathers before it sends them on (some 16 MB).
 SHARD = 2048
+GATHER = 8192
 KEY = "readloom"
 
 
@@ -75,51 +76,78 @@ class Feistel:
 def write_shards(seqs: DataFrame, n: int, directory: str, length: int, itemsize: int, key: str = KEY, shard: int = SHARD) -> DataFrame:
     """Write (sequence_id, n, ids) to shards; returns slot, sequence_id, shard, offset, n_ids of every sequence.
 
-    Rows are dealt to tasks by shard number, a run of slots each, so every shard is written by one task in slot order,
-    in one sequential pass that holds one sequence at a time. A short last sequence is stored padded to the stride and
+    Map tasks place their sequences and send them as compressed blocks, one per shard and ``GATHER`` sequences. Shards
+    are dealt to tasks in runs by their number, without sampling: the permutation makes them even. A task holds the
+    blocks of one shard at a time and writes it in slot order. A short last sequence is stored padded to the stride and
     keeps its own n_ids. Files are drafted under the attempt's name and moved whole, so repeated tasks are harmless.
     """
-    perm_schema = pa.schema([("slot", pa.int64()), ("sequence_id", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
+    import zstandard
+
+    stride = length * itemsize
+    block_schema = pa.schema([("shard", pa.int64()), ("slots", pa.binary()), ("seqs", pa.binary()), ("counts", pa.binary()), ("block", pa.binary())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        perm = Feistel(n, key)
+        perm, packer = Feistel(n, key), zstandard.ZstdCompressor(level=6)
+        seqs, counts, ids = [], [], []
+
+        def blocks() -> pa.RecordBatch:
+            slot = perm.slot(np.array(seqs, dtype=np.int64))
+            order = np.argsort(slot)
+            at = slot[order] // shard
+            rows = []
+            for k in np.split(order, np.flatnonzero(at[1:] != at[:-1]) + 1):
+                rows.append((int(slot[k[0]]) // shard, slot[k].tobytes(), np.array(seqs, dtype=np.int64)[k].tobytes(), np.array(counts, dtype=np.int64)[k].tobytes(),
+                             packer.compress(b"".join(ids[i] + bytes(stride - len(ids[i])) for i in k))))
+            return batch_of(block_schema, rows)
+
         for b in batches:
-            if b.num_rows:
-                slots = perm.slot(b.column("sequence_id").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(slots), b.column("sequence_id"), b.column("n"), b.column("ids")], schema=perm_schema)
+            for s, c, raw in rows_of(b, "sequence_id", "n", "ids"):
+                seqs.append(s)
+                counts.append(c)
+                ids.append(raw)
+                if len(seqs) >= GATHER:
+                    yield blocks()
+                    seqs, counts, ids = [], [], []
+        if seqs:
+            yield blocks()
 
-    placed = seqs.select("sequence_id", "n", "ids").mapInArrow(place, "slot long, sequence_id long, n int, ids binary")
     out_schema = pa.schema([(c, pa.int64()) for c in ("slot", "sequence_id", "shard", "offset", "n_ids")])
-    stride = length * itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, attempt = task_ids()
         fs, path = store(directory)
         fs.create_dir(path, recursive=True)
+        held: list[tuple] = []
+
+        def shard_rows() -> Iterator[tuple]:
+            number = held[0][0]
+            numbers = [np.concatenate([np.frombuffer(h[k], dtype=np.int64) for h in held]) for k in (1, 2, 3)]
+            data = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(h[4]), dtype=np.uint8).reshape(-1, stride) for h in held])
+            order = np.argsort(numbers[0])
+            draft = f"{path}/.shard-{number:08d}.{attempt}"
+            with fs.open_output_stream(draft, compression=None) as out:
+                out.write(data[order].tobytes())
+            fs.move(draft, f"{path}/shard-{number:08d}.bin")
+            for slot, seq, count in zip(*(x[order].tolist() for x in numbers), strict=True):
+                yield slot, seq, number, slot % shard * stride, count
 
         def rows() -> Iterator[tuple]:
-            out, now = None, None
-
-            def finish() -> None:
-                if out is not None:
-                    out.close()
-                    fs.move(f"{path}/.shard-{now:08d}.{attempt}", f"{path}/shard-{now:08d}.bin")
-
+            nonlocal held
             for b in batches:
-                for slot, seq, count, ids in rows_of(b, "slot", "sequence_id", "n", "ids"):
-                    at, offset = divmod(slot, shard)
-                    if at != now:
-                        finish()
-                        now = at
-                        out = fs.open_output_stream(f"{path}/.shard-{now:08d}.{attempt}", compression=None)
-                    out.write(ids + bytes(stride - len(ids)))
-                    yield slot, seq, at, offset * stride, count
-            finish()
+                for row in rows_of(b, *block_schema.names):
+                    if held and row[0] != held[0][0]:
+                        yield from shard_rows()
+                        held = []
+                    held.append(row)
+            if held:
+                yield from shard_rows()
 
         yield from flush_rows(out_schema, rows())
 
-    number = F.expr(f"slot div {shard}")
-    laid = placed.repartitionByRange(number).sortWithinPartitions("slot")
+    sent = seqs.select("sequence_id", "n", "ids").mapInArrow(place, "shard long, slots binary, seqs binary, counts binary, block binary")
+    shards = max(1, -(-n // shard))
+    tasks = min(shards, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = sent.repartitionById(tasks, F.expr(f"CAST(shard * {tasks} DIV {shards} AS INT)")).sortWithinPartitions("shard")
     return materialise(laid.mapInArrow(write, "slot long, sequence_id long, shard long, offset long, n_ids long"), "slots")
 
 
