@@ -268,7 +268,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     Alternates large-star and small-star contraction until the set of links stays the same. A hub's minimum is
-    pre-aggregated, and the joins on a hub's key are ordinary shuffled ones that adaptive execution splits.
+    pre-aggregated and stored, so that the join on a hub's key has a plain exchange on either side, which adaptive
+    execution can split.
     """
     links = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -276,10 +277,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: each larger neighbour of a node links to the node's smallest neighbour (itself included)
         near = both(links)
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialise(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: each smaller neighbour of a node, and the node, link to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         links = materialise(small.where("u <> v").distinct(), "links")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
