@@ -67,10 +67,11 @@ CONTAINERS = frozenset("article main".split())
 #: A path is content where its fused ratio is at least this share of the page's mean, weighted by characters.
 THRESHOLD = 0.2
 #: The share of the content's characters that a container must hold.
-MAJORITY = 0.6
+MAJORITY = 0.8
 
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?--!?>|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/<>]*)([^<>]*)>",
+    r"<!--(?:>|->|.*?--!?>|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/<>]*)([^<>]*)>"
+    r"|</?[a-zA-Z][^<>]*\Z",  # a tag that the end of the page cuts off
     re.S,
 )
 _MARKED = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
