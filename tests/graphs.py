@@ -35,13 +35,13 @@ E y a c c2,c2,20,50,splice
 L l1 g1:a g2:b same note:Z:x
 """
 
-BUBBLE = """N 1 c:+:1-2 r1:SO,r2:SO,r3:SO A
-N 2 c:+:3-4 r1:IN,r2:IN C
-N 3 c:+:5-6 r2:IN,r3:IN G
-N 4 c:+:7-8 r1:SI,r2:SI,r3:SI T
-E a 1 2 c,c,2,3,splice
-E b 1 3 c,c,2,5,splice
-E c 2 3 c,c,4,5,splice
-E d 2 4 c,c,4,7,splice
-E e 3 4 c,c,6,7,splice
+BUBBLE = """N node1 c:+:1-2 r1:SO,r2:SO,r3:SO A
+N node2 c:+:3-4 r1:IN,r2:IN C
+N node3 c:+:5-6 r2:IN,r3:IN G
+N node4 c:+:7-8 r1:SI,r2:SI,r3:SI T
+E a node1 node2 c,c,2,3,splice
+E b node1 node3 c,c,2,5,splice
+E c node2 node3 c,c,4,5,splice
+E d node2 node4 c,c,4,7,splice
+E e node3 node4 c,c,6,7,splice
 """

@@ -38,7 +38,7 @@ def test_fasta_path_text_dot(spark):
     g = loads(spark, BUBBLE)
     p = traversal.traverse(g)
     assert text(exports.fasta_lines(g, p))[:2] == [">TSP2530271482", "AGT"]
-    assert "P\tTSP2411872032\t1+\ta+\t2+\tc+\t3+\te+\t4+" in text(exports.path_lines(g, p))
+    assert "P\tTSP2411872032\tnode1+\ta+\tnode2+\tc+\tnode3+\te+\tnode4+" in text(exports.path_lines(g, p))
     assert text(exports.dot_lines(g))[:2] == ["digraph {", '    0 [ label = "0" ]'] and '    2 -> 3 [ label = "4" ]' in text(exports.dot_lines(g))
 
 
