@@ -3,7 +3,8 @@
 Template and text are words (runs of letters and digits, lower case). A window of the text is aligned with a template by
 anchors: words that occur once in both. The longest chain of anchors that increases in both is kept, and the gaps between
 consecutive anchors are aligned in the same way; runs of equal words next to anchors and at the ends count as well.
-Coverage is the share of the template's words that are matched, or of the matched span's where that is longer.
+Coverage is the share of the template's words that are matched, or of the matched span's where that is longer. A match is
+the run of aligned words of highest coverage, so a stray word far from the notice can't lower it.
 
 Windows come first from a bound that loses none: a match with coverage t lies in a stretch of ``STRETCH`` times the
 template's words that has at least t times its words from the template. Only such stretches are aligned, and uniqueness
@@ -123,6 +124,24 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def best_run(at: list[int], size: int) -> tuple[int, int, float]:
+    """(first, last, coverage) of the run of matches of highest coverage, then most matches, then the first.
+
+    ``at``: the matched positions in the text, rising; ``size``: the template's words.
+    """
+    pos = np.asarray(at, dtype=np.int64)
+    best, share = (0, 0), 0.0
+    for p in range(len(pos)):
+        if (len(pos) - p) / size < share:  # no later run has enough matches
+            break
+        count = np.arange(1, len(pos) - p + 1)
+        shares = count / np.maximum(size, pos[p:] - pos[p] + 1)
+        q = len(shares) - 1 - int(shares[::-1].argmax())
+        if shares[q] > share or (shares[q] == share and q > best[1] - best[0]):
+            best, share = (p, p + q), float(shares[q])
+    return *best, share
+
+
 class Scanner:
     """Finds the templates in texts."""
 
@@ -164,8 +183,8 @@ class Scanner:
                 matched = align(template, window.tolist())
                 if not matched:
                     continue
-                first, last = start + matched[0][1], start + matched[-1][1]
-                share = len(matched) / max(len(template), last + 1 - first)
+                p, q, share = best_run([j for _, j in matched], len(template))
+                first, last = start + matched[p][1], start + matched[q][1]
                 if share >= self.coverage:
                     out.append((name, first, last + 1, share))
                     done = last

@@ -27,6 +27,25 @@ def test_align():
     assert len(licenses.align(list("xaybz"), list("xqaybz"))) == 5
 
 
+def plain_coverage(at, size):
+    return max((q - p + 1) / max(size, at[q] - at[p] + 1) for p in range(len(at)) for q in range(p, len(at)))
+
+
+def test_best_run():
+    rng = random.Random(4)
+    for _ in range(200):
+        at, size = sorted(rng.sample(range(40), rng.randint(1, 12))), rng.randint(1, 20)
+        p, q, share = licenses.best_run(at, size)
+        assert share == plain_coverage(at, size) == (q - p + 1) / max(size, at[q] - at[p] + 1)
+
+
+def test_stray_words_after_a_notice():
+    words = licenses.TEMPLATES["MIT"][1].split()
+    cut = " ".join(words[: int(0.87 * len(words))])
+    text = f"start {cut} {'blank ' * 28}Software {'blank ' * 60}"
+    assert [m[0] for m in licenses.Scanner().scan(text)] == ["MIT"]
+
+
 def plain_scan(scanner, text):
     """Every stretch aligned, without the bounds; whether any reaches the coverage."""
     found = licenses.words(text)
@@ -35,7 +54,7 @@ def plain_scan(scanner, text):
     for name, t in scanner.templates:
         k = int(licenses.STRETCH * len(t)) + 1
         for s in range(len(ids)):
-            if ids[s] in t and (m := licenses.align(t, ids[s : s + k])) and len(m) / max(len(t), m[-1][1] + 1 - m[0][1]) >= scanner.coverage:
+            if ids[s] in t and (m := licenses.align(t, ids[s : s + k])) and plain_coverage([j for _, j in m], len(t)) >= scanner.coverage:
                 names.add(name)
     return names
 
