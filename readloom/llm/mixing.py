@@ -2,8 +2,9 @@
 
 Every source is a queue of its documents in shuffled order, repeated at most ``MAX_REPEATS`` times. A document's virtual
 finish time is its source's words up to it divided by the source's target, so at virtual time 1 each source has given
-its target. Rows in order of virtual time interleave the sources in proportion; the mix ends at the total budget, which
-is reached at time 1, and the document that a source is giving at that moment is cut there.
+its target. A global range sort by virtual time interleaves the sources in proportion, running sums give each copy its
+place in the mix, and the mix is truncated at the total budget. The sum of the targets is reached at time 1, so the
+document that a source is giving at that moment is cut there.
 
 The running sums are two-pass: rows are range-sorted by (source, shuffle key), each task sums its own run, and offsets
 come from one total per task and source. A source that holds a third of all rows is spread over many tasks.
@@ -56,8 +57,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return rows.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("shared")).alias("target"))
 
 
-def running(rows: DataFrame, key: list[str], group: str, size: str, name: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``size`` of the rows of the same group that come earlier by ``key``.
+def running(rows: DataFrame, key: list[str], group: str, size: str, name: str, into: str = "before") -> DataFrame:
+    """``rows`` with ``into``: the sum of ``size`` of the rows of the same group that come earlier by ``key``.
 
     ``rows`` must be range-sortable by (group, key); ``size`` is a long.
     """
@@ -84,7 +85,7 @@ def running(rows: DataFrame, key: list[str], group: str, size: str, name: str) -
     order = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = ends.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(order), F.lit(0)).alias("_offset"))
     joined = done.join(offset, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
-    return joined.select(*[F.col(f.name) for f in fields], (F.col("_before") + F.col("_offset")).alias("before"))
+    return joined.select(*[F.col(f.name) for f in fields], (F.col("_before") + F.col("_offset")).alias(into))
 
 
 def shuffle_key(doc_id):
@@ -92,12 +93,10 @@ def shuffle_key(doc_id):
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, hashed: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken, before, source of every row of ``docs`` (doc_id, source, text).
+def queues(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, hashed: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, before of every row of ``docs`` (doc_id, source, text).
 
-    ``taken``: the words that the mix takes of it, over all repeats; ``before``: its source's words that come earlier.
-    A source's documents give exactly the whole words of its target. Null and empty texts have no words and give none.
-    Rows with equal ids are ordered by their size, and equal ones among them share alike only in sum. A null source is a
+    ``before``: its source's words that come earlier. Rows with equal ids are ordered by their size. A null source is a
     source of its own. With ``hashed``, a column hash of the text comes along.
     """
     extra = [F.xxhash64("text").alias("hash")] if hashed else []
@@ -108,24 +107,53 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
     queued = running(sizes, ["shuffle", "doc_id", "size"], "source", "size", "queues")
     # one row per source, a bounded side in any sane corpus, but not proven so: the join is left to the planner
     rows = queued.join(goal, F.col("source").eqNullSafe(F.col("_source")))
-    taken = F.lit(0).cast("long")
-    for k in range(repeats):
-        given = F.floor("target") - (F.col("before") + F.lit(k) * F.col("source_size"))
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), given))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "before", *(["hash"] if hashed else []))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "before", *(["hash"] if hashed else []))
 
 
-def schedule(mixed: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
-    """A row per copy that the mix takes (``copy`` from 0, ``words`` of it) with its virtual ``finish`` time, in (0, 1]."""
-    copies = mixed.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    return copies.withColumn("words", words).where("words > 0").withColumn(
-        "finish", (F.col("before") + F.col("copy") * F.col("source_size") + F.col("words")) / F.col("target"))
+def started(queued: DataFrame):
+    """Whether virtual time 1 finds a document begun; its copies all start later than itself."""
+    return (F.col("size") > 0) & (F.col("before") < F.floor("target"))
 
 
-def in_order(scheduled: DataFrame) -> DataFrame:
-    """The scheduled rows, globally range-sorted by virtual finish time; ties by id and copy."""
-    return scheduled.repartitionByRange("finish", "doc_id", "copy").sortWithinPartitions("finish", "doc_id", "copy")
+def schedule(queued: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
+    """A row per copy begun before virtual time 1 (``copy`` from 0, ``words`` given by then), with its ``finish`` in (0, 1].
+
+    A copy's virtual finish is its source's words up to its end, divided by the source's target. The copy that a source
+    is giving at time 1 is cut there, at a whole word.
+    """
+    copies = queued.where(started(queued)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    start = F.col("before") + F.col("copy") * F.col("source_size")
+    words = F.least(F.col("size"), F.floor("target") - start)
+    return copies.withColumn("words", words).where("words > 0").withColumn("finish", (start + F.col("words")) / F.col("target"))
+
+
+def in_order(scheduled: DataFrame, budget: int | None = None) -> DataFrame:
+    """The scheduled rows with ``offset``, the words of the mix before a row, truncated where the mix has ``budget`` words.
+
+    Rows are globally range-sorted by virtual finish time (ties by id and copy), with two-pass running sums. The default
+    budget is the sum of the targets, which virtual time 1 reaches. ``words`` becomes what the budget leaves of a row;
+    rows beyond it keep zero words.
+    """
+    laid = running(scheduled.withColumn("_all", F.lit(0)), ["finish", "doc_id", "copy"], "_all", "words", "mix", "offset").drop("_all")
+    if budget is None:
+        return laid
+    return laid.withColumn("words", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.lit(budget) - F.col("offset"))))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, budget: int | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_offset of every row of ``docs`` (doc_id, source, text).
+
+    ``taken``: the words that the mix takes of it, over all repeats; ``first_offset``: the words of the mix before its
+    first copy, null where none is taken. Without a smaller ``budget`` a source's documents give exactly the whole words
+    of its target. Null and empty texts have no words and give none. Equal rows share alike only in sum.
+    """
+    queued = queues(docs, weights, repeats)
+    # documents with words differ in (source, before), so the group of a row's copies is the row itself
+    row = ["doc_id", "source", "size", "source_size", "target", "before"]
+    given = in_order(schedule(queued, repeats), budget).groupBy(*row).agg(
+        F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("offset"))).alias("first_offset"))
+    rest = queued.where(~started(queued)).select(*row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_offset"))
+    return given.unionByName(rest).select(*row[:-1], "taken", "first_offset")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -137,7 +165,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     names = docs.columns
     i, c, h = (fresh(names, n) for n in ("_id", "_source", "_hash"))
     key = {i: F.col("doc_id").cast("long"), c: F.col("source").cast("string"), h: F.xxhash64("text")}
-    plan = schedule(mix(docs, weights, repeats, hashed=True), repeats).where("2 * words >= size")
+    plan = schedule(queues(docs, weights, repeats, hashed=True), repeats).where("2 * words >= size")
     plan = materialise(plan.select("doc_id", "source", "hash", "copy", "finish"), "schedule")
     keyed = docs.withColumns(key)
     twice = materialise(keyed.groupBy(i, c, h).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(i, c, h), "repeated")

@@ -58,8 +58,21 @@ def test_skewed_sources_and_caps(spark):
         taken[r.source] += r.taken
         assert r.taken <= 3 * r["size"]
     assert all(abs(taken[s] - target[s]) < 1 for s in size) and any(target[s] == 3 * size[s] for s in size)
-    copies = mixing.in_order(mixing.schedule(mixing.mix(df)))
-    assert copies.agg(F.sum("words")).first()[0] == sum(taken.values()) and copies.where("finish > 1 + 1e-9 or finish <= 0").count() == 0
+    scheduled = mixing.schedule(mixing.queues(df)).collect()
+    assert sum(r.words for r in scheduled) == sum(taken.values()) and all(0 < r.finish <= 1 + 1e-9 for r in scheduled)
+    places, at = {}, 0
+    for r in sorted(scheduled, key=lambda r: (r.finish, r.doc_id, r.copy)):
+        places[r.doc_id, r.copy] = (at, r.words)
+        at += r.words
+    assert {(r.doc_id, r.copy): (r.offset, r.words) for r in mixing.in_order(mixing.schedule(mixing.queues(df))).collect()} == places
+    # a smaller budget ends the mix in the middle of a copy
+    half = at // 2
+    short = {r.doc_id: (r.taken, r.first_offset) for r in mixing.mix(df, budget=half).collect()}
+    assert len(short) == len(rows) and sum(n for n, _ in short.values()) == half
+    for i, (n, first) in short.items():
+        mine = {k: v for k, v in places.items() if k[0] == i}
+        assert n == sum(max(0, min(w, half - o)) for o, w in mine.values())
+        assert first == min((o for o, _ in mine.values() if o < half), default=None)
 
 
 def test_repeated_and_empty_rows(spark):
