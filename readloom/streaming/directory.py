@@ -19,7 +19,7 @@ def watch(spark: SparkSession, directory: str, output: str, checkpoint: str, **t
     A file is one collection. Malformed records are left out. ``trigger`` goes to the stream writer, for example
     availableNow=True. Each batch is written under its own number, so a repeated batch replaces itself.
     """
-    texts = spark.readStream.schema("value string").option("wholetext", True).text(directory).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = spark.readStream.schema("value string").text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def batch(files: DataFrame, number: int) -> None:
         ids = files.select("path", F.row_number().over(_by_path()).alias("n"), "value")
