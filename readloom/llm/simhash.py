@@ -290,11 +290,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, h, fp), and every fingerprint with its group (fp, root, rep: the smallest doc_id that has it)."""
+    """The rows (doc_id, h, fp), and every fingerprint with its group (fp, root, rep: the smallest doc_id that has it).
+
+    Both are stored, as are the groups' minima below: a join on a fingerprint or group that holds a third of all rows
+    then has a plain exchange on either side, which adaptive execution can split.
+    """
     marks = materialise(fingerprints(docs), "fingerprints")
     unique = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "unique")
     linked = components(links(unique)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    return marks, unique.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marks, materialise(unique.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -304,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     link others too; their component_id is null only where no member has an id. Only doc_id and text are read.
     """
     marks, group = grouped(docs)
-    least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = materialise(group.groupBy("root").agg(F.min("rep").alias("component_id")), "minima")
     return marks.join(group.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -317,7 +321,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     marks, group = grouped(docs)
     pairs = materialise(
         marks.groupBy("doc_id", "h", "fp").agg(F.count(F.lit(1)).alias("n")).join(group.select("fp", "root"), "fp"), "pairs")
-    first = pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "h")).alias("first"))
+    first = materialise(pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "h")).alias("first")), "firsts")
     judged = materialise(pairs.join(first, "root").select(
         "doc_id", "h", "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("stays")), "judged")
     names = docs.columns
