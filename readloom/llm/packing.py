@@ -8,7 +8,8 @@ boundary records (the pieces of windows that partitions share) are shuffled.
 
 Token ids are those of a ``tokenizers`` file. A byte-level BPE vocabulary whose ids are its merge ranks gives the same
 ids through ``tiktoken``, at several times the speed; texts with characters beyond the ranges where the two agree on
-letters and white space for certain, and other vocabularies, go through ``tokenizers``.
+letters and white space for certain, texts with a long run of white space, on which ``tiktoken`` panics, and other
+vocabularies go through ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 COMPACT = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 #: Ids in an output batch of stored tokens.
 BATCH_IDS = 1 << 20
+#: White-space characters in a row that ``tiktoken`` isn't given: its pattern's backtracking overflows somewhat below 1,000,000.
+LONG_BLANK = 100_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -55,6 +58,8 @@ class Encoder:
 
     #: Characters outside ASCII text, Latin and Cyrillic letters and common typographic marks.
     _RARE = re.compile("[^\t\n\r -~\u00a1-\u024f\u0400-\u045f\u2010-\u2027\u2030-\u203e]")
+    #: Tried at the start of each run only, so that runs cost no more than their length.
+    _BLANK = re.compile(rf"(?<!\s)\s{{{LONG_BLANK}}}")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -87,7 +92,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.fast is None or self._RARE.search(text):
+        if self.fast is None or self._RARE.search(text) or (len(text) >= LONG_BLANK and self._BLANK.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)

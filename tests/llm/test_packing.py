@@ -28,6 +28,14 @@ def test_ids_are_those_of_the_file(spark, sf_dir, tokenizer):
         assert np.frombuffer(enc.encode(t), enc.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space(spark, tokenizer):
+    enc = packing.Encoder(PATH)
+    for t in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\r\n \t" * 300_000 + "q", "x" + " " * (packing.LONG_BLANK - 1) + "y"):
+        assert np.frombuffer(enc.encode(t), enc.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    rows = [(1, "a b"), (2, "a" + " " * 2_000_000 + "b")]
+    check_pieces(packing.pieces(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, tokenizer)
+
+
 def check_pieces(rows, docs, tokenizer, length=1024):
     streams = {}
     for i, t in docs:
