@@ -8,7 +8,9 @@ its blocks, or else the deepest element that does, which gives content and what
 So short paragraphs and headings of the article are kept.
 
 Elements that are boilerplate by their tag, class, id or role never count: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments of readers. Unclosed tags are tolerated in the manner of browsers.
+adverts, forms, scripts, styles, comments of readers. Class, id and role only mark: a marked element that holds an
+article or main counts, unless it holds readers' comments, and so does one that holds most of the text of a page without
+an article or main outside such elements. Unclosed tags are tolerated in the manner of browsers.
 """
 
 from __future__ import annotations
@@ -53,6 +55,11 @@ NOISE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login social share sharing related "
     "recommended recommendations popup modal overlay widget widgets toolbar pagination pager search contentinfo complementary skip".split()
 )
+#: Those of them whose articles are readers' comments, and first words that only tell of a layout.
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+LAYOUT_WORDS = frozenset("has have no not with without".split())
+#: Elements whose ids are often made from their titles; a section's counts outside articles.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Where the search for an open paragraph stops, and items that close each other.
 P_STOPS = frozenset("table td th button".split())
 ALIKE = (("dt", "dd"), ("td", "th"))
@@ -74,9 +81,9 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^<>]*\Z",  # a tag that the end of the page cuts off
     re.S,
 )
-_MARKED = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_MARKED = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|[\s/\"'])hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"(?<![a-z0-9])[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、،؛؟]")
 _SPACE = re.compile(r"\s+")
 
@@ -86,14 +93,22 @@ def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if tag == "header":
         return not in_article
+    return bool(attrs) and tag not in KEPT_TAGS and bool(_HIDDEN.search(attrs))
+
+
+def _noise_words(tag: str, attrs: str, in_article: bool) -> set[str]:
+    """The last words of an element's class names, id and role that mark boilerplate."""
+    out: set[str] = set()
     if not attrs or tag in KEPT_TAGS:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
+        return out
     for m in _MARKED.finditer(attrs):
-        if not NOISE_WORDS.isdisjoint(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        if m[1].lower() == "id" and (tag in HEADINGS or (tag == "section" and in_article)):
+            continue
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = _WORDS.findall(name)
+            if parts and parts[-1] in NOISE_WORDS and parts[0] not in LAYOUT_WORDS:
+                out.add(parts[-1])
+    return out
 
 
 #: In place of stops: nothing stops the search, or any element that isn't inline does.
@@ -101,20 +116,29 @@ NO_STOPS: frozenset[str] = frozenset()
 BLOCKS: frozenset[str] = frozenset({""})
 
 
+class _Mark:
+    """An element marked as boilerplate by words: the marked one around it, its characters, whether an article lies below."""
+
+    __slots__ = ("up", "comments", "chars", "article", "kept")
+
+    def __init__(self, up, comments):
+        self.up, self.comments, self.chars, self.article, self.kept = up, comments, 0, False, False
+
+
 class _Open:
-    """An open element: its tag path, whether it is boilerplate, and its nearest non-inline node (number, parent, tag)."""
+    """An open element: its tag path, whether it is boilerplate, the nearest mark, and its nearest non-inline node (number, parent, tag)."""
 
-    __slots__ = ("tag", "path", "noise", "node", "depth", "article")
+    __slots__ = ("tag", "path", "noise", "mark", "node", "depth", "article")
 
-    def __init__(self, tag, path, noise, node, depth, article):
-        self.tag, self.path, self.noise, self.node, self.depth, self.article = tag, path, noise, node, depth, article
+    def __init__(self, tag, path, noise, mark, node, depth, article):
+        self.tag, self.path, self.noise, self.mark, self.node, self.depth, self.article = tag, path, noise, mark, node, depth, article
 
 
 class _Stack:
     """The open elements. Counts by tag spare the search for an element that isn't open."""
 
     def __init__(self):
-        self.all = [_Open("", "", False, (0, None, ""), 0, False)]
+        self.all = [_Open("", "", False, None, (0, None, ""), 0, False)]
         self.count: Counter[str] = Counter()
 
     @property
@@ -140,10 +164,34 @@ class _Stack:
                 return
 
 
-
-
 def text_nodes(html: str) -> Iterator[tuple[int, str, tuple, str]]:
     """(block number, tag path, node, text) of the text nodes outside boilerplate, in page order."""
+    marks: list[_Mark] = []
+    found = list(_unmarked(html, marks))
+    if marks:
+        total, clean = 0, False
+        for *_, text, mark, in_article in found:
+            n = len(text.strip())
+            total += n
+            if mark is not None:
+                mark.chars += n
+            elif in_article and n:
+                clean = True
+        for m in reversed(marks):  # those inside come later
+            if m.up is not None:
+                m.up.chars += m.chars
+        for m in marks:
+            m.kept = ((m.article and not m.comments) or (not clean and 2 * m.chars > total)) and (m.up is None or m.up.kept)
+    for number, path, node, text, mark, _ in found:
+        if mark is None or mark.kept:
+            yield number, path, node, text
+
+
+def _unmarked(html: str, marks: list[_Mark]) -> Iterator[tuple[int, str, tuple, str, _Mark | None, bool]]:
+    """The text nodes outside elements that are boilerplate by tag or hidden, with their mark and whether an article holds them.
+
+    ``marks`` takes the marked elements in page order.
+    """
     stack = _Stack()
     block, at, serial, n = 0, 0, 0, len(html)
     while at <= n:
@@ -151,7 +199,7 @@ def text_nodes(html: str) -> Iterator[tuple[int, str, tuple, str]]:
         end = m.start() if m else n
         top = stack.top
         if end > at and not top.noise:
-            yield block, top.path, top.node, html[at:end]
+            yield block, top.path, top.node, html[at:end], top.mark, top.article
         if m is None:
             return
         at = m.end()
@@ -176,13 +224,20 @@ def text_nodes(html: str) -> Iterator[tuple[int, str, tuple, str]]:
             elif tag in CLOSE_OWN:
                 stack.close(next((g for g in ALIKE if tag in g), (tag,)), CLOSE_OWN[tag])
             top = stack.top
-            noise = top.noise or _is_noise(tag, attrs, top.article)
+            noise, mark = top.noise or _is_noise(tag, attrs, top.article), top.mark
+            if not noise and tag in CONTAINERS:
+                while mark is not None and not mark.article:
+                    mark.article, mark = True, mark.up
+                mark = top.mark
+            elif not noise and (marking := _noise_words(tag, attrs, top.article)):
+                mark = _Mark(mark, not marking.isdisjoint(COMMENT_WORDS))
+                marks.append(mark)
             if inline or top.depth >= MAX_DEPTH:
                 path, node, depth = top.path, top.node, top.depth
             else:
                 serial += 1
                 path, node, depth = f"{top.path}/{tag}", (serial, top.node, tag), top.depth + 1
-            stack.push(_Open(tag, path, noise, node, depth, top.article or tag in CONTAINERS))
+            stack.push(_Open(tag, path, noise, mark, node, depth, top.article or tag in CONTAINERS))
 
 
 @lru_cache

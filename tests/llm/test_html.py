@@ -23,6 +23,26 @@ def test_small_pages(html, text):
     assert htmltext.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-menu", "layout sidebar", "search"])
+@pytest.mark.parametrize("wrap", ["article", "main", "section"])
+def test_words_of_wrappers(name, wrap):
+    page = f"<body>{AROUND[0]}<div class='{name}'><div id='{name}'><{wrap}>{BODY}</{wrap}></div></div>{AROUND[1]}</body>"
+    assert htmltext.main_text(page) == WANT
+
+
+def test_ids_of_headings_and_sections():
+    inside = "<section id=search><h2 id='related-work'>Related</h2><p>About it, a line.</p></section><h2 id=notice>Notice</h2><p>And more, again.</p>"
+    page = f"<body>{AROUND[0]}<article>{BODY}{inside}<div class=related>Other, pages.</div><section class='ad-300x90'>Buy, it.</section></article>{AROUND[1]}</body>"
+    assert htmltext.main_text(page) == f"{WANT} Related About it, a line. Notice And more, again."
+
+
+def test_comments_stay_out():
+    comments = "<div class=comments-area id=comments><article><p>A reader, who says this and that, at some length, says it.</p></article></div>"
+    assert htmltext.main_text(f"<main><article>{BODY}</article>{comments}</main>") == WANT
+    assert htmltext.main_text(f"<article>{BODY}</article><div id=comments>{'<p>A long, long comment.</p>' * 50}</div><div class=ad>{'Buy, it. ' * 90}</div>") == WANT
+    assert htmltext.main_text("<div class=ad>t" * 30_000) and htmltext.main_text("<div class=ad>" * 30_000 + "<article>t" * 30_000)
+
+
 def test_deep_and_long_pages_stay_linear():
     assert htmltext.main_text("<div>t" * 30_000 + "</b></x>" * 30_000).count("t") > 29_000
     assert len(htmltext.main_text("<a " * 50_000)) > 0 and htmltext.main_text("<p>w</p>" * 50_000).count("w") == 50_000
