@@ -2,10 +2,9 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the characters and the punctuation of its
 nodes; both ratios (per node) are smoothed with those of the paths below the same parent, fused by a product, and the
-paths above a share of the page's weighted mean are content. Content then pulls in its surroundings: the container
-under which most of the content's characters lie is the deepest article or main element that holds them, which gives all
-its blocks, or else the deepest element that does, which gives content and what stands beside content below one parent.
-So short paragraphs and headings of the article are kept.
+paths above a share of the page's weighted mean are content, all of which is returned. Content also pulls in its
+surroundings: an article or main element that holds any gives all its blocks, and the deepest element that holds all of
+it gives what stands beside content, or beside what holds content, below one parent. So short paragraphs and headings of the article are kept.
 
 Elements that are boilerplate by their tag, class, id or role never count: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments of readers. Class, id and role only mark: a marked element that holds an
@@ -73,8 +72,6 @@ CONTAINERS = frozenset("article main".split())
 
 #: A path is content where its fused ratio is at least this share of the page's mean, weighted by characters.
 THRESHOLD = 0.2
-#: The share of the content's characters that a container must hold.
-MAJORITY = 0.8
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?--!?>|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/<>]*)([^<>]*)>"
@@ -297,18 +294,21 @@ def main_text(html: str | None) -> str:
         if k and k in held:
             up = nodes[k][1][0]
             held[up] = held.get(up, 0) + held[k]
-    least = MAJORITY * held.get(0, 0)
-    major = [k for k, v in held.items() if v >= least]
-    # nested nodes that hold the majority: the last one opened is the deepest
-    articles = [k for k in major if nodes[k][2] in CONTAINERS]
-    chosen = max(articles or [k for k in major if nodes[k][2] not in LEAF_BLOCKS], default=0)
-    inside = {}
+    # nested nodes that hold all content: the last one opened is the deepest
+    chosen = max((k for k, v in held.items() if v == held[0] and nodes[k][2] not in LEAF_BLOCKS), default=0)
+    inside: dict[int, bool] = {}
+    whole: dict[int, bool] = {}
     for k in sorted(nodes):
-        inside[k] = k == chosen or (k > 0 and inside[nodes[k][1][0]])
-    parents = {c.rpartition("/")[0] for c in content}
+        up = nodes[k][1][0] if k else 0
+        inside[k] = k == chosen or (k > 0 and inside[up])
+        whole[k] = (k in held and nodes[k][2] in CONTAINERS) or (k > 0 and whole[up])
+    above: set[str] = set()
+    for c in content:
+        while c and (c := c.rpartition("/")[0]) not in above:
+            above.add(c)
     return " ".join(
         text for path, node, text in clean
-        if inside[node[0]] and (articles or path in content or path.rpartition("/")[0] in parents)
+        if path in content or whole[node[0]] or (inside[node[0]] and path.rpartition("/")[0] in above)
     )
 
 

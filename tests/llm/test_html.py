@@ -43,6 +43,21 @@ def test_comments_stay_out():
     assert htmltext.main_text("<div class=ad>t" * 30_000) and htmltext.main_text("<div class=ad>" * 30_000 + "<article>t" * 30_000)
 
 
+LONG = "<p>A long, long line of the text, which goes on and on.</p>"
+
+
+@pytest.mark.parametrize(("html", "starts", "n"), [
+    (f"<div class=post><h1>Title</h1><div class=lead>{LONG}</div><div class=text>{LONG * 9}</div></div>", "Title A long", 10),
+    (f"<div><div>{LONG * 8}</div><div>{LONG}</div><div>{LONG}</div></div>", "A long", 10),
+    (f"<main><h1>Title</h1><article>{LONG * 17}</article><article>{LONG * 3}</article></main>", "Title A long", 20),
+    (f"<main><h1>Title</h1><article>{LONG * 5}</article></main>", "Title A long", 5),
+    (f"<div><article>{LONG * 9}<ul><li>b</ul></article><article><h2>c</h2>{LONG}</article></div>", "A long", 10),
+])
+def test_all_content_is_returned(html, starts, n):
+    got = htmltext.main_text(f"<body>{AROUND[0]}{html}{AROUND[1]}</body>")
+    assert got.startswith(starts) and got.count("long line") == n and (" b" in got and " c " in got) == ("<li>b" in html)
+
+
 def test_deep_and_long_pages_stay_linear():
     assert htmltext.main_text("<div>t" * 30_000 + "</b></x>" * 30_000).count("t") > 29_000
     assert len(htmltext.main_text("<a " * 50_000)) > 0 and htmltext.main_text("<p>w</p>" * 50_000).count("w") == 50_000
