@@ -6,6 +6,9 @@ consecutive anchors are aligned in the same way; runs of equal words next to anc
 Coverage is the share of the template's words that are matched, or of the matched span's where that is longer. A match is
 the run of aligned words of highest coverage, so a stray word far from the notice can't lower it.
 
+Like notices differ in few words, so those must agree: each name or version word of a template has to be aligned, and a
+match may not hold a word of another variant (lesser, noncommercial, sharealike ..) that its template lacks.
+
 Windows come first from a bound that loses none: a match with coverage t lies in a stretch of ``STRETCH`` times the
 template's words that has at least t times its words from the template. Only such stretches are aligned, and uniqueness
 is taken within them, so a notice that a text repeats is found each time.
@@ -29,6 +32,21 @@ from .common import flush_rows, rows_of
 COVERAGE = 0.8
 STRETCH = 1.5
 
+_BSD_FIRST = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met:"
+)
+_BSD = (
+    f"{_BSD_FIRST} Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission."
+)
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+
 #: Public notices by which works name their licenses, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": (
@@ -47,30 +65,78 @@ TEMPLATES = {
         "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
         "shall be included in all copies or substantial portions of the Software.",
     ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met:",
+    "BSD-3-Clause": (f"{_BSD} {_BSD_NAMES} {_AS_IS}", "Released under the BSD 3-Clause License.", "Released under the New BSD License."),
+    "BSD-2-Clause": (f"{_BSD} {_AS_IS}", "Released under the BSD 2-Clause License.", "Released under the Simplified BSD License."),
+    "BSD": ("Released under the BSD License.", _BSD_FIRST),
+    "CC0-1.0": (
+        "Released under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
+        "Creative Commons Legal Code CC0 1.0 Universal",
     ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to "
+        "the creation of, or owns Covered Software.",
     ),
-}
+} | {
+    f"CC-{kind.upper()}-{version}": (
+        f"Licensed under CC {kind.upper()} {version}.",
+        f"This work is licensed under a Creative Commons {title} {version} {port} License.",
+        f"Creative Commons {title} {version} {port} Public License",
+    )
+    for version, port in (("4.0", "International"), ("3.0", "Unported"))
+    for kind, title in (
+        ("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"),
+        ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
+}
+#: Words by which a variant of a notice differs from the plain one. A match can't leave one of them unaligned.
+VARIANT_WORDS = frozenset(
+    "lesser affero nc sa nd non noncommercial sharealike noderivatives noderivs derivatives neither endorse".split()
+)
+#: Names and versions. A match must align those that its template has.
+NAME_WORDS = VARIANT_WORDS | frozenset(
+    "apache mit bsd gnu general cc cc0 by creative commons attribution mozilla public unencumbered international unported universal new simplified clause "
+    "1 2 3 4 0 redistributions".split()
+)
+#: Names that tell a family only: any other match of the same words is preferred.
+FAMILIES = frozenset({"BSD"})
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -124,18 +190,20 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best_run(at: list[int], size: int) -> tuple[int, int, float]:
+def best_run(at: list[int], size: int, first: int | None = None, last: int = 0) -> tuple[int, int, float]:
     """(first, last, coverage) of the run of matches of highest coverage, then most matches, then the first.
 
-    ``at``: the matched positions in the text, rising; ``size``: the template's words.
+    ``at``: the matched positions in the text, rising; ``size``: the template's words. With ``first`` and ``last``, only
+    runs that hold the matches from first to last count.
     """
     pos = np.asarray(at, dtype=np.int64)
     best, share = (0, 0), 0.0
-    for p in range(len(pos)):
+    for p in range(len(pos) if first is None else first + 1):
         if (len(pos) - p) / size < share:  # no later run has enough matches
             break
         count = np.arange(1, len(pos) - p + 1)
         shares = count / np.maximum(size, pos[p:] - pos[p] + 1)
+        shares[: max(0, last - p)] = 0
         q = len(shares) - 1 - int(shares[::-1].argmax())
         if shares[q] > share or (shares[q] == share and q > best[1] - best[0]):
             best, share = (p, p + q), float(shares[q])
@@ -154,6 +222,9 @@ class Scanner:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
                 self.templates.append((name, ids))
         size = len(self.vocabulary)
+        names, variants = ({self.vocabulary[w] for w in ws if w in self.vocabulary} for ws in (NAME_WORDS, VARIANT_WORDS))
+        self.names = [names.intersection(ids) for _, ids in self.templates]
+        self.variants = [variants.difference(ids) for _, ids in self.templates]
         self.multiplicity = [np.bincount(ids, minlength=size) for _, ids in self.templates]
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
@@ -166,9 +237,9 @@ class Scanner:
             return []
         count = np.bincount(ids[hits], minlength=len(self.vocabulary))
         out = []
-        for (name, template), times in zip(self.templates, self.multiplicity, strict=True):
+        for (name, template), times, named, variants in zip(self.templates, self.multiplicity, self.names, self.variants, strict=True):
             least = self.coverage * len(template)
-            if np.minimum(count, times).sum() < least:
+            if np.minimum(count, times).sum() < least or not all(count[w] for w in named):
                 continue
             stretch = int(STRETCH * len(template)) + 1
             at = hits[times[ids[hits]] > 0]
@@ -183,13 +254,18 @@ class Scanner:
                 matched = align(template, window.tolist())
                 if not matched:
                     continue
-                p, q, share = best_run([j for _, j in matched], len(template))
+                run = self.agreeing(template, matched, named)
+                if run is None:
+                    continue
+                p, q, share = run
+                if any(w in variants for w in window[matched[p][1] : matched[q][1] + 1].tolist()):
+                    continue
                 first, last = start + matched[p][1], start + matched[q][1]
                 if share >= self.coverage:
                     out.append((name, first, last + 1, share))
                     done = last
         # like notices match the same words: the better match of overlapping ones stays
-        out.sort(key=lambda m: (-m[3], m[1] - m[2], m[0], m[1]))
+        out.sort(key=lambda m: (m[0] in FAMILIES, -m[3], m[1] - m[2], m[0], m[1]))
         kept: list[tuple[str, int, int, float]] = []
         for m in out:
             k = bisect_left(kept, m[1], key=lambda x: x[1])
@@ -198,6 +274,22 @@ class Scanner:
         return kept
 
 
+    @staticmethod
+    def agreeing(template: list[int], matched: list[tuple[int, int]], named: set[int]) -> tuple[int, int, float] | None:
+        """The best run of matches among those that align all words of ``named``; None where there is none."""
+        at = [j for _, j in matched]
+        p, q, share = best_run(at, len(template))
+        if named <= {template[i] for i, _ in matched[p : q + 1]}:
+            return p, q, share
+        places: dict[int, int] = {}
+        for k, (i, _) in enumerate(matched):
+            if template[i] in named:
+                places.setdefault(template[i], k)
+        if len(places) < len(named):
+            return None
+        return best_run(at, len(template), min(places.values()), max(places.values()))
+
+
 def license_scan(docs: DataFrame, coverage: float = COVERAGE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """doc_id, n_matches, licenses (sorted, joined by commas), best_license, coverage, first_word, last_word of every row.
 

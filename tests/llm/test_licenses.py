@@ -80,6 +80,28 @@ def test_notices_and_edge_rows(spark):
     assert [got[i].n_matches for i in (3, 4, 5)] == [0, 0, 0] and got[3].best_license is None
 
 
+def test_names_and_versions_must_agree():
+    scan = licenses.Scanner().scan
+    gpl = licenses.TEMPLATES["GPL-3.0"][1]
+    bsd2, bsd3 = licenses.TEMPLATES["BSD-2-Clause"][0], licenses.TEMPLATES["BSD-3-Clause"][0]
+    for text, want in [
+        ("Released under the MIT License.", ["MIT"]), ("Released under the BSD License.", ["BSD"]), ("Released under the GPL License.", []),
+        ("Released under the Apache License.", []), ("Released under the new License.", []), ("Licensed under the Apache License, Version 1.1.", []),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-NC-ND 3.0.", ["CC-BY-NC-ND-3.0"]), ("Licensed under CC BY-SA 2.5.", []), ("Licensed under CC BY-XX 4.0.", ["CC-BY-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 9.", []),
+        (gpl, ["GPL-3.0"]), (gpl.replace("version 3", "version 2"), ["GPL-2.0"]), (gpl.replace("General", "Affero General"), ["AGPL-3.0"]),
+        (gpl.replace("General", "Lesser General"), ["LGPL-3.0"]),
+        (bsd2, ["BSD-2-Clause"]), (bsd3, ["BSD-3-Clause"]), (bsd3.replace("the copyright holder nor", "Foo Bar Inc. nor"), ["BSD-3-Clause"]),
+        (bsd2.split(":")[0], ["BSD"]), ("To the extent possible under law, Foo Bar has waived all copyright and related or neighboring rights to this work under CC0 1.0.", ["CC0-1.0"]),
+    ]:
+        assert [m[0] for m in scan(f"some words. {text} other words")] == want, text
+    for name, texts in licenses.TEMPLATES.items():
+        assert all([m[0] for m in scan(t)] == [name] for t in texts), name
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.op1_license_scan(spark, sf_dir).collect()}
