@@ -8,8 +8,8 @@ boundary records (the pieces of windows that partitions share) are shuffled.
 
 Token ids are those of a ``tokenizers`` file. A byte-level BPE vocabulary whose ids are its merge ranks gives the same
 ids through ``tiktoken``, at several times the speed; texts with characters beyond the ranges where the two agree on
-letters and white space for certain, texts with a long run of white space, on which ``tiktoken`` panics, and other
-vocabularies go through ``tokenizers``.
+letters and white space for certain, texts with a long run of white space, on which ``tiktoken`` panics, texts
+that hold an added token's string, and other vocabularies go through ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -61,11 +61,14 @@ class Encoder:
     #: Tried at the start of each run only, so that runs cost no more than their length.
     _BLANK = re.compile(rf"(?<!\s)\s{{{LONG_BLANK}}}")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
+        """With ``special``, an added token's string in a text is that token, as by a plain ``encode``; else ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if special and added else None
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
         self.fast = self._ranked(path)
@@ -92,7 +95,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.fast is None or self._RARE.search(text) or (len(text) >= LONG_BLANK and self._BLANK.search(text)):
+        if self.fast is None or self._RARE.search(text) or (len(text) >= LONG_BLANK and self._BLANK.search(text)) or (self.added and self.added.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -108,7 +111,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, kept for later tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special=True)
     return _ENCODERS[path]
 
 

@@ -36,6 +36,17 @@ def test_long_runs_of_white_space(spark, tokenizer):
     check_pieces(packing.pieces(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, tokenizer)
 
 
+def test_added_tokens_are_those_of_a_plain_encode(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "日<|endoftext|><|endoftext|> x", "a <|endoftext b"]
+    stored = packing.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in stored.collect()}
+    assert got[0] == [64, 220, 50256, 275, 0]
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 def check_pieces(rows, docs, tokenizer, length=1024):
     streams = {}
     for i, t in docs:
