@@ -3,8 +3,8 @@
 Every document is its token ids and then the separator id. All documents, in table order, make one stream that is cut
 every ``LENGTH`` ids. Two passes: the first tokenises once and stores the ids with their offset in their partition; the
 second turns partition totals into global offsets by a prefix sum, after which every document knows the windows that it
-crosses. Pieces need no shuffle. Whole sequences are assembled in place where a task holds all of a window, and only
-boundary records (the pieces of windows that partitions share) are shuffled.
+crosses. Whole sequences are assembled in place where a task holds all of a window, and only boundary records (the pieces
+of windows that partitions share) are shuffled. Pieces are read off the stored sequences.
 
 Token ids are those of a ``tokenizers`` file. A byte-level BPE vocabulary whose ids are its merge ranks gives the same
 ids through ``tiktoken``, at several times the speed; texts with characters beyond the ranges where the two agree on
@@ -15,6 +15,7 @@ that hold an added token's string, and other vocabularies go through ``tokenizer
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import zlib
 from array import array
@@ -38,6 +39,8 @@ COMPACT = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 BATCH_IDS = 1 << 20
 #: White-space characters in a row that ``tiktoken`` isn't given: its pattern's backtracking overflows somewhat below 1,000,000.
 LONG_BLANK = 100_000
+#: A piece as sequences store it: document, whether that is null, first id, count, the document's ids, offset.
+_SPAN = "<6q"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -176,12 +179,12 @@ def width(path: str) -> np.dtype:
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document.
 
-    Repeated rows are packed as often as they occur; an empty table gives no piece. The ids' checksum is over
-    little-endian unsigned 32-bit ids.
+    The sequences are assembled and stored in the shared folder, and each piece is cut from its sequence. Repeated rows
+    are packed as often as they occur; an empty table gives no piece. The ids' checksum is over little-endian unsigned
+    32-bit ids.
     """
     path = path or vocabulary_path()
-    stored = tokens(docs, path, separator)
-    before, _ = part_offsets(stored)
+    packed = materialise(sequences(tokens(docs, path, separator), path, length, separator, spans=True)[0], "sequences", **COMPACT)
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = pa.schema([(n, pa.int64()) for n in names])
 
@@ -189,19 +192,22 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, separ
         kind = width(path)
         for b in batches:
             out = []
-            for part, start, n, doc_id, raw in zip(*(b.column(c).to_pylist() for c in ("part", "start", "n", "doc_id", "ids")), strict=True):
+            for sequence, raw, spans in zip(*(b.column(c).to_pylist() for c in ("sequence_id", "ids", "spans")), strict=True):
                 ids = memoryview(np.frombuffer(raw, dtype=kind).astype("<u4")).cast("B")
-                for at, count, sequence, offset in _cuts(before[part] + start, n, length):
-                    out.append((doc_id, at, count, zlib.crc32(ids[4 * at : 4 * (at + count)]), n, sequence, offset))
+                for doc_id, null, start, count, n, offset in struct.iter_unpack(_SPAN, spans):
+                    crc = zlib.crc32(ids[4 * offset : 4 * (offset + count)])
+                    out.append((None if null else doc_id, start, count, crc, n, sequence, offset))
             if out:
                 yield _rows(schema, out)
 
-    return stored.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return packed.select("sequence_id", "ids", "spans").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def sequences(stored: DataFrame, path: str, length: int = LENGTH, pad: int = SEPARATOR) -> tuple[DataFrame, int]:
+def sequences(stored: DataFrame, path: str, length: int = LENGTH, pad: int = SEPARATOR, spans: bool = False) -> tuple[DataFrame, int]:
     """(sequence_id, n, ids) of every window of the stream of :func:`tokens`, and how many there are.
 
+    With ``spans``, a binary column of that name has the window's pieces, in order.
+
     ``ids`` has ``length`` ids: the last window is padded, unless its own length is a power of two. Windows that lie in
     one task's run of documents are emitted at once. Those that runs share come as boundary records, which a shuffle
     joins by window: at most two records per run and no more ids than a window has, however long documents are.
@@ -209,25 +215,31 @@ def sequences(stored: DataFrame, path: str, length: int = LENGTH, pad: int = SEP
     before, total = part_offsets(stored)
     last = (total - 1) // length
     kind = width(path)
-    schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
+    data = ["ids", "spans"] if spans else ["ids"]
+    schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in data)])
 
     def cut(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             held: list[bytes] = []
+            within: list[bytes] = []
             window, begin, have = -1, 0, 0
 
             def close() -> None:
                 if have and (have == (total - last * length if window == last else length)) == whole:
-                    out.append((window, begin, have, b"".join(held)))
+                    out.append((window, begin, have, b"".join(held), *([b"".join(within)] if spans else [])))
 
             for b in batches:
-                for part, start, n, raw in zip(*(b.column(c).to_pylist() for c in ("part", "start", "n", "ids")), strict=True):
+                columns = [b.column(c).to_pylist() for c in ("part", "start", "n", "ids")]
+                columns.append(b.column("doc_id").to_pylist() if spans else [None] * b.num_rows)
+                for part, start, n, raw, doc_id in zip(*columns, strict=True):
                     for at, count, sequence, offset in _cuts(before[part] + start, n, length):
                         if sequence != window or offset != begin + have:
                             close()
-                            window, begin, have, held = sequence, offset, 0, []
+                            window, begin, have, held, within = sequence, offset, 0, [], []
                         held.append(raw[at * kind.itemsize : (at + count) * kind.itemsize])
+                        if spans:
+                            within.append(struct.pack(_SPAN, doc_id or 0, doc_id is None, at, count, n, offset))
                         have += count
                     if len(out) >= 1000:
                         yield _rows(schema, out)
@@ -236,12 +248,13 @@ def sequences(stored: DataFrame, path: str, length: int = LENGTH, pad: int = SEP
             if out:
                 yield _rows(schema, out)
 
-        return stored.select("part", "start", "n", "ids").mapInArrow(run, "sequence_id long, offset int, n int, ids binary")
+        read = stored.select("part", "start", "n", "ids", *(["doc_id"] if spans else []))
+        return read.mapInArrow(run, "sequence_id long, offset int, n int, " + ", ".join(f"{c} binary" for c in data))
 
-    shared = cut(False).groupBy("sequence_id").agg(F.sum("n").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+    shared = cut(False).groupBy("sequence_id").agg(F.sum("n").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("offset", *data))).alias("p"))
     # binary pieces are joined as hexadecimal text, the only form that SQL can reduce
-    shared = shared.select("sequence_id", "n", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias("ids"))
-    every = cut(True).select("sequence_id", "n", "ids").unionByName(shared)
+    joined = [F.unhex(F.array_join(F.transform(F.col("p")[c], F.hex), "")).alias(c) for c in data]
+    every = cut(True).select("sequence_id", "n", *data).unionByName(shared.select("sequence_id", "n", *joined))
     rest = total - last * length
     if total and rest & (rest - 1):
         blank = F.unhex(F.repeat(F.lit(np.array([pad], dtype=kind).tobytes().hex()), F.lit(length) - F.col("n")))

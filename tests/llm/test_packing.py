@@ -88,6 +88,20 @@ def test_whole_sequences(spark, tokenizer):
     assert len(got[-1].ids) == 2 * (last if last & (last - 1) == 0 else 24)
 
 
+def test_pieces_are_cut_from_assembled_sequences(spark, tokenizer, monkeypatch):
+    rows = [(None, "a null id")] + [(i, f"document {i} " * (i % 9)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    stored = {}
+    keep = packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name, **options: stored.setdefault(name, keep(df, name, **options)))
+    got = packing.pieces(df, length=20).collect()
+    check_pieces(got, rows, tokenizer, 20)
+    packed = {r.sequence_id: np.frombuffer(r.ids, "<u2") for r in stored["sequences"].collect()}
+    assert sorted(packed) == sorted({r.sequence_id for r in got}) == list(range(len(packed)))
+    for r in got:
+        assert zlib.crc32(packed[r.sequence_id][r.offset : r.offset + r["length"]].astype("<u4").tobytes()) == r.ids_crc32
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 64, 1000, 4097):
         p = training_order.Feistel(n, "k")
