@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BUBBLE_ROUNDS, SUMMARY_COLUMNS
+from ..constants import SUMMARY_COLUMNS
 from ..schema import GraphSet
 from ..storage import materialise
+from . import wholes
+from .bubbles import bubbles
 from .traversal import is_super, traverse
 
 
@@ -28,148 +31,108 @@ def source_sink_counts(g: GraphSet) -> DataFrame:
     return degrees(g).groupBy("graph_id").agg(F.count_if(F.col("in_degree") == 0).alias("sources"), F.count_if(F.col("out_degree") == 0).alias("sinks"))
 
 
-def is_connected(g: GraphSet) -> DataFrame:
-    """(graph_id, is_connected): weak connectivity; a graph without nodes is connected.
+# --- connectivity and cycles ---------------------------------------------------------------------------------------
+
+
+def _edges(g: GraphSet) -> DataFrame:
+    return g.edges.select("graph_id", "source_id", "sink_id")
+
+
+def _shapes_of_small(edges: DataFrame) -> DataFrame:
+    schema = pa.schema([("graph_id", pa.string()), ("linked", pa.int64()), ("parts", pa.int64()), ("ring", pa.bool_())])
+
+    def shapes_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, graph, ids = wholes.numbered(t)
+        n = len(graph)
+        linked = np.bincount(graph, minlength=len(ids))
+        parts = np.bincount(graph[np.unique(wholes.components(n, a, b))], minlength=len(ids))
+        ring = np.bincount(graph[wholes.on_cycles(n, a, b)], minlength=len(ids)) > 0
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.string()), pa.array(linked), pa.array(parts), pa.array(ring)], schema=schema)
+
+    return wholes.solve(edges, shapes_of, "graph_id string, linked long, parts long, ring boolean")
 
-    Nodes take the least label of their neighbours, and then the label of that label, until nothing changes.
+
+def parts_by_labels(edges: DataFrame) -> DataFrame:
+    """(graph_id, linked, parts): the nodes with edges and their connected parts, for graphs of any size.
+
+    Nodes take the least label of their neighbours, and then the label of that label. A graph in which nothing changes is
+    settled and leaves the rounds.
     """
-    both = g.edges.select("graph_id", F.col("source_id").alias("a"), F.col("sink_id").alias("b")).unionByName(
-        g.edges.select("graph_id", F.col("sink_id").alias("a"), F.col("source_id").alias("b"))).where("a <> b")
-    both = materialise(both.distinct(), "neighbours")
-    label = materialise(g.nodes.select("graph_id", "node_id", F.col("node_id").alias("label")), "labels")
+    both = materialise(edges.unionByName(edges.select("graph_id", F.col("sink_id").alias("source_id"), F.col("source_id").alias("sink_id"))).distinct(), "neighbours")
+    label = materialise(both.select("graph_id", F.col("source_id").alias("node_id")).distinct().withColumn("label", F.col("node_id")), "labels")
+    settled = []
     while True:
-        near = both.join(label.select("graph_id", F.col("node_id").alias("b"), F.col("label").alias("l")), ["graph_id", "b"]).groupBy(
-            "graph_id", F.col("a").alias("node_id")).agg(F.min("l").alias("l"))
-        least = label.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        near = both.join(label.select("graph_id", F.col("node_id").alias("sink_id"), F.col("label").alias("l")), ["graph_id", "sink_id"]).groupBy(
+            "graph_id", F.col("source_id").alias("node_id")).agg(F.min("l").alias("l"))
+        least = label.join(near, ["graph_id", "node_id"]).select("graph_id", "node_id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = label.select("graph_id", F.col("node_id").alias("label"), F.col("label").alias("far"))
-        new = materialise(least.join(jump, ["graph_id", "label"], "left").select(
-            "graph_id", "node_id", "old", F.least("label", "far").alias("label")), "labels")
-        if not new.where("label <> old").limit(1).count():
+        new = materialise(least.join(jump, ["graph_id", "label"]).select("graph_id", "node_id", "old", F.least("label", "far").alias("label")), "labels")
+        moving = materialise(new.where("label <> old").select("graph_id").distinct(), "moving")
+        settled.append(new.join(moving, "graph_id", "left_anti"))
+        if not moving.take(1):
             break
-        label = new.drop("old")
-    one = label.groupBy("graph_id").agg((F.countDistinct("label") <= 1).alias("c"))
-    return g.graphs.select("graph_id").join(one, "graph_id", "left").select("graph_id", F.coalesce("c", F.lit(True)).alias("is_connected"))
+        label = new.join(moving, "graph_id", "left_semi").drop("old")
+    return reduce(DataFrame.unionByName, settled).groupBy("graph_id").agg(F.count(F.lit(1)).alias("linked"), F.countDistinct("label").alias("parts"))
 
 
-def is_cyclic(g: GraphSet) -> DataFrame:
-    """(graph_id, is_cyclic): a directed cycle anywhere; a self-loop is one.
+def rings_by_rounds(edges: DataFrame) -> DataFrame:
+    """(graph_id) of the graphs with a directed cycle, of any size.
 
-    Edges out of nodes that nothing leads to are peeled off, round by round; what is left holds a cycle.
+    A round takes away edges that nothing leads to or that lead nowhere further, on both ends at once. A graph that loses
+    none has a cycle: each of its edges can be followed for ever. So that long chains don't take a round per node, nodes
+    with one edge in and one out are bridged, those that fall on heads while the node before them falls on tails.
     """
-    left = materialise(g.edges.select("graph_id", "source_id", "sink_id"), "unpeeled")
-    n = left.count()
-    while n:
+    left, turn, found = materialise(edges.distinct(), "unpeeled"), 0, []
+    while left.take(1):
         into = left.select("graph_id", F.col("sink_id").alias("source_id")).distinct()
-        left = materialise(left.join(into, ["graph_id", "source_id"], "left_semi"), "unpeeled")
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    ring = left.select("graph_id").distinct().withColumn("c", F.lit(True))
-    return g.graphs.select("graph_id").join(ring, "graph_id", "left").select("graph_id", F.coalesce("c", F.lit(False)).alias("is_cyclic"))
-
-
-def is_dag(g: GraphSet) -> DataFrame:
-    """(graph_id, is_dag): connected and without a cycle."""
-    return is_connected(g).join(is_cyclic(g), "graph_id").select("graph_id", (F.col("is_connected") & ~F.col("is_cyclic")).alias("is_dag"))
-
+        onward = left.select("graph_id", F.col("source_id").alias("sink_id")).distinct()
+        kept = materialise(left.join(into, ["graph_id", "source_id"], "left_semi").join(onward, ["graph_id", "sink_id"], "left_semi"), "unpeeled")
+        sizes = lambda t, n: t.groupBy("graph_id").agg(F.count(F.lit(1)).alias(n))
+        stuck = materialise(sizes(kept, "m").join(sizes(left, "n"), "graph_id").where("m = n").select("graph_id"), "cyclic")
+        found.append(stuck)
+        rest = kept.join(stuck, "graph_id", "left_anti").select("graph_id", "source_id", "sink_id")
+        one_in = rest.groupBy("graph_id", F.col("sink_id").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("a")).where("n = 1")
+        one_out = rest.groupBy("graph_id", F.col("source_id").alias("v")).agg(F.count(F.lit(1)).alias("m"), F.min("sink_id").alias("z")).where("m = 1")
+        heads = lambda c: F.xxhash64("graph_id", c, F.lit(turn)).bitwiseAND(1) == 1  # noqa: E731, B023
+        bridged = materialise(one_in.join(one_out, ["graph_id", "v"]).where((F.col("a") != F.col("v")) & heads("v") & ~heads("a")).select("graph_id", "v", "a", "z"), "bridged")
+        gone = bridged.select("graph_id", F.col("v").alias("source_id"))
+        rest = rest.join(gone, ["graph_id", "source_id"], "left_anti").join(gone.withColumnRenamed("source_id", "sink_id"), ["graph_id", "sink_id"], "left_anti")
+        over = bridged.select("graph_id", F.col("a").alias("source_id"), F.col("z").alias("sink_id"))
+        left, turn = materialise(rest.select(*over.columns).unionByName(over).distinct(), "unpeeled"), turn + 1
+    return reduce(DataFrame.unionByName, found).distinct() if found else edges.select("graph_id").limit(0)
+
+
+def shapes(g: GraphSet, small: int = wholes.SMALL) -> DataFrame:
+    """(graph_id, is_connected, is_cyclic) of every graph.
+
+    Weak connectivity, a graph without nodes being connected; a directed cycle anywhere, a self-loop being one. Graphs of
+    up to ``small`` edges are settled whole in one shuffle, larger ones by rounds of joins.
+    """
+    few, many = wholes.by_size(_edges(g), small)
+    found = _shapes_of_small(few)
+    if many is not None:
+        many = materialise(many, "large")
+        rings = rings_by_rounds(many).withColumn("ring", F.lit(True))
+        found = found.unionByName(parts_by_labels(many).join(rings, "graph_id", "left").withColumn("ring", F.coalesce("ring", F.lit(False))))
+    nodes = g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return g.graphs.select("graph_id").join(nodes, "graph_id", "left").join(found, "graph_id", "left").select(
+        "graph_id", (none("nodes") - none("linked") + none("parts") <= 1).alias("is_connected"), F.coalesce("ring", F.lit(False)).alias("is_cyclic"))
 
-# --- bubbles -------------------------------------------------------------------------------------------------------
 
+def is_connected(g: GraphSet) -> DataFrame:
+    """(graph_id, is_connected)."""
+    return shapes(g).select("graph_id", "is_connected")
 
-def bubble_pairs(successors: dict[str, list[str]]) -> Iterator[tuple[list[str], list[str]]]:
-    """Pairs of different walks with common ends, in one graph; ``successors`` are newest first.
 
-    From each node with two successors or more: two walks that meet, for each pair of successors; and the direct edge to
-    each successor beside every walk that reaches it otherwise.
-    """
-    for source, out in successors.items():
-        if len(out) < 2:
-            continue
-        for i, a in enumerate(out):
-            for b in out[i + 1 :]:
-                yield from _meetings(successors, source, a, b)
-        for target in dict.fromkeys(out):
-            for detour in _detours(successors, source, target, set(out)):
-                yield [source, target], detour
-
-
-class _Side:
-    """One breadth-first search of a pair: a queue, and the first walk found to each node."""
-
-    def __init__(self, source: str, start: str):
-        self.queue = deque([start])
-        self.walks = {start: [source, start]}
-
-    def advance(self, successors: dict[str, list[str]], other: _Side) -> str | None:
-        """Take one node from the queue: it is a meeting where the other side has it, else its successors are added."""
-        if not self.queue:
-            return None
-        node = self.queue.popleft()
-        if node in other.walks:
-            return node
-        for nxt in successors.get(node, ()):
-            if nxt not in self.walks:
-                self.walks[nxt] = [*self.walks[node], nxt]
-                self.queue.append(nxt)
-        return None
-
-
-def _meetings(successors, source: str, a: str, b: str) -> Iterator[tuple[list[str], list[str]]]:
-    """The walks to where two searches meet first; searched for a bounded number of rounds, one node a side each."""
-    one, two = _Side(source, a), _Side(source, b)
-    for _ in range(BUBBLE_ROUNDS):
-        if not one.queue and not two.queue:
-            return
-        met = {one.advance(successors, two), two.advance(successors, one)} - {None}
-        if met:
-            for node in sorted(met):
-                x, y = one.walks[node], two.walks[node]
-                if min(len(x), len(y)) >= 3 and x != y:
-                    yield x, y
-            return
-
-
-def _detours(successors, source: str, target: str, direct: set[str]) -> Iterator[list[str]]:
-    """Walks to a direct successor that start at another one and pass through none after that.
-
-    A node is expanded once, with the walks that it has by then.
-    """
-    first = [n for n in successors[source] if n != target]
-    walks = {n: [[source, n]] for n in first}
-    queue, expanded = deque(first), {source}
-    while queue:
-        node = queue.popleft()
-        if node in expanded:
-            continue
-        expanded.add(node)
-        for nxt in successors.get(node, ()):
-            longer = [[*w, nxt] for w in walks[node]]
-            if nxt == target:
-                yield from longer
-            elif nxt not in expanded and nxt not in direct:
-                walks.setdefault(nxt, []).extend(longer)
-                queue.append(nxt)
-
-
-def bubbles(g: GraphSet) -> DataFrame:
-    """(graph_id, path1, path2): the bubble pairs of every graph, as arrays of node ids.
-
-    The search is sequential and depends on edge order, so each graph's edges meet in one task; only graphs with a node
-    of two successors or more are sent there.
-    """
-    branching = g.edges.groupBy("graph_id", "source_id").count().where("count > 1").select("graph_id").distinct()
-    edges = g.edges.select("graph_id", "ord", "source_id", "sink_id").join(branching, "graph_id", "left_semi")
+def is_cyclic(g: GraphSet) -> DataFrame:
+    """(graph_id, is_cyclic)."""
+    return shapes(g).select("graph_id", "is_cyclic")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list[str]] = {}
-        for r in pdf.sort_values("ord", ascending=False, kind="stable").itertuples():
-            out.setdefault(r.source_id, []).append(r.sink_id)
-        pairs = list(bubble_pairs(out))
-        side = lambda k: pd.Series([p[k] for p in pairs], dtype=object)  # noqa: E731 - typed, as there may be none
-        return pd.DataFrame({"graph_id": pd.Series([pdf["graph_id"].iloc[0]] * len(pairs), dtype=object), "path1": side(0), "path2": side(1)})
 
-    return edges.groupBy("graph_id").applyInPandas(search, "graph_id string, path1 array<string>, path2 array<string>")
+def is_dag(g: GraphSet) -> DataFrame:
+    """(graph_id, is_dag): connected and without a cycle."""
+    return shapes(g).select("graph_id", (F.col("is_connected") & ~F.col("is_cyclic")).alias("is_dag"))
 
 
 # --- topology and summary ------------------------------------------------------------------------------------------
@@ -193,14 +156,23 @@ def is_bubble(g: GraphSet) -> DataFrame:
     return g.graphs.select("graph_id").join(found, "graph_id", "left").select("graph_id", F.coalesce("b", F.lit(False)).alias("is_bubble"))
 
 
-def topology(g: GraphSet, paths: DataFrame) -> DataFrame:
-    """(graph_id, topology) of every graph. A single source and sink decide before bubbles are looked at."""
-    pairs = bubbles(g).groupBy("graph_id").agg(F.max(F.size("path1") != F.size("path2")).alias("unequal"))
-    facts = path_stats(g, paths).join(source_sink_counts(g), "graph_id", "left").join(pairs, "graph_id", "left")
-    sources, sinks = (F.coalesce(c, F.lit(0)) for c in ("sources", "sinks"))
-    simple = F.when((sinks == 1) & (sources > 1), "FadeIn").when((sources == 1) & (sinks > 1), "FadeOut").when((sources > 1) & (sinks > 1), "Bipartite").otherwise("NotDefined")
-    other = F.when((sources == 1) & (sinks == 1), "UniquePath").when(F.col("unequal").isNull(), "NotDefined").when(F.col("unequal"), "HeteroPath").otherwise("EquiPath")
-    return facts.select("graph_id", F.when(F.col("max_path_len") == 2, simple).otherwise(other).alias("topology"))
+def facts(g: GraphSet, paths: DataFrame) -> DataFrame:
+    """What topology goes by: the columns of :func:`path_stats`, sources and sinks, a row per graph."""
+    return path_stats(g, paths).join(source_sink_counts(g), "graph_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sources", "sinks")})
+
+
+def topology(g: GraphSet, paths: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(graph_id, topology) of every graph. A single source and sink decide before bubbles are looked at.
+
+    ``known``: the stored :func:`facts`, if they are at hand. Bubbles are sought only in graphs that they decide.
+    """
+    known = materialise(facts(g, paths), "facts") if known is None else known
+    simple = F.when((F.col("sinks") == 1) & (F.col("sources") > 1), "FadeIn").when((F.col("sources") == 1) & (F.col("sinks") > 1), "FadeOut").when(
+        (F.col("sources") > 1) & (F.col("sinks") > 1), "Bipartite").otherwise("NotDefined")
+    unique = (F.col("sources") == 1) & (F.col("sinks") == 1)
+    pairs = bubbles(g, only=known.where((F.col("max_path_len") != 2) & ~unique)).groupBy("graph_id").agg(F.max(F.size("path1") != F.size("path2")).alias("unequal"))
+    other = F.when(unique, "UniquePath").when(F.col("unequal").isNull(), "NotDefined").when(F.col("unequal"), "HeteroPath").otherwise("EquiPath")
+    return known.join(pairs, "graph_id", "left").select("graph_id", F.when(F.col("max_path_len") == 2, simple).otherwise(other).alias("topology"))
 
 
 def has_topology(topologies: DataFrame, name: str) -> DataFrame:
@@ -211,10 +183,9 @@ def has_topology(topologies: DataFrame, name: str) -> DataFrame:
 def summary(g: GraphSet, paths: DataFrame | None = None) -> DataFrame:
     """A row per graph with the columns of the CSV summary. The edge count is of distinct edge ids."""
     paths = materialise(traverse(g) if paths is None else paths, "paths")
-    nodes = g.nodes.groupBy(F.col("graph_id").alias("gid")).agg(F.count(F.lit(1)).alias("nodes"))
-    edges = g.edge_aliases.groupBy(F.col("graph_id").alias("gid")).agg(F.count(F.lit(1)).alias("edges"))
+    known = materialise(facts(g, paths), "facts")
+    count = lambda t, n: t.groupBy("graph_id").agg(F.count(F.lit(1)).alias(n))
+    out = known.join(count(g.nodes, "nodes"), "graph_id", "left").join(count(g.edge_aliases, "edges"), "graph_id", "left")
+    out = out.join(shapes(g), "graph_id").join(topology(g, paths, known), "graph_id").withColumnRenamed("graph_id", "gid")
     zero = F.lit(0).cast("bigint")
-    out = g.graphs.select(F.col("graph_id").alias("gid")).join(nodes, "gid", "left").join(edges, "gid", "left")
-    for part in (path_stats(g, paths), is_cyclic(g), is_connected(g), topology(g, paths)):
-        out = out.join(part.withColumnRenamed("graph_id", "gid"), "gid")
     return out.withColumns({"nodes": F.coalesce("nodes", zero), "edges": F.coalesce("edges", zero)}).select(*SUMMARY_COLUMNS)

@@ -81,10 +81,10 @@ def traverse_by_id(g: GraphSet, graph_id: str, max_depth: int | None = None) ->
     return traverse(graph(g, graph_id), max_depth)
 
 
-def read_first_paths(g: GraphSet, max_depth: int = 1000) -> DataFrame:
+def read_first_paths(g: GraphSet, max_depth: int | None = None) -> DataFrame:
     """The same paths found read by read: walks in each read's subgraph, then grouped by walk. Cheaper on branching graphs.
 
-    graph_id, nodes (joined by commas in ``path``), n_reads.
+    graph_id, nodes, n_reads. As in :func:`traverse`, a supported cycle raises unless ``max_depth`` bounds the nodes of a walk.
     """
     node = materialise(ends(g), "ends")
     held = node.select("graph_id", "node_id", F.explode("ids").alias("read"), "is_source", "is_sink")
@@ -94,16 +94,18 @@ def read_first_paths(g: GraphSet, max_depth: int = 1000) -> DataFrame:
         .join(held.select("graph_id", F.col("node_id").alias("sink_id"), "read", F.col("is_sink").alias("next_is_sink")), ["graph_id", "sink_id", "read"]), "read-steps")
     front = held.where("is_source").select("graph_id", "read", "node_id", "is_sink", F.array("node_id").alias("nodes"))
     done, depth = [], 1
-    while depth <= max_depth:
+    while True:
         done.append(front.where("is_sink"))
+        if max_depth is not None and depth >= max_depth:
+            break
         nxt = materialise(front.where("not is_sink").join(step, ["graph_id", "node_id", "read"]).select(
             "graph_id", "read", F.col("sink_id").alias("node_id"), F.col("next_is_sink").alias("is_sink"), F.concat("nodes", F.array("sink_id")).alias("nodes"),
             F.array_contains("nodes", F.col("sink_id")).alias("again")), f"read-front-{depth}")
         state = nxt.agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).first()
         if not state["n"]:
             break
-        if state["again"]:
-            raise SupportedCycle("a cycle is supported by a common read")
+        if state["again"] and max_depth is None:
+            raise SupportedCycle("a cycle is supported by a common read; give max_depth to bound its walks")
         front, depth = nxt.drop("again"), depth + 1
     out = done[0]
     for d in done[1:]:

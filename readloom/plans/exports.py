@@ -224,11 +224,13 @@ def _entry(key: str, text: Column) -> Column:
 
 def json_nodes(g: GraphSet) -> DataFrame:
     """(graph_id, ord, node_id, json) of each node. Attributes join the fields and may replace them; a node with a
-    malformed number among them is left out. A node without exons has null coordinates."""
+    malformed number among them is left out. A node without exons has null coordinates, and numbers that JSON lacks
+    (infinities, NaN) are null."""
     number = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    real = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), "null").otherwise(x.cast("string"))
     attrs = F.map_entries("attributes")
     value = lambda v: F.when(v["type"] == "i", v["value"].try_cast("bigint").cast("string")).when(
-        v["type"] == "f", v["value"].try_cast("float").cast("double").cast("string")).otherwise(_quoted(v["value"]))
+        v["type"] == "f", real(v["value"].try_cast("float").cast("double"))).otherwise(_quoted(v["value"]))
     extra = F.transform(attrs, lambda e: F.struct(e["key"].alias("key"), value(e["value"]).alias("text")))
     base = F.array(
         _entry("chrom", _quoted(F.col("reference_id"))), _entry("ref_start", number(reference_start(F.col("exons")))), _entry("ref_end", number(reference_end(F.col("exons")))),

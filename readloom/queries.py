@@ -21,8 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def graphs_of(spark: SparkSession, sf_dir: str, bucketed: bool = True) -> GraphSet:
-    return derive(spark.read.parquet(f"{sf_dir}/events.parquet"), bucketed)
+def graphs_of(spark: SparkSession, sf_dir: str, bucketed: bool = True, stored: bool = False) -> GraphSet:
+    """The graphs of the events table; ``stored`` where a query reads their tables several times."""
+    return derive(spark.read.parquet(f"{sf_dir}/events.parquet"), bucketed, stored)
 
 
 _BASE = """
@@ -276,7 +277,7 @@ def chain_edges(spark, sf_dir):
 
 
 def _walked(spark, sf_dir):
-    g = graphs_of(spark, sf_dir)
+    g = graphs_of(spark, sf_dir, stored=True)
     return g, traversal.traverse(g)
 
 
@@ -319,7 +320,7 @@ def super_paths(spark, sf_dir):
 
 @query("read_first_paths", "SELECT graph_id, array_to_string(nodes, ',') AS nodes, CAST(len(reads) AS BIGINT) AS n_reads FROM paths", _PATHS)
 def read_first_paths(spark, sf_dir):
-    return traversal.read_first_paths(graphs_of(spark, sf_dir)).select("graph_id", F.array_join("nodes", ",").alias("nodes"), "n_reads")
+    return traversal.read_first_paths(graphs_of(spark, sf_dir, stored=True)).select("graph_id", F.array_join("nodes", ",").alias("nodes"), "n_reads")
 
 
 @query("validate_traversal", "SELECT graph_id, path_id FROM paths WHERE len(nodes) <> len(edges) + 1", _PATHS)
@@ -340,7 +341,7 @@ connected AS (
 
 @query("is_connected", "SELECT graph_id, is_connected FROM connected", _BASE + _CONNECTED)
 def is_connected(spark, sf_dir):
-    return analytics.is_connected(graphs_of(spark, sf_dir))
+    return analytics.is_connected(graphs_of(spark, sf_dir, stored=True))
 
 
 _CYCLE = """,
@@ -354,7 +355,7 @@ cyclic AS (
 
 @query("is_cyclic", "SELECT graph_id, is_cyclic FROM cyclic", _BASE + _CYCLE)
 def is_cyclic(spark, sf_dir):
-    return analytics.is_cyclic(graphs_of(spark, sf_dir))
+    return analytics.is_cyclic(graphs_of(spark, sf_dir, stored=True))
 
 
 @query("is_cyclic_unbucketed", "SELECT graph_id, is_cyclic FROM cyclic", _CYCLIC_BASE + _CYCLE)
@@ -365,7 +366,7 @@ def is_cyclic_unbucketed(spark, sf_dir):
 
 @query("is_dag", "SELECT graph_id, is_connected AND NOT is_cyclic AS is_dag FROM connected JOIN cyclic USING (graph_id)", _BASE + _CONNECTED + _CYCLE)
 def is_dag(spark, sf_dir):
-    return analytics.is_dag(graphs_of(spark, sf_dir))
+    return analytics.is_dag(graphs_of(spark, sf_dir, stored=True))
 
 
 @query("is_simple", "SELECT g.graph_id, COALESCE(MAX(len(p.nodes)), 0) = 2 AS is_simple FROM (SELECT DISTINCT graph_id FROM nodes) g LEFT JOIN paths p ON p.graph_id = g.graph_id GROUP BY g.graph_id", _PATHS)
@@ -375,12 +376,12 @@ def is_simple(spark, sf_dir):
 
 @query("bubbles")
 def bubbles(spark, sf_dir):
-    return analytics.bubbles(graphs_of(spark, sf_dir)).select("graph_id", F.array_join("path1", ",").alias("path1"), F.array_join("path2", ",").alias("path2"))
+    return analytics.bubbles(graphs_of(spark, sf_dir, stored=True)).select("graph_id", F.array_join("path1", ",").alias("path1"), F.array_join("path2", ",").alias("path2"))
 
 
 @query("is_bubble")
 def is_bubble(spark, sf_dir):
-    return analytics.is_bubble(graphs_of(spark, sf_dir))
+    return analytics.is_bubble(graphs_of(spark, sf_dir, stored=True))
 
 
 @query("topology")
@@ -440,12 +441,12 @@ def is_hetero_path(spark, sf_dir):
        FROM lens c JOIN cyclic USING (graph_id) JOIN connected USING (graph_id)""", _PATHS + _FACTS + _CYCLE + _CONNECTED)
 def summary_core(spark, sf_dir):
     """The summary without the class that bubbles decide."""
-    return analytics.summary(graphs_of(spark, sf_dir)).drop("topology")
+    return analytics.summary(graphs_of(spark, sf_dir, stored=True)).drop("topology")
 
 
 @query("summary")
 def summary(spark, sf_dir):
-    return analytics.summary(graphs_of(spark, sf_dir))
+    return analytics.summary(graphs_of(spark, sf_dir, stored=True))
 
 
 # --- exports -------------------------------------------------------------------------------------------------------
@@ -469,7 +470,7 @@ def group_lines(spark, sf_dir):
 @query("attribute_lines", """SELECT graph_id, 'A' || chr(9) || 'N' || chr(9) || node_id || chr(9) || unnest(['ptc:i:' || n_reads, 'ptf:f:' || CAST(n_reads / 10.0 AS DOUBLE)]) AS line FROM nodes
        UNION ALL SELECT graph_id, 'A' || chr(9) || 'E' || chr(9) || edge_id || chr(9) || 'sr:i:' || sr FROM edges""")
 def attribute_lines(spark, sf_dir):
-    return exports.text_lines(graphs_of(spark, sf_dir)).where(F.col("line").startswith("A\t")).select("graph_id", "line")
+    return exports.text_lines(graphs_of(spark, sf_dir, stored=True)).where(F.col("line").startswith("A\t")).select("graph_id", "line")
 
 
 @query("link_lines", """SELECT 'L' || chr(9) || 'L_' || source_graph || '_' || source_element || '__' || target_graph || '_' || target_element || chr(9) || source_graph || ':' || source_element || chr(9)
@@ -484,7 +485,7 @@ def link_lines(spark, sf_dir):
          UNION ALL SELECT unnest(['', '# Graph: ' || graph_id, 'G' || chr(9) || graph_id, '# Nodes', '# Edges', '# Groups', '# Attributes']) FROM (SELECT DISTINCT graph_id FROM nodes)) GROUP BY line""")
 def text_lines(spark, sf_dir):
     """The frame of the native text; element lines have queries of their own."""
-    lines = exports.text_lines(graphs_of(spark, sf_dir))
+    lines = exports.text_lines(graphs_of(spark, sf_dir, stored=True))
     return lines.where(~F.col("line").rlike("^[NEPAL]\t")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -554,7 +555,7 @@ def json_edges(spark, sf_dir):
 
 @query("json_graphs")
 def json_graphs(spark, sf_dir):
-    return exports.json_lines(graphs_of(spark, sf_dir)).select("graph_id", "line")
+    return exports.json_lines(graphs_of(spark, sf_dir, stored=True)).select("graph_id", "line")
 
 
 # --- collections ---------------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SCHEMAS, GraphSet
+from ..storage import materialise
 
 CLASSES = 50
 _ATTRIBUTE = "struct<type:string,value:string>"
@@ -28,9 +29,11 @@ def visits(events: DataFrame, bucketed: bool = True) -> DataFrame:
         F.row_number().over(user.orderBy("b")).alias("pos"), F.count(F.lit(1)).over(user).alias("n"))
 
 
-def derive(events: DataFrame, bucketed: bool = True) -> GraphSet:
+def derive(events: DataFrame, bucketed: bool = True, stored: bool = False) -> GraphSet:
+    """The graphs; with ``stored``, visits, nodes and edges are tables, for callers that read them several times."""
     spark = events.sparkSession
-    v = visits(events, bucketed)
+    keep = materialise if stored else lambda t, _: t
+    v = keep(visits(events, bucketed), "visits")
     zero = F.lit(0).alias("file")
     identity = F.when(F.col("pos") == 1, "SO").when(F.col("pos") == F.col("n"), "SI").otherwise("IN")
     start = F.col("event_id") * 10
@@ -39,22 +42,22 @@ def derive(events: DataFrame, bucketed: bool = True) -> GraphSet:
         F.min("event_type").alias("reference_id"), F.min("b").alias("b"), F.array_sort(F.collect_list(exon)).alias("exons"),
         F.array_sort(F.collect_list(F.struct(F.col("read_id").alias("id"), identity.alias("identity")))).alias("reads"), F.count(F.lit(1)).alias("n_reads"))
     value = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("value"))
-    nodes = grouped.select(
+    nodes = keep(grouped.select(
         zero, "graph_id", "node_id", F.row_number().over(Window.partitionBy("graph_id").orderBy("b", "reference_id")).cast("bigint").alias("ord"), "reference_id",
         F.when(F.col("b") % 2 == 0, "+").otherwise("-").alias("strand"), "exons", "reads", F.repeat(F.lit("ACGT"), F.col("b") + 1).alias("sequence"),
         F.create_map(F.lit("ptc"), value("i", F.col("n_reads").cast("string")), F.lit("ptf"), value("f", (F.col("n_reads") / 10.0).cast("double").cast("string"))).alias("attributes"),
-        F.lit(False).alias("is_placeholder"))
+        F.lit(False).alias("is_placeholder")), "nodes")
     nxt = v.select("graph_id", "d", "user_id", F.col("node_id").alias("sink_id"), (F.col("pos") - 1).alias("pos"))
     pairs = v.select("graph_id", "d", "user_id", F.col("node_id").alias("source_id"), "pos").join(nxt, ["graph_id", "d", "user_id", "pos"]).groupBy("graph_id", "source_id", "sink_id").agg(F.count(F.lit(1)).alias("sr"))
     side = lambda k: nodes.select("graph_id", F.col("node_id").alias(f"{k}_id"), F.col("ord").alias(f"{k}_ord"), F.col("reference_id").alias(f"{k}_ref"),
                                   F.get("exons", F.lit(0))["start"].alias(f"{k}_start"), F.element_at("exons", -1)["end"].alias(f"{k}_end"))
     both = pairs.join(side("source"), ["graph_id", "source_id"]).join(side("sink"), ["graph_id", "sink_id"])
-    edges = both.select(
+    edges = keep(both.select(
         zero, "graph_id", F.concat(F.lit("E_"), "source_id", F.lit("__"), "sink_id").alias("edge_id"),
         F.row_number().over(Window.partitionBy("graph_id").orderBy("source_ord", "sink_ord")).cast("bigint").alias("ord"), "source_id", "sink_id",
         F.struct(F.col("source_ref").alias("reference_name1"), F.col("sink_ref").alias("reference_name2"), F.col("source_end").alias("breakpoint1"), F.col("sink_start").alias("breakpoint2"),
                  F.when(F.col("source_ref") == F.col("sink_ref"), "splice").otherwise("TRA").alias("sv_type")).alias("sv"),
-        F.create_map(F.lit("sr"), value("i", F.col("sr").cast("string"))).alias("attributes"))
+        F.create_map(F.lit("sr"), value("i", F.col("sr").cast("string"))).alias("attributes")), "edges")
     number = F.regexp_replace(F.col("d").cast("string"), "-", "").cast("bigint") * 1000 + F.col("k")
     graphs = v.select("graph_id", "d", "k").distinct().select(zero, "graph_id", number.alias("ord"), F.expr(f"CAST(map() AS map<string,{_ATTRIBUTE}>)").alias("attributes"))
     ends = v.where("pos = n").select("user_id", F.date_add("d", 1).alias("d"), F.col("graph_id").alias("source_graph"), F.col("node_id").alias("source_element"))

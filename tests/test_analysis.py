@@ -8,21 +8,23 @@ from readloom.functions import identifiers, intervals
 from readloom.operators import analytics, traversal
 from readloom.sources.build import loads
 
-from .graphs import BUBBLE, TWO_GRAPHS, TWO_TRANSCRIPTS
+from . import model
+from .graphs import DIAMOND, RIVER, TWO_GRAPHS
 
 
 def paths_of(g):
     return [(r.graph_id, r.path_id, r.nodes, r.edges) for r in traversal.traverse(g).orderBy("graph_id", "path_ord").collect()]
 
 
-def test_paths_and_ids(spark):
-    got = paths_of(loads(spark, TWO_TRANSCRIPTS))
-    assert [(p[1], p[2]) for p in got] == [("TSP1762462040", ["n1", "n3", "n4"]), ("TSP0800130152", ["n2", "n3", "n5"])]
-    got = paths_of(loads(spark, BUBBLE))
-    assert {tuple(p[2]): p[1] for p in got} == {("node1", "node3", "node4"): "TSP2530271482", ("node1", "node2", "node4"): "TSP0010871611", ("node1", "node2", "node3", "node4"): "TSP2411872032"}
-    assert [len(p[2]) for p in got] == [3, 3, 4]
-    # of two out-edges the newer comes first
-    assert [p[3] for p in paths_of(loads(spark, TWO_GRAPHS)) if p[0] == "g2"] == [["y"], ["x"]]
+@pytest.mark.parametrize("source", [RIVER, DIAMOND, TWO_GRAPHS])
+def test_paths_and_ids(spark, source):
+    want = model.read(source)
+    assert paths_of(loads(spark, source)) == [(k, model.path_id(n), n, e) for k in want for n, e in model.paths(want[k])]
+
+
+def test_order_of_paths(spark):
+    assert [p[3] for p in paths_of(loads(spark, RIVER))] == [["race", "lock"], ["bend", "leak"], ["bend", "mouth"]]
+    assert [len(p[2]) for p in paths_of(loads(spark, DIAMOND))] == [3, 3, 4]
 
 
 @pytest.mark.parametrize(("text", "n"), [
@@ -45,16 +47,69 @@ def test_supported_cycle(spark):
 
 
 def test_bubbles_and_topology(spark):
-    g = loads(spark, BUBBLE)
+    g = loads(spark, DIAMOND)
     got = {frozenset((tuple(r.path1), tuple(r.path2))) for r in analytics.bubbles(g).collect()}
-    pair = lambda a, b: frozenset(tuple(f"node{n}" for n in x.split("-")) for x in (a, b))
-    assert got == {pair("1-3-4", "1-2-4"), pair("1-3", "1-2-3"), pair("2-4", "2-3-4")}
+    pair = lambda a, b: frozenset(tuple(x.split()) for x in (a, b))
+    assert got == {pair("north east south", "north west south"), pair("north east", "north west east"), pair("west south", "west east south")}
     assert tuple(analytics.summary(g).first()) == ("TSG_DEFAULT_GRAPH", 4, 5, 3, 4, True, False, True, "UniquePath")
     g = loads(spark, TWO_GRAPHS)
     kinds = {r.graph_id: r.topology for r in analytics.topology(g, traversal.traverse(g)).collect()}
     assert kinds == {"g1": "NotDefined", "g2": "FadeOut"}
 
 
+def random_graphs(seed, n, most, share, loops=True):
+    rng = random.Random(seed)
+    for k in range(n):
+        names = [f"n{i}" for i in range(rng.randint(1, most))]
+        edges = [e for e in itertools.product(names, names) if rng.random() < share and (loops or e[0] != e[1])]
+        rng.shuffle(edges)
+        yield f"g{k}", names, edges
+
+
+def written(graphs):
+    return "".join(f"G {k}\n" + "".join(f"N {n} c:+:1-2 r:IN\n" for n in names) + "".join(f"E e{i} {a} {b} c,c,1,2,x\n" for i, (a, b) in enumerate(edges)) for k, names, edges in graphs)
+
+
+@pytest.mark.parametrize("rounds", [100, 2, None])
+def test_bubbles_of_random_graphs_against_a_model(spark, rounds):
+    graphs = [*random_graphs(11, 40, 7, 0.3), *((f"x{k}", *r) for k, *r in random_graphs(12, 10, 12, 0.15))]
+    want = {}
+    for k, names, edges in graphs:
+        out = {n: [b for a, b in reversed(edges) if a == n] for n in names}
+        if found := model.bubbles({n: v for n, v in out.items() if v}, rounds or 10**6):
+            want[k] = found
+    got = {}
+    for r in analytics.bubbles(loads(spark, written(graphs)), rounds=rounds).collect():
+        got.setdefault(r.graph_id, []).append((tuple(r.path1), tuple(r.path2)))
+    assert {k: sorted(v) for k, v in got.items()} == want and sum(map(len, want.values())) > 150
+
+
+@pytest.mark.parametrize("small", [1_000, 0])
+def test_shapes_of_random_graphs(spark, small):
+    """Settled whole, and by rounds of joins, as graphs of any size are."""
+    ring = [f"m{i}" for i in range(40)]
+    graphs = [*random_graphs(5, 40, 9, 0.12), ("chain", ring, list(itertools.pairwise(ring))), ("ring", ring, [*itertools.pairwise(ring), (ring[-1], ring[0])]), ("loop", ["a"], [("a", "a")]), ("none", ["a", "b"], [])]
+    got = {r.graph_id: (r.is_connected, r.is_cyclic) for r in analytics.shapes(loads(spark, written(graphs)), small).collect()}
+    assert got == {k: (model.connected(n, e), model.cyclic(e)) for k, n, e in graphs}
+
+
+def test_many_graphs_in_small_tables(spark, monkeypatch):
+    """Graphs stay whole where a task's rows are solved in several tables."""
+    from readloom.operators import wholes
+
+    monkeypatch.setattr(wholes, "GATHER", 7)
+    edges = [(f"g{k:02d}", f"n{i}", f"n{i + 1}") for k in range(30) for i in range(k % 9)]
+    df = spark.createDataFrame(edges, "graph_id string, source_id string, sink_id string").repartition(5)
+
+    def count(t):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pylist([{"graph_id": k, "n": t.column("graph_id").to_pylist().count(k)} for k in sorted(set(t.column("graph_id").to_pylist()))], schema=pa.schema([("graph_id", pa.string()), ("n", pa.int64())]))
+
+    assert {r.graph_id: r.n for r in wholes.solve(df, count, "graph_id string, n long").collect()} == {f"g{k:02d}": k % 9 for k in range(30) if k % 9}
+    assert len(wholes.solve(df, count, "graph_id string, n long").collect()) == len({e[0] for e in edges})
+
+
 def test_equi_and_hetero(spark):
     node = lambda n: f"N {n} c:+:1-2 r:IN\n"
     edge = lambda a, b: f"E {a}{b} {a} {b} c,c,1,2,x\n"

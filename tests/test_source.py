@@ -6,24 +6,24 @@ from readloom.operators import lookups, validation
 from readloom.sources.build import InvalidGraphs, load, loads, tables
 from readloom.sources.text import numbered, read_records
 
-from .graphs import TWO_GRAPHS, TWO_TRANSCRIPTS
+from .graphs import RIVER, TWO_GRAPHS
 
 
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_two_transcripts(spark):
-    g = loads(spark, TWO_TRANSCRIPTS)
-    assert rows(g.headers, "tag", "value") == [("TSG", "1.0"), ("reference", "demo")]
-    assert [r[0] for r in g.nodes.orderBy("ord").select("node_id").collect()] == ["n1", "n2", "n3", "n4", "n5"]
-    assert g.edges.count() == 4 and rows(g.graphs, "graph_id") == [("TSG_DEFAULT_GRAPH",)]
-    n1 = g.nodes.where("node_id = 'n1'").first()
-    assert [(e.start, e.end) for e in n1.exons] == [(1000, 1200), (1500, 1700)]
-    assert {k: tuple(v) for k, v in n1.attributes.items()} == {"expression": ("f", "10.5"), "ptc": ("i", "10")}
-    assert tuple(g.edges.where("edge_id = 'e1'").first().attributes["note"]) == ("Z", "a:b:c")
-    t1 = g.groups.where("group_id = 't1'").first()
-    assert [(e.id, e.orientation) for e in t1.elements][:2] == [("n1", "+"), ("e1", "+")] and tuple(t1.attributes["tpm"]) == ("f", "8.2")
+def test_river(spark):
+    g = loads(spark, RIVER)
+    assert rows(g.headers, "tag", "value") == [("TSG", "1.0"), ("origin", "invented")]
+    assert [r[0] for r in g.nodes.orderBy("ord").select("node_id").collect()] == ["spring", "ford", "weir", "delta", "marsh"]
+    assert g.edges.count() == 5 and rows(g.graphs, "graph_id") == [("TSG_DEFAULT_GRAPH",)]
+    ford = g.nodes.where("node_id = 'ford'").first()
+    assert [(e.start, e.end) for e in ford.exons] == [(400, 480), (520, 560)] and ford.sequence == "CCGGT"
+    assert {k: tuple(v) for k, v in ford.attributes.items()} == {"depth": ("f", "3.25"), "rank": ("i", "7")}
+    assert tuple(g.edges.where("edge_id = 'leak'").first().attributes["why"]) == ("Z", "x:y:z")
+    walk = g.groups.where("group_id = 'walk'").first()
+    assert [(e.id, e.orientation) for e in walk.elements][3:] == [("leak", "+"), ("marsh", "-")] and tuple(walk.attributes["score"]) == ("f", "0.5")
 
 
 def test_sections_and_links(spark):
