@@ -2,9 +2,11 @@
 
 Every source is a queue of its documents in shuffled order, repeated at most ``MAX_REPEATS`` times. A document's virtual
 finish time is its source's words up to it divided by the source's target, so at virtual time 1 each source has given
-its target. A global range sort by virtual time interleaves the sources in proportion, running sums give each copy its
-place in the mix, and the mix is truncated at the total budget. The sum of the targets is reached at time 1, so the
-document that a source is giving at that moment is cut there.
+its target; the copy that a source is giving at that moment is cut in two packets there. A global range sort by virtual
+finish time interleaves the sources in proportion, running sums give each packet its place in the mix, and the mix ends
+where the total budget does: it takes the packets up to there, and of the last one what is left. The default budget is
+all words, which the targets share; so it ends about virtual time 1, where packets that finish later fill up what
+fractions of words leave.
 
 The running sums are two-pass: rows are range-sorted by (source, shuffle key), each task sums its own run, and offsets
 come from one total per task and source. A source that holds a third of all rows is spread over many tasks.
@@ -32,7 +34,10 @@ def n_words(text):
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
-    """(source, source_size, target) of each source; ``sizes``: source, size.
+    """(source, source_size, target, total, slack) of each source; ``sizes``: source, size.
+
+    ``total``: all words, the sum of the targets. ``slack``: how many words the whole words of all targets fall short of
+    it at most, one a source.
 
     Sources by code point, null last, weigh ``weights``, repeating. All words are shared by weight; a target stops at
     ``repeats`` times its source's words and the excess is shared again by weight until none is above. That fixed point
@@ -54,7 +59,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
         .withColumn("shared", F.min(F.when(F.col("open"), F.struct("r", F.col("source").isNull(), "source", "level"))).over(every)["level"])
     )
     capped = F.col("shared").isNull() | (F.col("r") < F.col("shared"))
-    return rows.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("shared")).alias("target"))
+    return rows.select(
+        "source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("shared")).alias("target"),
+        F.sum("source_size").over(every).alias("total"), (F.count(F.lit(1)).over(every) + 1).alias("slack"))
 
 
 def running(rows: DataFrame, key: list[str], group: str, size: str, name: str, into: str = "before") -> DataFrame:
@@ -94,7 +101,7 @@ def shuffle_key(doc_id):
 
 
 def queues(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, hashed: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, before of every row of ``docs`` (doc_id, source, text).
+    """doc_id, source, size, source_size, target, total, slack, before of every row of ``docs`` (doc_id, source, text).
 
     ``before``: its source's words that come earlier. Rows with equal ids are ordered by their size. A null source is a
     source of its own. With ``hashed``, a column hash of the text comes along.
@@ -107,66 +114,75 @@ def queues(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = M
     queued = running(sizes, ["shuffle", "doc_id", "size"], "source", "size", "queues")
     # one row per source, a bounded side in any sane corpus, but not proven so: the join is left to the planner
     rows = queued.join(goal, F.col("source").eqNullSafe(F.col("_source")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "before", *(["hash"] if hashed else []))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "total", "slack", "before", *(["hash"] if hashed else []))
 
 
-def started(queued: DataFrame):
-    """Whether virtual time 1 finds a document begun; its copies all start later than itself."""
-    return (F.col("size") > 0) & (F.col("before") < F.floor("target"))
+def queued_up(queued: DataFrame):
+    """Whether a document can be reached: virtual time 1, and as many words as the budget has beyond it, find it begun."""
+    return (F.col("size") > 0) & (F.col("before") < F.floor("target") + F.col("slack"))
 
 
 def schedule(queued: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
-    """A row per copy begun before virtual time 1 (``copy`` from 0, ``words`` given by then), with its ``finish`` in (0, 1].
+    """A row per packet (``copy`` from 0, ``start``, ``words``, ``finish``) of the copies that can be reached.
 
-    A copy's virtual finish is its source's words up to its end, divided by the source's target. The copy that a source
-    is giving at time 1 is cut there, at a whole word.
+    A copy is one packet, or two where its source's target falls inside it, cut at the whole words of the target.
+    ``start`` is the words that its source gives before a packet, and ``finish``, its virtual finish time, those up to
+    its end divided by the target.
     """
-    copies = queued.where(started(queued)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    start = F.col("before") + F.col("copy") * F.col("source_size")
-    words = F.least(F.col("size"), F.floor("target") - start)
-    return copies.withColumn("words", words).where("words > 0").withColumn("finish", (start + F.col("words")) / F.col("target"))
+    copies = queued.where(queued_up(queued)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    begin, cut = F.col("before") + F.col("copy") * F.col("source_size"), F.floor("target")
+    end = begin + F.col("size")
+    packet = lambda a, z: F.struct(a.alias("start"), (z - a).alias("words"))
+    two = F.explode(F.array(packet(begin, F.least(end, F.greatest(begin, cut))), packet(F.least(end, F.greatest(begin, cut)), end)))
+    packets = copies.where(begin < cut + F.col("slack")).select("*", two.alias("p")).where("p.words > 0")
+    return packets.select(*copies.columns, "p.start", "p.words").withColumn("finish", (F.col("start") + F.col("words")) / F.col("target"))
 
 
 def in_order(scheduled: DataFrame, budget: int | None = None) -> DataFrame:
-    """The scheduled rows with ``offset``, the words of the mix before a row, truncated where the mix has ``budget`` words.
+    """The scheduled packets with ``offset``, the words of the mix before one, truncated where the mix has ``budget`` words.
 
-    Rows are globally range-sorted by virtual finish time (ties by id and copy), with two-pass running sums. The default
-    budget is the sum of the targets, which virtual time 1 reaches. ``words`` becomes what the budget leaves of a row;
-    rows beyond it keep zero words.
+    Packets are globally range-sorted by virtual finish time (ties by id, source, copy and start), with two-pass running
+    sums. The budget is the words of all sources, or ``budget`` if that is less. ``words`` becomes what it leaves of a
+    packet; those beyond it keep zero words.
     """
-    laid = running(scheduled.withColumn("_all", F.lit(0)), ["finish", "doc_id", "copy"], "_all", "words", "mix", "offset").drop("_all")
-    if budget is None:
-        return laid
-    return laid.withColumn("words", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.lit(budget) - F.col("offset"))))
+    laid = running(scheduled.withColumn("_all", F.lit(0)), ["finish", "doc_id", "source", "copy", "start"], "_all", "words", "mix", "offset").drop("_all")
+    most = F.col("total") if budget is None else F.least(F.col("total"), F.lit(budget).cast("long"))
+    return laid.withColumn("words", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), most - F.col("offset"))))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, budget: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, first_offset of every row of ``docs`` (doc_id, source, text).
 
     ``taken``: the words that the mix takes of it, over all repeats; ``first_offset``: the words of the mix before its
-    first copy, null where none is taken. Without a smaller ``budget`` a source's documents give exactly the whole words
-    of its target. Null and empty texts have no words and give none. Equal rows share alike only in sum.
+    first packet, null where none is taken. Without a smaller ``budget`` the mix has as many words as the documents, and
+    each source gives the whole words of its target and what fractions leave. Null and empty texts have no words and
+    give none. Equal rows share alike only in sum. An empty table gives no row; other columns aren't read.
     """
     queued = queues(docs, weights, repeats)
-    # documents with words differ in (source, before), so the group of a row's copies is the row itself
+    # documents with words differ in (source, before), so the group of a row's packets is the row itself
     row = ["doc_id", "source", "size", "source_size", "target", "before"]
     given = in_order(schedule(queued, repeats), budget).groupBy(*row).agg(
         F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("offset"))).alias("first_offset"))
-    rest = queued.where(~started(queued)).select(*row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_offset"))
+    rest = queued.where(~queued_up(queued)).select(*row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_offset"))
     return given.unionByName(rest).select(*row[:-1], "taken", "first_offset")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix as documents: rows of ``docs``, with all columns, as often as they are taken, in order of virtual time.
 
-    Texts stay whole: the copy at which a source ends is kept where the mix takes half of it or more. A row is known by
-    its id, source and a hash of its text; rows equal in these are taken as copies of one.
+    Texts stay whole: a copy that the mix's end or its source's target cuts is kept where the mix takes half of it or
+    more. A row is known by its id, source and a hash of its text; rows equal in these are taken as copies of one. Null
+    and empty texts have no words and are never taken. An empty table gives none. Columns may have any names.
+
+    The plan, a row per document, is broadcast to the texts up to ``MAX_BROADCAST`` rows, so that they are shuffled once,
+    by the sort; beyond it the join shuffles them too.
     """
     names = docs.columns
     i, c, h = (fresh(names, n) for n in ("_id", "_source", "_hash"))
     key = {i: F.col("doc_id").cast("long"), c: F.col("source").cast("string"), h: F.xxhash64("text")}
-    plan = schedule(queues(docs, weights, repeats, hashed=True), repeats).where("2 * words >= size")
-    plan = materialise(plan.select("doc_id", "source", "hash", "copy", "finish"), "schedule")
+    packets = in_order(schedule(queues(docs, weights, repeats, hashed=True), repeats))
+    plan = packets.groupBy("doc_id", "source", "hash", "before", "size", "copy").agg(F.sum("words").alias("words"), F.max("finish").alias("finish")).where("2 * words >= size")
+    plan = materialise(plan.groupBy("doc_id", "source", "hash").agg(F.array_sort(F.collect_list(F.struct("copy", "finish", "before"))).alias("p")), "schedule")
     keyed = docs.withColumns(key)
     twice = materialise(keyed.groupBy(i, c, h).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(i, c, h), "repeated")
     if twice.take(1):
@@ -176,7 +192,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
         once = keyed.alias("a").join(few, same, "left_semi").dropDuplicates([i, c, h])
         keyed = keyed.alias("a").join(few, same, "left_anti").unionByName(once)
     rows = keyed.alias("a").join(
-        plan.alias("p"), F.col(f"a.{i}").eqNullSafe(F.col("p.doc_id")) & F.col(f"a.{c}").eqNullSafe(F.col("p.source")) & (F.col(f"a.{h}") == F.col("p.hash")))
-    finish, copy = F.col("p.finish"), F.col("p.copy")
-    laid = rows.select(*[F.col(f"a.`{n}`") for n in names], finish.alias(f := fresh(names, "_finish")), copy.alias(k := fresh([*names, f], "_copy")))
-    return laid.repartitionByRange(f, "doc_id", k).sortWithinPartitions(f, "doc_id", k).select(*names)
+        sized(plan, MAX_BROADCAST).alias("p"), F.col(f"a.{i}").eqNullSafe(F.col("p.doc_id")) & F.col(f"a.{c}").eqNullSafe(F.col("p.source")) & (F.col(f"a.{h}") == F.col("p.hash")))
+    laid = rows.select(*[F.col(f"a.`{n}`") for n in names], F.explode("p.p").alias(x := fresh(names, "_copy")))
+    order = [F.col(f"`{x}`.finish"), F.col("doc_id"), F.col(f"`{x}`.copy"), F.col(f"`{x}`.before")]
+    return laid.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{n}`") for n in names])

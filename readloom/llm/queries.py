@@ -40,7 +40,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_offset")
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,26 @@ ORACLE_SQL: dict[str, str] = {
         goals AS (
           SELECT source, source_size, CASE WHEN r < (SELECT level FROM shared) THEN CAST(cap AS DOUBLE) ELSE w * (SELECT level FROM shared) END AS target FROM levels),
         queued AS (
-          SELECT s.doc_id, s.size, g.source_size, g.target,
+          SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
                  coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id, s.size
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-          FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size))
-                    + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken
-        FROM queued""",
+          FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+        numbered AS (
+          SELECT *, row_number() OVER () AS id, CAST(floor(target) AS BIGINT) AS cut FROM queued),
+        copies AS (
+          SELECT id, doc_id, source, target, cut, copy, CAST(before AS BIGINT) + copy * source_size AS a, CAST(before AS BIGINT) + copy * source_size + size AS z
+          FROM numbered, (VALUES (0), (1), (2)) c(copy)
+          WHERE size > 0 AND before + copy * source_size < cut + (SELECT count(*) + 1 FROM goals)),
+        packets AS (
+          SELECT id, doc_id, source, target, copy, a, least(z, cut) AS z FROM copies WHERE a < cut
+          UNION ALL SELECT id, doc_id, source, target, copy, greatest(a, cut), z FROM copies WHERE z > cut),
+        laid AS (
+          SELECT *, coalesce(sum(z - a) OVER (ORDER BY CAST(z AS DOUBLE) / target, doc_id NULLS FIRST, source NULLS FIRST, copy, a
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+          FROM packets),
+        given AS (
+          SELECT id, sum(least(z - a, (SELECT sum(source_size) FROM per) - place)) AS taken, min(place) AS first_offset
+          FROM laid WHERE place < (SELECT sum(source_size) FROM per) GROUP BY id)
+        SELECT n.doc_id, n.size, n.source_size, n.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, CAST(g.first_offset AS BIGINT) AS first_offset
+        FROM numbered n LEFT JOIN given g ON g.id = n.id""",
 }

@@ -23,22 +23,33 @@ def plain_targets(size):
     return target
 
 
-def plain_mix(rows):
+def plain_mix(rows, budget=None):
+    """One list of all packets of all copies, sorted and cut."""
     docs = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, s, t in rows]
     size = defaultdict(int)
     for _, s, n in docs:
         size[s] += n
     target = plain_targets(size)
-    out, at = [], defaultdict(int)
-    for i, s, n in sorted(docs, key=lambda d: (hashlib.md5(("" if d[0] is None else str(d[0])).encode()).hexdigest(), d[0] or 0, d[2])):
-        taken = sum(max(0, min(n, int(target[s]) - at[s] - k * size[s])) for k in range(3))
-        out.append((str(i), n, size[s], round(target[s], 3), taken))
+    packets, at, queue = [], defaultdict(int), []
+    for k, (i, s, n) in enumerate(sorted(docs, key=lambda d: (hashlib.md5(("" if d[0] is None else str(d[0])).encode()).hexdigest(), d[0] or 0, d[2]))):
+        queue.append((i, s, n))
+        for copy in range(3):
+            a = at[s] + copy * size[s]
+            cut = min(max(int(target[s]), a), a + n)
+            packets += [(z / target[s], (i is not None, i or 0), (s is not None, s or ""), copy, b, z - b, k) for b, z in ((a, cut), (cut, a + n)) if z > b]
         at[s] += n
-    return sorted(out), size, target
+    left = total = min(sum(size.values()), budget if budget is not None else 1 << 60)
+    taken, first = defaultdict(int), {}
+    for *_, n, k in sorted(packets):
+        if left:
+            first.setdefault(k, total - left)
+        taken[k] += min(n, left)
+        left -= min(n, left)
+    return sorted((str(i), n, size[s], round(target[s], 3), taken[k], first.get(k, -1)) for k, (i, s, n) in enumerate(queue)), size, target
 
 
 def got_of(df):
-    return sorted((str(r.doc_id), r["size"], r.source_size, round(r.target, 3), r.taken) for r in df.collect())
+    return sorted((str(r.doc_id), r["size"], r.source_size, round(r.target, 3), r.taken, -1 if r.first_offset is None else r.first_offset) for r in df.collect())
 
 
 def test_query(spark, sf_dir):
@@ -51,28 +62,25 @@ def test_skewed_sources_and_caps(spark):
     rows = [(i, "big" if i % 3 else ["a", "b", None, "é"][i % 4], "w " * (i % 50)) for i in range(900)] + [(900, "tiny", "one two"), (901, "none", None), (902, "none", ""), (903, "none", "\x85 x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit(1)).repartition(7)
     want, size, target = plain_mix(rows)
-    got = got_of(mixing.mix(df))
-    assert got == want
+    total = sum(size.values())
+    assert got_of(mixing.mix(df)) == want and sum(r[4] for r in want) == total
+    of = {str(i): s for i, s, _ in rows}
     taken = defaultdict(int)
-    for r in mixing.mix(df).collect():
-        taken[r.source] += r.taken
-        assert r.taken <= 3 * r["size"]
-    assert all(abs(taken[s] - target[s]) < 1 for s in size) and any(target[s] == 3 * size[s] for s in size)
-    scheduled = mixing.schedule(mixing.queues(df)).collect()
-    assert sum(r.words for r in scheduled) == sum(taken.values()) and all(0 < r.finish <= 1 + 1e-9 for r in scheduled)
-    places, at = {}, 0
-    for r in sorted(scheduled, key=lambda r: (r.finish, r.doc_id, r.copy)):
-        places[r.doc_id, r.copy] = (at, r.words)
-        at += r.words
-    assert {(r.doc_id, r.copy): (r.offset, r.words) for r in mixing.in_order(mixing.schedule(mixing.queues(df))).collect()} == places
-    # a smaller budget ends the mix in the middle of a copy
-    half = at // 2
-    short = {r.doc_id: (r.taken, r.first_offset) for r in mixing.mix(df, budget=half).collect()}
-    assert len(short) == len(rows) and sum(n for n, _ in short.values()) == half
-    for i, (n, first) in short.items():
-        mine = {k: v for k, v in places.items() if k[0] == i}
-        assert n == sum(max(0, min(w, half - o)) for o, w in mine.values())
-        assert first == min((o for o, _ in mine.values() if o < half), default=None)
+    for i, n, *_, got, _ in want:
+        taken[of[i]] += got
+        assert got <= 3 * n
+    assert all(abs(taken[s] - target[s]) <= len(size) + 1 for s in size) and any(target[s] == 3 * size[s] for s in size)
+    for budget in (total // 2, 17, 0, total * 2):  # the mix ends in the middle of a copy
+        want = plain_mix(rows, budget)[0]
+        assert got_of(mixing.mix(df, budget=budget)) == want and sum(r[4] for r in want) == min(budget, total)
+
+
+def test_plan_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, f"s{i % 4}", f"text {i} " * (i % 9)) for i in range(300)] + [(7, "s3", "text 7 " * 7)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    one = [tuple(r) for r in mixing.mixed_documents(df).collect()]
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert [tuple(r) for r in mixing.mixed_documents(df).collect()] == one and len(one) > 250
 
 
 def test_repeated_and_empty_rows(spark):
