@@ -23,7 +23,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX
     """Features and quality labels of at most ``max_rows`` rows that aren't held out, in an order of their own.
 
     The rows are those whose ids hash lowest: the same at every partitioning. A document without text counts as
-    empty; labels that are null or without a document are left out; of repeated rows one stands for all.
+    empty; labels that are null or without a document are left out; of repeated rows the one with the least features
+    stands for all, and of repeated labels the greatest. An empty table gives no row. Other columns aren't read.
     """
     ids = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
@@ -42,9 +43,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX
             yield batch_of(schema, [(i, y, statistics(raw)[1]) for i, y, raw in zip(
                 b.column("doc_id").to_pylist(), b.column("_label").to_pylist(), b.column("_raw").to_pylist(), strict=True)])
 
-    got = rows.select("doc_id", "_label", "_raw").mapInArrow(stats, "doc_id long, label int, x array<double>").collect()
-    first = {}
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["x"])):
-        first.setdefault(r["doc_id"], r)
-    x = np.array([r["x"] for r in first.values()], dtype=np.float64).reshape(-1, len(FEATURES))
-    return x, np.array([r["label"] for r in first.values()], dtype=np.float64)
+    # of repeated rows one stands for all; they are brought together before anything reaches the driver, so it takes max_rows rows at most
+    got = (
+        rows.select("doc_id", "_label", "_raw").mapInArrow(stats, "doc_id long, label int, x array<double>")
+        .groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()
+    )
+    got.sort(key=lambda r: r["doc_id"])
+    x = np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, len(FEATURES))
+    return x, np.array([r["label"] for r in got], dtype=np.float64)

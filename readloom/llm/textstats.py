@@ -83,7 +83,7 @@ def statistics(raw: bytes | None) -> tuple[tuple[int, int, int, int, int], list[
         (raw.count(b".") + raw.count(b",") + raw.count(b";") + raw.count(b":")) / n,
         upper / letters, (len(raw) - len(raw.translate(None, _DIGITS))) / letters, dup / lines, repeat / n,
         float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0, len(counts) / n, float(counts.max()) / n, short / n,
-        min(n / lines, 1000.0),
+        n / lines,
     ]
     return (n, chars, symbols, dup, repeat), feats
 
