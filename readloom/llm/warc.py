@@ -4,10 +4,12 @@
 index key, archive, offset and length. Of pages with equal payloads, the one with the smallest id is a response and the
 others are revisits that refer to it.
 
-``build_index`` sorts the captures by key (reversed-host URL, then page id), cuts them into compressed blocks of
-``BLOCK_LINES`` lines, and keeps beside each shard a sparse directory with the first key, offset and length of each
-block. ``lookup`` finds captures by key: it bisects the shards' bounds, then a shard's directory, reads one block by its
-byte range, and bisects the lines. ``read_records`` reads captures by byte range, neighbours in one request.
+``build_index`` sorts the captures by key (reversed-host URL, then page id) and place, cuts them into compressed blocks
+of ``BLOCK_LINES`` lines, and keeps beside each shard a sparse directory with the first key, offset and length of each
+block. ``lookup`` finds captures by key: it bisects the shards' bounds and their directories for the blocks that can hold
+a key, then reads each such block by its byte range and bisects the lines. A key that many captures share fills many
+blocks, over several shards, and those are dealt to tasks one by one. ``read_records`` reads captures by byte range,
+neighbours in one request.
 
 Files are named by task attempt and only those that a finished task has returned are referred to, so a lost executor
 leaves stray files but no wrong rows.
@@ -28,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flush_rows, materialise, new_dir, rows_of, sized, store, surt, task_ids
+from .common import flush_rows, materialise, new_dir, rows_of, store, surt, task_ids
 
-#: Payloads that pages share, up to which their table is broadcast (some 30 MB); beyond it, a shuffled join.
+#: Payloads that pages share, of which a table is broadcast at most (some 30 MB): the commonest ones. The others are joined by a shuffle.
 MAX_BROADCAST = 300_000
 BLOCK_LINES = 1000
 #: Byte ranges of one archive that lie this near are read in one request, up to this many bytes in all.
@@ -55,7 +57,7 @@ def record_id(page_id: int | None) -> str:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(digest, size, refers_to): payloads of at least ``min_bytes`` that more than one row has, with their smallest page_id.
+    """(digest, size, refers_to, n): payloads of at least ``min_bytes`` that more than one row has, with their smallest page_id.
 
     Only digests are shuffled, pre-aggregated.
     """
@@ -63,7 +65,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return (
         pages.select("page_id", F.sha1(raw).alias("digest"), F.octet_length(raw).alias("size")).where(F.col("size") >= min_bytes)
         .groupBy("digest", "size").agg(F.min(F.col("page_id").cast("long")).alias("refers_to"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest", "size", "refers_to")
+        .where("n > 1")
     )
 
 
@@ -71,13 +73,20 @@ def write_archives(pages: DataFrame, directory: str, min_bytes: int = 0, date: s
     """Write all rows of ``pages`` (page_id, url, html) and return their captures (key, archive, offset, length).
 
     A null html is an empty payload. Rows that share the smallest id of their payload are all responses; a payload whose
-    rows have no id is a response in each.
+    rows have no id is a response in each. Rows whose payload is among the commonest are written without a shuffle.
     """
-    twins = sized(materialise(revisits(pages, min_bytes), "revisits"), MAX_BROADCAST)
+    twins = materialise(revisits(pages, min_bytes), "revisits")
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    joined = keyed.join(twins, ["digest", "size"], "left").select("page_id", "url", "payload", "refers_to")
+    wanted = ["page_id", "url", "payload", "refers_to"]
+    if twins.count() <= MAX_BROADCAST:
+        joined = keyed.join(F.broadcast(twins), ["digest", "size"], "left").select(*wanted)
+    else:  # without the commonest, no payload is left that could crowd a task
+        common = materialise(twins.orderBy(F.desc("n"), "digest", "size").limit(MAX_BROADCAST), "common").select("digest", "size", "refers_to")
+        rest = twins.join(F.broadcast(common), ["digest", "size"], "left_anti").select("digest", "size", "refers_to")
+        near = keyed.join(F.broadcast(common), ["digest", "size"]).select(*wanted)
+        joined = near.unionByName(keyed.join(F.broadcast(common), ["digest", "size"], "left_anti").join(rest, ["digest", "size"], "left").select(*wanted))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = task_ids()
@@ -175,7 +184,8 @@ def build_index(captures: DataFrame, directory: str, block_lines: int = BLOCK_LI
             o.write("\n".join(sparse).encode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (first, last, name)], schema=schema)
 
-    laid = captures.repartitionByRange("key").sortWithinPartitions("key", "archive", "offset")
+    order = ["key", "archive", "offset"]  # the place as well, so that a key that many rows share is spread
+    laid = captures.repartitionByRange(*order).sortWithinPartitions(*order)
     return sorted(tuple(r) for r in laid.mapInArrow(write, "first string, last string, shard string").collect())
 
 
@@ -193,51 +203,55 @@ class Index:
             with self.fs.open_input_file(f"{self.path}/{name}.dir") as f:
                 self.sparse = [json.loads(x) for x in f.read().decode("utf-8", "surrogatepass").split("\n")]
             self.firsts = [x[0] for x in self.sparse]
-            self.file = self.fs.open_input_file(f"{self.path}/{name}.idx")
-            self.name, self.block = name, None
+            self.name = name
 
-    def _lines(self, k: int) -> tuple[list[str], list[list[str]]]:
-        if self.block is None or self.block[0] != k:
-            _, at, length = self.sparse[k]
-            lines = [x.split("\t") for x in zlib.decompress(self.file.read_at(length, at)).decode("utf-8", "surrogatepass").split("\n")]
-            self.block = k, [x[0] for x in lines], lines
-        return self.block[1:]
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(shard, offset, length) of the blocks that can hold a key, from the bounds and directories alone."""
+        s = bisect_left(self.lasts, key)
+        while s < len(self.shards) and self.shards[s][0] <= key:
+            self._open(self.shards[s][2])
+            k = max(0, bisect_left(self.firsts, key) - 1)
+            while k < len(self.sparse) and self.firsts[k] <= key:
+                yield self.name, *self.sparse[k][1:]
+                k += 1
+            s += 1
+
+    def lines(self, shard: str, at: int, length: int, key: str) -> Iterator[tuple[str, str, int, int]]:
+        """The captures of a key in a block. The block stays for the next key."""
+        if self.block is None or self.block[0] != (shard, at):
+            with self.fs.open_input_file(f"{self.path}/{shard}.idx") as f:
+                lines = [x.split("\t") for x in zlib.decompress(f.read_at(length, at)).decode("utf-8", "surrogatepass").split("\n")]
+            self.block = (shard, at), [x[0] for x in lines], lines
+        _, keys, lines = self.block
+        for i in range(bisect_left(keys, key), bisect_right(keys, key)):
+            yield key, lines[i][1], int(lines[i][2]), int(lines[i][3])
 
     def find(self, key: str) -> Iterator[tuple[str, str, int, int]]:
-        """All captures of a key; those of one key can span blocks, not shards."""
-        s = bisect_left(self.lasts, key)
-        if s == len(self.shards) or self.shards[s][0] > key:
-            return
-        self._open(self.shards[s][2])
-        k = max(0, bisect_left(self.firsts, key) - 1)
-        while k < len(self.sparse) and self.firsts[k] <= key:
-            keys, lines = self._lines(k)
-            for i in range(bisect_left(keys, key), bisect_right(keys, key)):
-                yield key, lines[i][1], int(lines[i][2]), int(lines[i][3])
-            k += 1
+        """All captures of a key."""
+        for shard, at, length in self.blocks(key):
+            yield from self.lines(shard, at, length, key)
 
 
 def lookup(keys: DataFrame, directory: str, shards: list[tuple[str, str, str]]) -> DataFrame:
-    """The captures of each distinct key of ``keys`` (column key); keys without a capture give no row.
+    """The captures of each distinct key of ``keys`` (column key); null keys and keys without a capture give no row.
 
-    The keys are range-sorted first, so each task walks a run of blocks in order. ``shards`` has a row per shuffle
-    partition of the index, so what tasks are sent is bounded by the partition count.
+    The distinct keys are range-sorted, so each task walks a run of directories in order; then the blocks they lead to
+    are dealt out, so that a block is read once and no task has more of a key than a block's lines. ``shards`` has a row
+    per shuffle partition of the index, so what tasks are sent is bounded by the partition count.
     """
+    schema = pa.schema([("shard", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("key", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(directory, shards)
+        yield from flush_rows(schema, ((*block, key) for b in batches for key in b.column("key").to_pylist() for block in index.blocks(key)))
 
-        def found() -> Iterator[tuple]:
-            before = None
-            for b in batches:
-                for key in b.column("key").to_pylist():
-                    if key is not None and key != before:
-                        yield from index.find(key)
-                    before = key
-
-        yield from flush_rows(_CAPTURE, found())
+    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(directory, shards)
+        yield from flush_rows(_CAPTURE, (c for b in batches for row in rows_of(b, *schema.names) for c in index.lines(*row)))
 
-    return keys.select("key").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, _CAPTURE_SQL)
+    once = materialise(keys.select("key").where("key IS NOT NULL").distinct(), "keys")
+    found = once.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(which, "shard string, at long, size long, key string")
+    return found.repartition("shard", "at").sortWithinPartitions("shard", "at", "key").mapInArrow(captures, _CAPTURE_SQL)
 
 
 def read_ranges(fs, path: str, wanted: Iterable[tuple[str, int, int]]) -> Iterator[bytes]:
@@ -287,7 +301,9 @@ def page_keys(pages: DataFrame) -> DataFrame:
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to archives, index them, look every page up by its key and read its record back.
 
-    One row per input row; repeated rows are repeated. An empty table gives none.
+    One row per input row: repeated rows are repeated, rows without url and id share a key and are found each. Null and
+    empty html is an empty payload; payloads of any length are read whole. An empty table gives no row; columns other
+    than page_id, url and html aren't read.
     """
     archives, index = new_dir(spark, "warc"), new_dir(spark, "warc-index")
     captures = write_archives(pages, archives, min_bytes)
