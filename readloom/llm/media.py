@@ -1,9 +1,10 @@
 """Media columns: documents stored as 8-bit grey images in archives, read through a Spark data source.
 
 ``write_archives`` packs each payload as a PNG (576 samples a row) into plain tar files of the shared folder, with a
-sidecar of member offsets beside each. The data source ``media_archive`` plans byte ranges over all archives of a
-directory; a range holds the members that start in it. A reader streams batches of payloads through Arrow and retries
-each member by its offset, on a fresh handle, without giving up the others of its range.
+sidecar of member offsets beside each and one list of the finished archives. The data source ``media_archive`` plans byte
+ranges over the archives of a directory, those of that list or else all tar files; a range holds the members that start
+in it. Ranges grow with the directory, so that their number is bounded. A reader streams batches of payloads through Arrow
+and retries each member by its offset, on a fresh handle, without giving up the others of its range.
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ ROW = 576
 PAD = b"\xff"
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 BATCH_BYTES = 8 << 20
+#: Least bytes of a partition, and the partitions that are planned about at most: beyond their product, partitions grow.
 RANGE_BYTES = 8 << 20
+MAX_RANGES = 20_000
+#: The list of a directory's finished archives: a line with name, bytes and members of each.
+LIST = "_archives"
 
 
 def padded(raw: bytes) -> bytes:
@@ -89,17 +94,17 @@ def feature(payload: bytes) -> str:
 def write_archives(docs: DataFrame, directory: str) -> int:
     """Write all rows of ``docs`` (doc_id, text; a null text is empty) and return how many there are.
 
-    A task writes to a name of its own attempt and moves the finished archive to the partition's name, so attempts
-    replace each other whole.
+    Files are named by task attempt. Those of finished tasks are listed once all are done, so a lost executor or a task
+    that runs twice leaves stray files, but no wrong rows.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = task_ids()
         fs, path = store(directory)
         fs.create_dir(path, recursive=True)
-        final, draft = f"{path}/part-{part:06d}.tar", f"{path}/.part-{part:06d}.{attempt}"
-        at, n, offsets = 0, 0, []
-        with fs.open_output_stream(f"{draft}.tar", compression=None) as out:
+        name = f"part-{part:06d}-{attempt}.tar"
+        at, offsets = 0, []
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             for b in batches:
                 for doc_id, raw in rows_of(b, "doc_id", "_raw"):
                     media = encode_png(padded(raw or b""))
@@ -109,33 +114,37 @@ def write_archives(docs: DataFrame, directory: str) -> int:
                     out.write(member)
                     offsets.append((at, len(member)))
                     at += len(member)
-                    n += 1
             out.write(bytes(1024))
-        if n:
-            with fs.open_output_stream(f"{draft}.offsets", compression=None) as out:
-                out.write(np.array(offsets, dtype="<i8").tobytes())
-            fs.move(f"{draft}.offsets", f"{final}.offsets")
-            fs.move(f"{draft}.tar", final)
-        else:
-            fs.delete_file(f"{draft}.tar")
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        if not offsets:
+            fs.delete_file(f"{path}/{name}")
+            return
+        with fs.open_output_stream(f"{path}/{name}.offsets", compression=None) as out:
+            out.write(np.array(offsets, dtype="<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at + 1024], pa.int64()), pa.array([len(offsets)], pa.int64())], names=["name", "size", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_raw"))
-    return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    done = sorted(tuple(r) for r in rows.mapInArrow(write, "name string, size long, n long").collect())  # a row per task
+    fs, path = store(directory)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/{LIST}", compression=None) as out:
+        out.write("".join(f"{name}\t{size}\t{n}\n" for name, size, n in done).encode())
+    return sum(n for *_, n in done)
 
 
 # --- reading -------------------------------------------------------------------------------------------------------
 
 
-class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+class ByteRanges(InputPartition):
+    """(archive, start, end) of the ranges that a task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class MediaArchives(DataSource):
     """``spark.read.format("media_archive").load(directory)``.
 
-    Options: ``rangeBytes`` (bytes of an archive per partition), ``retries`` (attempts per member after the first),
+    Options: ``rangeBytes`` and ``maxRanges`` (least bytes of a partition, and how many there are about at most), ``retries`` (attempts per member after the first),
     ``onError`` (``fail``, or ``row``: a row with the error and no media).
     """
 
@@ -154,32 +163,46 @@ class MediaReader(DataSourceReader):
     def __init__(self, options):
         self.directory = options["path"]
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        self.max_ranges = int(options.get("maxRanges", MAX_RANGES))
         self.retries = int(options.get("retries", 3))
         self.on_error = options.get("onError", "fail")
 
-    def partitions(self) -> list[ByteRange]:
+    def archives(self) -> list[tuple[str, int]]:
+        """(path, bytes) of the archives: those listed, or all tar files where there is no list."""
         fs, path = store(self.directory)
+        if fs.get_file_info(f"{path}/{LIST}").type == pafs.FileType.File:
+            with fs.open_input_file(f"{path}/{LIST}") as f:
+                rows = (x.split("\t") for x in f.read().decode().splitlines())
+                return [(f"{path}/{name}", int(size)) for name, size, _ in rows]
         files = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
-        out = []
-        for f in sorted(files, key=lambda f: f.path):
-            if f.base_name.endswith(".tar") and f.base_name[0] not in "._":
-                out += [ByteRange(f.path, a, min(f.size, a + self.range_bytes)) for a in range(0, f.size, self.range_bytes)]
-        return out or [ByteRange("", 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        return sorted((f.path, f.size) for f in files if f.base_name.endswith(".tar") and f.base_name[0] not in "._")
+
+    def partitions(self) -> list[ByteRanges]:
+        archives = self.archives()
+        step = max(self.range_bytes, -(-sum(size for _, size in archives) // self.max_ranges))
+        out, held, n = [], [], 0
+        for path, size in archives:
+            for a in range(0, size, step):
+                held.append((path, a, min(size, a + step)))
+                n += held[-1][2] - a
+                if n >= step:  # small archives share a partition
+                    out.append(ByteRanges(held))
+                    held, n = [], 0
+        return [*out, ByteRanges(held)] if held or not out else out
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("name", pa.string()), ("media", pa.binary()), ("error", pa.string())])
-        if not partition.archive:
-            return
         fs, _ = store(self.directory)
         rows, size = [], 0
-        short = partition.archive.rsplit("/", 1)[-1]
-        for offset, length in members(fs, partition.archive, partition.start, partition.end):
-            name, media, error = self._member(fs, partition.archive, offset, length)
-            rows.append((short, offset, name, media, error))
-            size += len(media or b"")
-            if size >= BATCH_BYTES:
-                yield _batch(schema, rows)
-                rows, size = [], 0
+        for archive, start, end in partition.ranges:
+            short = archive.rsplit("/", 1)[-1]
+            for offset, length in members(fs, archive, start, end):
+                name, media, error = self._member(fs, archive, offset, length)
+                rows.append((short, offset, name, media, error))
+                size += len(media or b"")
+                if size >= BATCH_BYTES:
+                    yield _batch(schema, rows)
+                    rows, size = [], 0
         if rows:
             yield _batch(schema, rows)
 
@@ -280,7 +303,8 @@ def media_features(media: DataFrame) -> DataFrame:
 def media_round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Store every text of ``docs`` and compute its features from what is read back; one row per row.
 
-    Null and empty texts are one row of padding. Repeated rows and null ids are kept. UTF-8 has no byte 255, so the
+    Null and empty texts are one row of padding; texts of any length are stored whole. Repeated rows and null ids are
+    kept. An empty table gives no row; columns other than doc_id and text aren't read. UTF-8 has no byte 255, so the
     unpadded length is read back exactly.
     """
     directory = new_dir(spark, "media")

@@ -46,6 +46,17 @@ def test_warc_edge_rows(spark, monkeypatch):
     assert warc.archive_round_trip(spark, df.where("page_id < 4").unionByName(df.where("page_id = 9"))).count() == 4
 
 
+def test_hot_keys_and_payloads(spark, monkeypatch):
+    """A third of the rows share url and payload, without an id; few payloads may be broadcast."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    rows = [(None, None, "hot") if i % 3 == 0 else (i, f"http://h{i % 7}/{i}", f"page {i % 40}") for i in range(240)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    want = want_warc([dict(zip(("page_id", "url", "html"), r, strict=True)) for r in rows])
+    for most in (warc.MAX_BROADCAST, 3, 0):
+        monkeypatch.setattr(warc, "MAX_BROADCAST", most)
+        assert sorted((tuple(r) for r in warc.archive_round_trip(spark, df).collect()), key=str) == want
+
+
 def test_index_blocks_and_ranges(spark):
     df = spark.range(500).selectExpr("concat('k', lpad(cast(id div 3 as string), 4, '0')) AS key", "'f' AS archive", "id AS offset", "1L AS length")
     where = new_dir(spark, "index")
@@ -75,12 +86,63 @@ def test_media_query(spark, sf_dir):
     got = queries.op3_media_columns(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in got) == sorted(docs)
     for r in got:
-        p = media.padded(docs[r.doc_id])
+        p = docs[r.doc_id] + b"\xff" * ((-len(docs[r.doc_id])) % 576 or 576 * (not docs[r.doc_id]))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         m = media.encode_png(p)
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(m), hashlib.sha256(m).hexdigest(), media.feature(p)) and media.decode_png(m) == p
 
 
+def plain_feature(p):
+    """With plain sums: is the mean of each 64th above the mean of all; mean and variance in thousandths, rounded down."""
+    from fractions import Fraction
+    from math import floor
+
+    n = len(p)
+    mean = Fraction(sum(p), n)
+    bits = "".join(str(int(Fraction(sum(p[k * n // 64 : (k + 1) * n // 64]) * 64, n) > mean)) for k in range(64))
+    spread = Fraction(sum(x * x for x in p), n) - mean * mean
+    return f"{int(bits, 2):016x}-{floor(1000 * mean)}-{floor(1000 * spread)}"
+
+
+def test_stored_form_by_other_readers(spark):
+    """Archives by tarfile, images by Java's reader, features by plain sums."""
+    import tarfile
+
+    texts = {1: "a text, " * 300, 2: "", 3: None, 4: "é" * 1000}
+    where = new_dir(spark, "media")
+    media.write_archives(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), where)
+    path, found, jvm = store(where)[1], {}, spark._jvm
+    import glob
+
+    for f in glob.glob(f"{path}/*.tar"):
+        with tarfile.open(f) as tar:
+            for m in tar.getmembers():
+                found[int(m.name.removesuffix(".png"))] = tar.extractfile(m).read()
+    got = {r.doc_id: r for r in media.media_features(media.read_archives(spark, where)).collect()}
+    assert sorted(found) == sorted(got) == [1, 2, 3, 4]
+    for i, png in found.items():
+        image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(png))
+        data = bytes(image.getData().getDataBuffer().getData())
+        raw = (texts[i] or "").encode()
+        assert data == raw + b"\xff" * (len(data) - len(raw)) and len(data) == image.getWidth() * image.getHeight() and len(data) - len(raw) <= 576
+        assert got[i].feature == plain_feature(data) and got[i].payload_sha256 == hashlib.sha256(data).hexdigest()
+
+
+def test_partitions_are_bounded_and_strays_unread(spark):
+    where = new_dir(spark, "media")
+    df = spark.createDataFrame([(i, "text " * i) for i in range(200)], "doc_id long, text string").withColumn("media", F.lit(1)).repartition(9)
+    assert media.write_archives(df, where) == 200
+    names = sorted(r.name for r in media.read_archives(spark, where).collect())
+    for most, least in ((1, 1), (4, 1), (50, 200)):
+        read = media.read_archives(spark, where, rangeBytes=least, maxRanges=most)
+        assert read.rdd.getNumPartitions() <= 2 * most + 1 and sorted(r.name for r in read.collect()) == names
+    fs, path = store(where)
+    with fs.open_output_stream(f"{path}/part-000000-999.tar") as out:  # of a task that didn't finish
+        out.write(b"x" * 700)
+    assert sorted(r.name for r in media.read_archives(spark, where).collect()) == names
+    assert media.media_round_trip(spark, df.limit(0)).count() == 0
+
+
 def test_media_ranges_sidecars_and_faults(spark):
     where = new_dir(spark, "media")
     df = spark.createDataFrame([(i, None if i == 3 else "t" * (i * 400)) for i in range(40)] + [(None, ""), (4, "x")], "doc_id long, text string").withColumn("media", F.lit(1))
