@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import store
+from ..storage import put, store
 from .exports import ORDER
 
 
@@ -44,7 +44,7 @@ def per_graph(lines: DataFrame, directory: str, suffix: str, change: Callable[[s
         def finish() -> None:
             if out is not None:
                 out.close()
-                fs.move(f"{root}/.{attempt}.draft", f"{root}/{now}{suffix}")
+                put(fs, f"{root}/.{attempt}.draft", f"{root}/{now}{suffix}")
 
         for b in batches:
             for gid, line in zip(b.column("graph_id").to_pylist(), b.column("line").to_pylist(), strict=True):

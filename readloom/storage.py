@@ -41,3 +41,15 @@ def store(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def put(fs, draft: str, final: str) -> None:
+    """Move a finished file to its name, in place of what an earlier attempt or run has left there.
+
+    Some stores replace the target of a move, others refuse to; there it is deleted first.
+    """
+    try:
+        fs.move(draft, final)
+    except OSError:
+        fs.delete_file(final)
+        fs.move(draft, final)
