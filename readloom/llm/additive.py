@@ -119,7 +119,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
 
 
 def passing(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """The rows of ``docs`` whose text scores 0.5 or more, with all columns."""
+    """The rows of ``docs`` whose text scores 0.5 or more, with all columns, whatever their names.
+
+    A null or empty text is judged by the score of one without words; repeated rows all stay or all go; an empty table
+    gives none.
+    """
 
     def keep(texts: list[bytes | None]) -> list[bool]:
         return (model.score(np.array([statistics(t)[1] for t in texts]).reshape(-1, len(FEATURES))) >= 0.5).tolist()
@@ -130,8 +134,9 @@ def passing(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 def quality_scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; one pass without a shuffle.
 
-    The features come from the text alone. Null and empty texts have all features zero and get the score of those.
-    A null id counts as not held out.
+    The features come from the text alone, the whole of it. Null and empty texts have all features zero and get the
+    score of those. A null id counts as not held out. Repeated rows each get a row; an empty table gives none; columns
+    other than doc_id and text aren't read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 

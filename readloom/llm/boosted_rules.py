@@ -128,15 +128,18 @@ def judge(texts: list[bytes | None], model: FlatTrees, threshold: float = 0.5) -
 
 
 def passing(docs: DataFrame, model: FlatTrees) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all columns."""
+    """The rows of ``docs`` that the rules keep, with all columns, whatever their names.
+
+    Null and empty texts have no words and go; repeated rows all stay or all go; an empty table gives none.
+    """
     return filter_rows(docs, "text", lambda texts: [j[3] for j in judge(texts, model)])
 
 
 def quality_rules(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, tree_score and kept of every row; one pass without a shuffle.
 
-    Null and empty texts have no words, so they fail the base rule. Repeated rows each get a row; other columns of
-    ``docs`` are not read.
+    Null and empty texts have no words, so they fail the base rule. Texts of any length are read whole. Repeated rows
+    each get a row, as do null ids; an empty table gives none; other columns of ``docs`` are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),

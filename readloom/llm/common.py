@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, new_dir, shared_root, store  # noqa: F401 - the operators take them from here
+from ..storage import materialise, new_dir, put, shared_root, store  # noqa: F401 - the operators take them from here
 
 #: The ASCII white space that separates words.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -35,7 +35,10 @@ def fresh(names: list[str], base: str) -> str:
 
 
 def filter_rows(df: DataFrame, column: str, keep) -> DataFrame:
-    """The rows of ``df``, with all their columns, where ``keep`` (binary values of ``column`` -> booleans) holds."""
+    """The rows of ``df``, with all their columns, where ``keep`` (binary values of ``column`` -> booleans) holds.
+
+    Repeated rows are judged alike and each stay or go; nulls are handed over as they are; an empty table gives none.
+    """
     at = [n.lower() for n in df.columns].index(column.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

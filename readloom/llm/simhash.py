@@ -7,10 +7,12 @@ Copies first collapse to one row per fingerprint, so groups of equal texts never
 bits agree on one of four 16-bit bands, so the binary trie over a band's 16 bits followed by the other 48 holds any
 such pair below one node of depth 16. Those subtries are the units of work: each is joined with itself by walking node
 pairs together from the top, a level at a time for all pairs at once; a pair of nodes carries the bits it differs in
-so far and is dropped beyond the error budget. A crowded subtrie (over ``CROWD`` fingerprints) is split on the same
-principle: its remaining bits are cut into four more bands. What is still crowded after that (28 agreeing bits) is cut
-into chunks, and all pairs of chunks are joined as tries, so that no task ever holds an unbounded group and no link is
-lost. A unit yields a spanning forest of its links, at most one per fingerprint, never all of its pairs.
+so far and is dropped beyond the error budget. A crowded subtrie (over ``CROWD`` fingerprints) is split: up to ``CHUNKED``
+fingerprints, into chunks of which each two are joined as tries, at most ``CHUNKED / CROWD`` rows per fingerprint;
+beyond that, on the same principle as before, by four bands of the bits that are left. Fingerprints are distinct, so a
+subtrie with r bits left has no more than 2 ** r of them and the splitting ends. No task ever holds an unbounded group,
+rows never grow with the square of one, and no link is lost. A unit yields a spanning forest of its links, at most one
+per fingerprint, never all of its pairs.
 
 Components come from the forests by rounds of star contraction on tables, cut by ``materialise``.
 """
@@ -18,6 +20,7 @@ Components come from the forests by rounds of star contraction on tables, cut by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints in one subtrie that a task joins as a whole.
 CROWD = 1024
+#: Fingerprints in one subtrie that are joined by pairs of chunks.
+CHUNKED = 64 * CROWD
 #: Node pairs of a trie join that are expanded at once.
 FRONT = 2_000_000
 #: Rows of two longs that are broadcast at most (some 32 MB).
@@ -217,20 +222,28 @@ def _join_units(units: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "u long, v long")
 
 
-def _crowds(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of units that a task joins as a whole, and the others with their unit's count ``_n`` (None without any)."""
-    crowded = materialise(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD), name)
-    if not crowded.take(1):
-        return rows, None
-    return rows.join(crowded, "unit", "left_anti"), rows.join(crowded, "unit")
+def _bands(rows: DataFrame, bits: int) -> DataFrame:
+    """unit, fp, rest of every row four times: its unit with the value of one of four bands of ``rest``, and the other bits.
 
+    ``rest`` has ``bits`` bits. Two fingerprints that agree so far and differ in three bits agree on one of the bands.
+    """
+    width = bits // 4
+
+    def band(j: int):
+        low = width * j
+        value = F.shiftrightunsigned("rest", low).bitwiseAND((1 << width) - 1)
+        above = F.shiftleft(F.shiftrightunsigned("rest", low + width), low) if low + width < bits else F.lit(0).cast("long")
+        return F.struct(F.xxhash64("unit", F.lit(j), value).alias("unit"), above.bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1)).alias("rest"))
+
+    return rows.select("fp", F.explode(F.array(*[band(j) for j in range(4)])).alias("_b")).select("_b.unit", "fp", "_b.rest")
 
-def _runs(word, low: int, width: int):
-    """Four runs of ``width`` bits of ``word`` from bit ``low`` on, as an array of (place, bits)."""
-    return F.array(*[
-        F.struct(F.lit(j).alias("at"), F.shiftrightunsigned(word, low + width * j).bitwiseAND((1 << width) - 1).alias("bits"))
-        for j in range(4)
-    ])
+
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    """Units of ``rows`` (unit, fp, n: its fingerprints) cut into chunks by hash, and one unit per pair of chunks."""
+    dealt = rows.withColumn("_k", F.ceil(F.col("n") / CROWD)).withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_k")))
+    return dealt.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).select(
+        F.xxhash64("unit", F.least("_c", "_d"), F.greatest("_c", "_d")).alias("unit"),
+        F.when(F.col("_c") == F.col("_d"), 0).when(F.col("_c") < F.col("_d"), 1).otherwise(2).alias("side"), "fp")
 
 
 def links(unique: DataFrame) -> DataFrame:
@@ -238,30 +251,19 @@ def links(unique: DataFrame) -> DataFrame:
 
     Two units whose keys hash alike are merely joined as one: links are tested on whole fingerprints.
     """
-    whole = lambda d: d.select("unit", F.lit(0).alias("side"), "fp")
-    rows = unique.select("fp", F.explode(_runs(F.col("fp"), 0, 16)).alias("_b")).select(
-        F.xxhash64("_b.at", "_b.bits").alias("unit"), "fp", F.col("_b.at").alias("_band"))
-    easy, crowded = _crowds(rows, "crowded16")
-    found = _join_units(whole(easy))
-    if crowded is None:
-        return found
-    # the other 48 bits: the fingerprint turned so that its agreeing band comes lowest, from bit 16 on
-    turned = F.col("fp")
-    for i in (1, 2, 3):
-        turn = F.shiftrightunsigned("fp", 16 * i).bitwiseOR(F.shiftleft("fp", 64 - 16 * i))
-        turned = F.when(F.col("_band") == i, turn).otherwise(turned)
-    rows = crowded.select("unit", "fp", F.explode(_runs(turned, 16, 12)).alias("_b")).select(
-        F.xxhash64("unit", "_b.at", "_b.bits").alias("unit"), "fp")
-    easy, crowded = _crowds(rows, "crowded28")
-    found = found.unionByName(_join_units(whole(easy)))
-    if crowded is None:
-        return found
-    # chunks by hash, and one unit per pair of chunks: (c, c) joins a chunk with itself, (c, d) two chunks
-    dealt = crowded.withColumn("_k", F.ceil(F.col("_n") / CROWD)).withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_k")))
-    pairs = dealt.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).select(
-        F.xxhash64("unit", F.least("_c", "_d"), F.greatest("_c", "_d")).alias("unit"),
-        F.when(F.col("_c") == F.col("_d"), 0).when(F.col("_c") < F.col("_d"), 1).otherwise(2).alias("side"), "fp")
-    return found.unionByName(_join_units(pairs))
+    rows, bits, found = unique.select(F.lit(0).cast("long").alias("unit"), "fp", F.col("fp").alias("rest")), 64, []
+    while True:
+        rows, bits = _bands(rows, bits), bits - bits // 4
+        sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+        crowds = materialise(sizes, f"crowds{bits}")
+        if not crowds.take(1):
+            return reduce(DataFrame.unionByName, [*found, _join_units(rows.withColumn("side", F.lit(0)))])
+        found.append(_join_units(rows.join(crowds, "unit", "left_anti").withColumn("side", F.lit(0))))
+        vast = F.col("n") > (CHUNKED if bits >= 4 else 1 << bits)
+        found.append(_join_units(_in_chunks(rows.join(crowds.where(~vast), "unit").select("unit", "fp", "n"))))
+        if not crowds.where(vast).take(1):
+            return reduce(DataFrame.unionByName, found)
+        rows = materialise(rows.join(crowds.where(vast).select("unit"), "unit", "left_semi"), f"rest{bits}")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, flush_rows, materialise, new_dir, rows_of, store, task_ids
+from .common import batch_of, flush_rows, materialise, new_dir, put, rows_of, store, task_ids
 from .packing import LENGTH, SEPARATOR, encoder, sequences, tokens, vocabulary_path
 
 ROUNDS = 6
@@ -127,7 +127,7 @@ def write_shards(seqs: DataFrame, n: int, directory: str, length: int, itemsize:
             draft = f"{path}/.shard-{number:08d}.{attempt}"
             with fs.open_output_stream(draft, compression=None) as out:
                 out.write(data[order].tobytes())
-            fs.move(draft, f"{path}/shard-{number:08d}.bin")
+            put(fs, draft, f"{path}/shard-{number:08d}.bin")
             for slot, seq, count in zip(*(x[order].tolist() for x in numbers), strict=True):
                 yield slot, seq, number, slot % shard * stride, count
 
@@ -196,4 +196,9 @@ def materialise_order(docs: DataFrame, directory: str, length: int = LENGTH, pat
 
 
 def training_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """:func:`materialise_order` into a fresh folder, with the default length, vocabulary and key: a row per sequence.
+
+    Repeated rows are packed as often as they occur, texts of any length whole, rows with a null id or text like others;
+    an empty table gives no row; columns other than doc_id and text aren't read.
+    """
     return materialise_order(docs, new_dir(spark, "shards"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -63,16 +64,56 @@ def test_trie_join_is_exact(monkeypatch):
             assert (simhash._find(parent, np.arange(len(keys))) == want).all() and len(a) == len(keys) - len(set(want))
 
 
-def test_crowded_subtries_lose_no_link(spark, monkeypatch):
-    keys = clustered(9, centres=6, each=60)
+@pytest.mark.parametrize(("crowd", "chunked"), [(8, 10**6), (8, 64), (8, 16), (10**6, 10**6)])
+def test_crowded_subtries_lose_no_link(spark, monkeypatch, crowd, chunked):
+    """By chunks, by splitting again and again, and by both."""
+    rng = np.random.default_rng(9)
+    alike = [int(x) for x in rng.integers(0, 1 << 40, 300)]  # one prefix of 24 bits
+    near = [x ^ sum({1 << int(b) for b in rng.integers(0, 40, 3)}) for x in alike[:60]]
+    keys = np.unique(np.concatenate([np.array(alike + near, dtype=np.uint64) | np.uint64(0xABCDEF << 40), clustered(9, centres=6, each=12)]))
     want = plain_components(keys)
     df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
-    monkeypatch.setattr(simhash, "CROWD", 8)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "CHUNKED", chunked)
     got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
     label = [got.get(int(k), int(k)) for k in keys.view(np.int64)]
     assert len(set(zip(want, label, strict=True))) == len(set(want)) == len(set(label))
 
 
+def test_bands_cut_any_word(spark):
+    rng = np.random.default_rng(4)
+    words = [int(x) for x in rng.integers(-(2**63), 2**63, 50)]
+    for bits in (64, 48, 36, 27, 21, 9):
+        rest = [w & ((1 << bits) - 1) for w in words]
+        df = spark.createDataFrame([(w, r - (1 << 64) if r >> 63 else r) for w, r in zip(words, rest, strict=True)], "fp long, rest long").withColumn("unit", F.lit(1).cast("long"))
+        n = bits // 4
+        want = sorted((w, (r >> (n * j + n)) << (n * j) | r & ((1 << n * j) - 1)) for w, r in zip(words, rest, strict=True) for j in range(4))
+        assert sorted((r.fp, r.rest) for r in simhash._bands(df, bits).collect()) == want
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    """Copies of one text beside chains of near copies, with adaptive execution on and off."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, "the very same text again") for i in range(400)] + [(1000 + i, " ".join(base[:-1] + [f"end{i % 50}"])) for i in range(400)] + [(2000 + i, f"text {i} " * 20) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    out = []
+    try:
+        for on, most in (("true", "-1"), ("false", "10m")):
+            spark.conf.set("spark.sql.adaptive.enabled", on)
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            out.append({r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()})
+            kept = {r.doc_id for r in simhash.one_per_group(df).collect()}
+            assert kept == set(out[-1].values())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert out[0] == out[1] and {out[0][i] for i in range(400)} == {0}
+    keys = np.array([plain_fingerprint(t) for _, t in sorted(rows)], dtype=np.uint64)
+    ids = sorted(i for i, _ in rows)
+    assert out[0] == {i: ids[r] for i, r in zip(ids, plain_components(keys), strict=True)}
+
+
 def test_query_and_edge_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     fp = {r.doc_id: plain_fingerprint(r.text) for r in docs}
