@@ -1,9 +1,10 @@
 """Packing: concatenate and cut.
 
-Every document is its token ids and then the separator id. All documents, in table order, make one stream that is cut
-every ``LENGTH`` ids. Two passes: the first tokenises once and stores the ids with their offset in their partition; the
-second turns partition totals into global offsets by a prefix sum, after which every document knows the windows that it
-crosses. Whole sequences are assembled in place where a task holds all of a window, and only boundary records (the pieces
+Every document is its token ids and then the separator id. All documents make one stream, in the order of their files'
+names and of the rows in each, however files are listed or split; rows that come from no file follow their partitions.
+The stream is cut every ``LENGTH`` ids. Two passes: the first tokenises once and stores the ids with their offset in
+their run, the rows of one split of a file; the second turns the runs' totals into global offsets by a prefix sum, after
+which every document knows the windows that it crosses. Whole sequences are assembled in place where a task holds all of a window, and only boundary records (the pieces
 of windows that partitions share) are shuffled. Pieces are read off the stored sequences.
 
 Token ids are those of a ``tokenizers`` file. A byte-level BPE vocabulary whose ids are its merge ranks gives the same
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,46 +121,53 @@ def encoder(path: str) -> Encoder:
 
 
 def tokens(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """(part, start, n, doc_id, ids): every document's ids with the separator, stored once in the shared folder.
+    """(file, block, part, start, n, doc_id, ids): every document's ids with the separator, stored once in the shared folder.
 
-    ``start`` counts the ids before it in its partition. A null text is empty and has the separator alone. Spark's scan
-    keeps the order of rows in a partition, so a repeated task stores the same.
+    ``file``, ``block`` and ``part`` name the run of a row; ``start`` counts the ids before it there. A null text is empty
+    and has the separator alone. Spark's scan keeps the order of rows in a split, so a repeated task stores the same.
     """
     path = path or vocabulary_path()
-    schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, _ = task_ids()
         enc = encoder(path)
         size, end = enc.kind.itemsize, np.array([separator], dtype=enc.kind).tobytes()
-        at, held, ids = 0, [], 0
+        at: dict[tuple[str, int], int] = {}
+        held, ids = [], 0
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for file, block, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("file", "block", "doc_id", "text")), strict=True):
                 got = enc.encode(text) + end
                 n = len(got) // size
-                held.append((part, at, n, doc_id, got))
-                at, ids = at + n, ids + n
+                start = at.get((file, block), 0)
+                held.append((file, block, part, start, n, doc_id, got))
+                at[file, block], ids = start + n, ids + n
                 if ids >= BATCH_IDS:
                     yield _rows(schema, held)
                     held, ids = [], 0
         if held:
             yield _rows(schema, held)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(rows.mapInArrow(run, "part int, start long, n long, doc_id long, ids binary"), "tokens", **COMPACT)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    try:
+        rows = docs.select(F.input_file_name().alias("file"), F.input_file_block_start().cast("long").alias("block"), *columns)
+    except AnalysisException:  # of several tables, where a row has no one file
+        rows = docs.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), *columns)
+    return materialise(rows.mapInArrow(run, "file string, block long, part int, start long, n long, doc_id long, ids binary"), "tokens", **COMPACT)
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def part_offsets(stored: DataFrame) -> tuple[dict[int, int], int]:
-    """The ids before each partition and the ids in all: a prefix sum over one total per partition."""
-    totals = stored.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("n")).collect()
+def run_offsets(stored: DataFrame) -> tuple[dict[tuple[str, int, int], int], int]:
+    """The ids before each run and the ids in all: a prefix sum over one total per split of a file, or per partition."""
+    run = ["file", "block", "part"]
+    totals = stored.groupBy(*run).agg(F.max(F.col("start") + F.col("n")).alias("n")).collect()
     out, at = {}, 0
-    for r in sorted(totals, key=lambda r: r["part"]):
-        out[r["part"]] = at
-        at += r["n"]
+    for key, n in sorted((tuple(r[c] for c in run), r["n"]) for r in totals):
+        out[key] = at
+        at += n
     return out, at
 
 
@@ -179,9 +188,10 @@ def width(path: str) -> np.dtype:
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document.
 
-    The sequences are assembled and stored in the shared folder, and each piece is cut from its sequence. Repeated rows
-    are packed as often as they occur; an empty table gives no piece. The ids' checksum is over little-endian unsigned
-    32-bit ids.
+    The sequences are assembled and stored in the shared folder, and each piece is cut from its sequence. Null and empty
+    texts are their separator; texts of any length are packed whole, whatever they hold. Repeated rows are packed as often
+    as they occur, null ids like others; an empty table gives no piece; columns other than doc_id and text aren't read.
+    The ids' checksum is over little-endian unsigned 32-bit ids.
     """
     path = path or vocabulary_path()
     packed = materialise(sequences(tokens(docs, path, separator), path, length, separator, spans=True)[0], "sequences", **COMPACT)
@@ -212,7 +222,7 @@ def sequences(stored: DataFrame, path: str, length: int = LENGTH, pad: int = SEP
     one task's run of documents are emitted at once. Those that runs share come as boundary records, which a shuffle
     joins by window: at most two records per run and no more ids than a window has, however long documents are.
     """
-    before, total = part_offsets(stored)
+    before, total = run_offsets(stored)
     last = (total - 1) // length
     kind = width(path)
     data = ["ids", "spans"] if spans else ["ids"]
@@ -230,10 +240,10 @@ def sequences(stored: DataFrame, path: str, length: int = LENGTH, pad: int = SEP
                     out.append((window, begin, have, b"".join(held), *([b"".join(within)] if spans else [])))
 
             for b in batches:
-                columns = [b.column(c).to_pylist() for c in ("part", "start", "n", "ids")]
+                columns = [b.column(c).to_pylist() for c in ("file", "block", "part", "start", "n", "ids")]
                 columns.append(b.column("doc_id").to_pylist() if spans else [None] * b.num_rows)
-                for part, start, n, raw, doc_id in zip(*columns, strict=True):
-                    for at, count, sequence, offset in _cuts(before[part] + start, n, length):
+                for *run_of, start, n, raw, doc_id in zip(*columns, strict=True):
+                    for at, count, sequence, offset in _cuts(before[tuple(run_of)] + start, n, length):
                         if sequence != window or offset != begin + have:
                             close()
                             window, begin, have, held, within = sequence, offset, 0, [], []
@@ -248,7 +258,7 @@ def sequences(stored: DataFrame, path: str, length: int = LENGTH, pad: int = SEP
             if out:
                 yield _rows(schema, out)
 
-        read = stored.select("part", "start", "n", "ids", *(["doc_id"] if spans else []))
+        read = stored.select("file", "block", "part", "start", "n", "ids", *(["doc_id"] if spans else []))
         return read.mapInArrow(run, "sequence_id long, offset int, n int, " + ", ".join(f"{c} binary" for c in data))
 
     shared = cut(False).groupBy("sequence_id").agg(F.sum("n").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("offset", *data))).alias("p"))

@@ -14,13 +14,11 @@ PATH = packing.vocabulary_path()
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_the_file(spark, sf_dir, tokenizer):
-    enc = packing.Encoder(PATH)
+    enc = packing.encoder(PATH)
     assert enc.fast is not None
     odd = ["", " ", "a  b", " a\n b\n\n c ", "it's we'll I'D", "x y z\u0085w", "日本語 テスト", "a\tb\r\nc", "<|endoftext|> x", "١٢٣ 42 ½", "é—“q”…", "\x1c\x00 ok", "naïve façade!!! 3.14"]
     texts = odd + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150).collect()]
@@ -29,8 +27,8 @@ def test_ids_are_those_of_the_file(spark, sf_dir, tokenizer):
 
 
 def test_long_runs_of_white_space(spark, tokenizer):
-    enc = packing.Encoder(PATH)
-    for t in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\r\n \t" * 300_000 + "q", "x" + " " * (packing.LONG_BLANK - 1) + "y"):
+    enc = packing.encoder(PATH)
+    for t in (" " * 5_000_000 + "z", "a" + "\n" * 2_000_000 + "b", "\r\n \t" * 300_000 + "q", "x" + " " * (packing.LONG_BLANK - 1) + "y"):
         assert np.frombuffer(enc.encode(t), enc.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
     rows = [(1, "a b"), (2, "a" + " " * 2_000_000 + "b")]
     check_pieces(packing.pieces(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, tokenizer)
@@ -77,10 +75,29 @@ def test_edge_rows(spark, tokenizer):
     assert packing.pieces(df.limit(0)).count() == 0
 
 
+def test_order_follows_files_however_they_are_split(spark, tmp_path, tokenizer):
+    rows = [(i, f"document {i} " * (i * 7 % 23)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    df.write.option("parquet.block.size", "4096").parquet(f"file://{tmp_path}/docs")
+    before, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for most in ("128m", "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            docs = spark.read.parquet(f"file://{tmp_path}/docs")
+            seen.append((docs.rdd.getNumPartitions(), sorted(tuple(r) for r in packing.pieces(docs, length=64).collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0][0] < seen[1][0] and seen[0][1] == seen[1][1]
+    place = [r[0] for r in sorted(seen[0][1], key=lambda r: (r[5], r[6]))]
+    assert [i for i, p in zip(place, [None, *place], strict=False) if i != p] == list(range(400))
+    both = spark.read.parquet(f"file://{tmp_path}/docs").join(spark.read.parquet(f"file://{tmp_path}/docs").select("doc_id"), "doc_id")
+    check_pieces(packing.pieces(both, length=64).collect(), rows, tokenizer, 64)
+
+
 def test_whole_sequences(spark, tokenizer):
     rows = [(i, "some words " * (i % 7)) for i in range(40)]
     stored = packing.tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), PATH)
-    want = b"".join(r.ids for r in sorted(stored.collect(), key=lambda r: (r.part, r.start)))
+    want = b"".join(r.ids for r in sorted(stored.collect(), key=lambda r: (r.file, r.block, r.part, r.start)))
     seqs, n = packing.sequences(stored, PATH, length=24)
     got = sorted(seqs.collect(), key=lambda r: r.sequence_id)
     assert [r.sequence_id for r in got] == list(range(n)) and b"".join(bytes(r.ids)[: 2 * r.n] for r in got) == want
