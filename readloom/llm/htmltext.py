@@ -1,15 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the characters and the punctuation of its
-nodes; both ratios (per node) are smoothed with those of the paths below the same parent, fused by a product, and the
-paths above a share of the page's weighted mean are content, all of which is returned. Content also pulls in its
-surroundings: an article or main element that holds any gives all its blocks, and the deepest element that holds all of
-it gives what stands beside content, or beside what holds content, below one parent. So short paragraphs and headings of the article are kept.
-
-Elements that are boilerplate by their tag, class, id or role never count: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments of readers. Class, id and role only mark: a marked element that holds an
-article or main counts, unless it holds readers' comments, and so does one that holds most of the text of a page without
-an article or main outside such elements. Unclosed tags are tolerated in the manner of browsers.
+nodes; both ratios (per node) are smoothed with those of the paths below the same parent and fused by a product. Paths
+of boilerplate stand apart and have a prior: their ratio is multiplied by ``PRIOR``. The paths above a share of the
+page's mean ratio are content, all of which is returned. Content also pulls in its surroundings: an article or main
+element that holds any gives all its blocks, and the deepest element that holds all of it gives what stands beside
+content, or beside what holds content, below one parent. So short paragraphs and headings of the article are kept.
+What is boilerplate is never pulled in.
+
+Boilerplate is known by tag, class, id or role: menus, headers, footers, sidebars, notices, adverts, forms, comments of
+readers. Class, id and role only mark: a marked element that holds an article or main isn't boilerplate, unless it holds
+readers' comments, and neither is one that holds most of the text of a page without an article or main outside such
+elements. The contents of scripts and styles are no text. Unclosed tags are tolerated in the manner of browsers.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import flush_rows, rows_of
 
 #: Elements whose text is never main text.
 NOISE_TAGS = frozenset(
-    "head nav footer aside form button select option textarea input label fieldset template dialog menu svg canvas object "
+    "head nav header footer aside form button select option textarea input label fieldset template dialog menu svg canvas object "
     "iframe noscript audio video map datalist".split()
 )
 #: Elements whose content is not markup, up to their own end tag.
@@ -39,6 +41,8 @@ INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub "
     "sup time tt u var".split()
 )
+#: Other tags that don't end a block either, as nothing of them is shown or they stand in a line.
+SILENT_TAGS = frozenset("wbr img script style noscript".split())
 #: Start tags that end an open paragraph.
 CLOSE_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -72,6 +76,10 @@ CONTAINERS = frozenset("article main".split())
 
 #: A path is content where its fused ratio is at least this share of the page's mean, weighted by characters.
 THRESHOLD = 0.2
+#: What a ratio counts for in boilerplate, and the least ratio of content: a character a node.
+PRIOR, LEAST = 1e-6, 1.0
+#: What paths of boilerplate start with.
+APART = "!"
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?--!?>|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/<>]*)([^<>]*)>"
@@ -85,25 +93,25 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、،؛؟]")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
+def _is_noise(tag: str, attrs: str) -> bool:
     if tag in NOISE_TAGS:
         return True
-    if tag == "header":
-        return not in_article
     return bool(attrs) and tag not in KEPT_TAGS and bool(_HIDDEN.search(attrs))
 
 
 def _noise_words(tag: str, attrs: str, in_article: bool) -> set[str]:
-    """The last words of an element's class names, id and role that mark boilerplate."""
+    """The last words of an element's class names, id and role that mark boilerplate; of an article, those of comments, first words too."""
     out: set[str] = set()
-    if not attrs or tag in KEPT_TAGS:
+    if not attrs or (tag in KEPT_TAGS and tag != "article"):
         return out
     for m in _MARKED.finditer(attrs):
         if m[1].lower() == "id" and (tag in HEADINGS or (tag == "section" and in_article)):
             continue
         for name in (m[2] or m[3] or m[4] or "").lower().split():
             parts = _WORDS.findall(name)
-            if parts and parts[-1] in NOISE_WORDS and parts[0] not in LAYOUT_WORDS:
+            if tag == "article":
+                out.update(COMMENT_WORDS.intersection(parts[:1] + parts[-1:]) if parts and parts[0] not in LAYOUT_WORDS else ())
+            elif parts and parts[-1] in NOISE_WORDS and parts[0] not in LAYOUT_WORDS:
                 out.add(parts[-1])
     return out
 
@@ -161,13 +169,15 @@ class _Stack:
                 return
 
 
-def text_nodes(html: str) -> Iterator[tuple[int, str, tuple, str]]:
-    """(block number, tag path, node, text) of the text nodes outside boilerplate, in page order."""
+def text_nodes(html: str, max_depth: int | None = MAX_DEPTH) -> Iterator[tuple[int, str, tuple, str]]:
+    """(block number, tag path, node, text) of the text nodes in page order; paths of boilerplate start with ``APART``."""
     marks: list[_Mark] = []
-    found = list(_unmarked(html, marks))
+    found = list(_unmarked(html, marks, max_depth))
     if marks:
         total, clean = 0, False
-        for *_, text, mark, in_article in found:
+        for *_, text, noise, mark, in_article in found:
+            if noise:
+                continue
             n = len(text.strip())
             total += n
             if mark is not None:
@@ -179,13 +189,12 @@ def text_nodes(html: str) -> Iterator[tuple[int, str, tuple, str]]:
                 m.up.chars += m.chars
         for m in marks:
             m.kept = ((m.article and not m.comments) or (not clean and 2 * m.chars > total)) and (m.up is None or m.up.kept)
-    for number, path, node, text, mark, _ in found:
-        if mark is None or mark.kept:
-            yield number, path, node, text
+    for number, path, node, text, noise, mark, _ in found:
+        yield number, APART + path if noise or (mark is not None and not mark.kept) else path, node, text
 
 
-def _unmarked(html: str, marks: list[_Mark]) -> Iterator[tuple[int, str, tuple, str, _Mark | None, bool]]:
-    """The text nodes outside elements that are boilerplate by tag or hidden, with their mark and whether an article holds them.
+def _unmarked(html: str, marks: list[_Mark], max_depth: int | None) -> Iterator[tuple[int, str, tuple, str, bool, _Mark | None, bool]]:
+    """The text nodes with whether they are boilerplate by tag or hidden, their mark, and whether an article holds them.
 
     ``marks`` takes the marked elements in page order.
     """
@@ -195,20 +204,20 @@ def _unmarked(html: str, marks: list[_Mark]) -> Iterator[tuple[int, str, tuple,
         m = _TOKEN.search(html, at)
         end = m.start() if m else n
         top = stack.top
-        if end > at and not top.noise:
-            yield block, top.path, top.node, html[at:end], top.mark, top.article
+        if end > at:
+            yield block, top.path, top.node, html[at:end], top.noise, top.mark, top.article
         if m is None:
             return
         at = m.end()
         close, name, attrs = m[1], m[2] or m[4], m[3] or m[5] or ""
         if close:
             tag = close.lower()
-            inline = tag in INLINE_TAGS
+            inline = tag in INLINE_TAGS or tag in SILENT_TAGS
             block += not inline
             stack.close((tag,), BLOCKS if inline else NO_STOPS)
         elif name:
             tag = name.lower()
-            inline = tag in INLINE_TAGS
+            inline = tag in INLINE_TAGS or tag in SILENT_TAGS
             block += not inline
             if tag in RAW_TAGS:
                 stop = _end_of(tag).search(html, at)
@@ -221,15 +230,16 @@ def _unmarked(html: str, marks: list[_Mark]) -> Iterator[tuple[int, str, tuple,
             elif tag in CLOSE_OWN:
                 stack.close(next((g for g in ALIKE if tag in g), (tag,)), CLOSE_OWN[tag])
             top = stack.top
-            noise, mark = top.noise or _is_noise(tag, attrs, top.article), top.mark
-            if not noise and tag in CONTAINERS:
+            noise, mark = top.noise or _is_noise(tag, attrs), top.mark
+            marking = () if noise else _noise_words(tag, attrs, top.article)
+            if marking:
+                mark = _Mark(mark, not marking.isdisjoint(COMMENT_WORDS))
+                marks.append(mark)
+            elif not noise and tag in CONTAINERS:
                 while mark is not None and not mark.article:
                     mark.article, mark = True, mark.up
                 mark = top.mark
-            elif not noise and (marking := _noise_words(tag, attrs, top.article)):
-                mark = _Mark(mark, not marking.isdisjoint(COMMENT_WORDS))
-                marks.append(mark)
-            if inline or top.depth >= MAX_DEPTH:
+            if inline or (max_depth is not None and top.depth >= max_depth):
                 path, node, depth = top.path, top.node, top.depth
             else:
                 serial += 1
@@ -243,30 +253,38 @@ def _end_of(tag: str) -> re.Pattern:
 
 
 def content_paths(stats: dict[str, list[float]], threshold: float = THRESHOLD) -> set[str]:
-    """The paths whose smoothed and fused ratios pass; ``stats``: nodes, characters and punctuation by path."""
+    """The paths whose smoothed and fused ratios pass; ``stats``: nodes, characters and punctuation by path.
+
+    The mean is over the characters of all paths, those of boilerplate counting by their prior.
+    """
     family: dict[str, list[float]] = {}
     for path, (n, c, p) in stats.items():
         f = family.setdefault(path.rpartition("/")[0], [0, 0, 0])
         f[0] += n
         f[1] += c
         f[2] += p
-    fused = {}
+    fused, weight, mean = {}, 0.0, 0.0
     for path, (n, c, p) in stats.items():
         fn, fc, fp = family[path.rpartition("/")[0]]
-        fused[path] = (0.5 * c / n + 0.5 * fc / fn) * (1 + 0.5 * p / n + 0.5 * fp / fn)
-    chars = sum(s[1] for s in stats.values())
-    mean = sum(fused[k] * s[1] for k, s in stats.items()) / chars if chars else 0
-    return {k for k, v in fused.items() if v >= threshold * mean}
+        prior = PRIOR if path.startswith(APART) else 1.0
+        fused[path] = prior * (0.5 * c / n + 0.5 * fc / fn) * (1 + 0.5 * p / n + 0.5 * fp / fn)
+        weight += prior * c
+        mean += prior * c * fused[path]
+    least = max(LEAST, threshold * mean / weight) if weight else LEAST
+    return {k for k, v in fused.items() if v >= least}
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page; empty where it has none."""
+def main_text(html: str | None, max_depth: int | None = MAX_DEPTH) -> str:
+    """The main text of a page; empty where it has none. Elements nested beyond ``max_depth`` count as that deep; None: any depth."""
     blocks: list[list] = []  # number, path, node, pieces
-    for number, path, node, text in text_nodes(html or ""):
-        if blocks and blocks[-1][0] == number:
-            blocks[-1][3].append(text)
+    last: dict[bool, list] = {}  # boilerplate inside a line doesn't cut the block
+    for number, path, node, text in text_nodes(html or "", max_depth):
+        here = last.get(path.startswith(APART))
+        if here and here[0] == number:
+            here[3].append(text)
         elif text.strip():
             blocks.append([number, path, node, [text]])
+            last[path.startswith(APART)] = blocks[-1]
     clean = []
     for _, path, node, pieces in blocks:
         text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
@@ -281,6 +299,8 @@ def main_text(html: str | None) -> str:
         s[1] += len(text)
         s[2] += len(_PUNCTUATION.findall(text))
     content = content_paths(stats)
+    if not content:
+        return ""
     # characters of content below each node: a parent's number is lower than its children's
     held: dict[int, int] = {}
     nodes: dict[int, tuple] = {}
@@ -308,14 +328,15 @@ def main_text(html: str | None) -> str:
             above.add(c)
     return " ".join(
         text for path, node, text in clean
-        if path in content or whole[node[0]] or (inside[node[0]] and path.rpartition("/")[0] in above)
+        if path in content or (not path.startswith(APART) and (whole[node[0]] or (inside[node[0]] and path.rpartition("/")[0] in above)))
     )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row; one pass without a shuffle.
 
-    A null or empty html, or one without main text, gives an empty text. Repeated rows and null ids are kept.
+    A null or empty html, or one without main text, gives an empty text; pages of any length are read whole. Repeated
+    rows and null ids are kept. An empty table gives no row; columns other than these three aren't read.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
