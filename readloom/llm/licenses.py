@@ -251,17 +251,11 @@ class Scanner:
                 window = ids[start : start + stretch]
                 if np.minimum(np.bincount(window[window >= 0], minlength=len(times)), times).sum() < least:
                     continue
-                matched = align(template, window.tolist())
-                if not matched:
+                found_here = self.matched(template, named, ids, start, stretch)
+                if found_here is None:
                     continue
-                run = self.agreeing(template, matched, named)
-                if run is None:
-                    continue
-                p, q, share = run
-                if any(w in variants for w in window[matched[p][1] : matched[q][1] + 1].tolist()):
-                    continue
-                first, last = start + matched[p][1], start + matched[q][1]
-                if share >= self.coverage:
+                first, last, share = found_here
+                if share >= self.coverage and not any(w in variants for w in ids[first : last + 1].tolist()):
                     out.append((name, first, last + 1, share))
                     done = last
         # like notices match the same words: the better match of overlapping ones stays
@@ -273,6 +267,26 @@ class Scanner:
                 kept.insert(k, m)
         return kept
 
+    def matched(self, template: list[int], named: set[int], ids: np.ndarray, start: int, stretch: int) -> tuple[int, int, float] | None:
+        """(first, last, coverage) of the best run in the stretch at ``start``, or in those that begin where a run's template would.
+
+        A stray word before a notice lets the stretch end inside it, or takes the place of one of its first words; from
+        where its template would begin, counted back from the run's first word or its last, the stretch holds it all.
+        """
+        best, todo, tried = None, [start], set()
+        while todo:
+            start = todo.pop()
+            tried.add(start)
+            found = align(template, ids[start : start + stretch].tolist())
+            run = self.agreeing(template, found, named) if found else None
+            if run is None or (best is not None and run[2] <= best[2]):
+                continue
+            (i0, j0), (i1, j1) = found[run[0]], found[run[1]]
+            best = start + j0, start + j1, run[2]
+            if run[2] == 1:
+                break
+            todo += [x for x in {max(0, start + j0 - i0), max(0, start + j1 - i1)} if x not in tried]
+        return best
 
     @staticmethod
     def agreeing(template: list[int], matched: list[tuple[int, int]], named: set[int]) -> tuple[int, int, float] | None:
@@ -294,8 +308,9 @@ def license_scan(docs: DataFrame, coverage: float = COVERAGE, templates: dict[st
     """doc_id, n_matches, licenses (sorted, joined by commas), best_license, coverage, first_word, last_word of every row.
 
     ``best_license`` is the match of highest coverage, then most words, then first name and place; ``last_word`` is
-    exclusive. A row without a match (null and empty texts too) has zero matches, an empty list and nulls. One pass
-    without a shuffle; repeated rows and null ids are kept.
+    exclusive. A row without a match (null and empty texts too) has zero matches, an empty list and nulls. Texts of any
+    length are scanned whole. One pass without a shuffle; repeated rows and null ids are kept, an empty table gives no
+    row, and columns other than doc_id and text aren't read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_matches", pa.int64()), ("licenses", pa.string()), ("best_license", pa.string()),
                         ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])

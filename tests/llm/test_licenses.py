@@ -72,12 +72,57 @@ def test_scan_loses_no_match():
         assert {m[0] for m in got} <= plain_scan(s, text) and bool(got) == bool(plain_scan(s, text))
 
 
+def test_stray_words_around_every_notice():
+    """All templates together: whatever common words stand before and after a notice, it is found whole and by its own name."""
+    rng = random.Random(6)
+    scan = licenses.Scanner().scan
+    stray = "the this of a license under and to in is work licensed released permission copyright software public version".split()
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            n = len(licenses.words(text))
+            for _ in range(12):
+                before, after = (" ".join(rng.choice([*stray, "zzz"]) for _ in range(rng.randint(0, 9))) for _ in "ab")
+                k = len(licenses.words(before))
+                got = scan(f"qqq {before} xyz {text} xyz {after}")
+                assert (name, k + 2, k + 2 + n, 1.0) in got, (name, before, got)
+                near = scan(f"qqq {before} {text} xyz")  # a stray word can belong to a longer notice, not spoil this one
+                assert any(m[0] == name and m[3] == 1.0 for m in near), (name, before, near)
+
+
+def test_all_templates_against_every_window():
+    """Of every stretch and template, aligned without bounds: what is found is a best match there, and nothing is missed."""
+    rng = random.Random(13)
+    s = licenses.Scanner()
+    short = [t for ts in licenses.TEMPLATES.values() for t in ts if len(t.split()) < 20]
+    for _ in range(25):
+        w = []
+        for _ in range(rng.randint(0, 3)):
+            notice = rng.choice(short).split()
+            if rng.random() < 0.4:
+                notice.insert(rng.randrange(len(notice)), "zzz")
+            w += [rng.choice("the of a license under this work gap".split()) for _ in range(rng.randint(0, 6))] + notice
+        text = " ".join(w)
+        got = s.scan(text)
+        ids = [s.vocabulary.get(x, -1) for x in licenses.words(text)]
+        spans = []
+        for (name, t), named, variants in zip(s.templates, s.names, s.variants, strict=True):
+            for b in range(len(ids)):
+                m = licenses.align(t, ids[b : b + int(licenses.STRETCH * len(t)) + 1])
+                run = s.agreeing(t, m, named) if m else None
+                if run and run[2] >= s.coverage and not variants & set(ids[b + m[run[0]][1] : b + m[run[1]][1] + 1]):
+                    spans.append((name, b + m[run[0]][1], b + m[run[1]][1] + 1, run[2]))
+        assert {m[0] for m in got} <= {x[0] for x in spans}
+        for x in spans:  # each is found, or overlaps what is found with a coverage no lower, or named more exactly
+            assert any(m[1] < x[2] and x[1] < m[2] and (m[3] >= x[3] or x[0] in licenses.FAMILIES) for m in got), (text, x, got)
+
+
 def test_notices_and_edge_rows(spark):
     rows = [(1, "x y\nLicensed under CC BY-NC 4.0.\nz"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (None, "Released under the MIT License. " * 3), (5, "licensed " * 50_000)]
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("coverage", F.lit(1))).collect()}
     assert (got[1].licenses, got[1].first_word, got[1].last_word, got[1].coverage) == ("CC-BY-NC-4.0", 2, 9, 1.0)
     assert got[2].best_license == "GPL-3.0" and got[2].n_matches == 1 and got[None].n_matches == 3
     assert [got[i].n_matches for i in (3, 4, 5)] == [0, 0, 0] and got[3].best_license is None
+    assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
 def test_names_and_versions_must_agree():
