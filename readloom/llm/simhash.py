@@ -15,10 +15,15 @@ rows never grow with the square of one, and no link is lost. A unit yields a spa
 per fingerprint, never all of its pairs.
 
 Components come from the forests by rounds of star contraction on tables, cut by ``materialise``.
+
+Fingerprints of three-word shingles within three bits find few of the pairs that share 0.8 of their shingles of five words.
+For those, :func:`similar` joins two fingerprints of word counts in the same way, which such pairs leave within three bits,
+and keeps the links whose sketches of five-word shingles agree.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +48,12 @@ FRONT = 2_000_000
 MAX_BROADCAST = 1_000_000
 #: Shingles of a text that are hashed at once.
 BLOCK = 100_000
+#: Of similar texts: shingles of so many words, the share that they have in common, and by how much an estimate may fall short.
+WORDS, SIMILAR, MARGIN = 5, 0.8, 0.025
+#: Hash minima in a sketch (an estimate's standard error is 0.025 at 0.8), and equal bits of the 64 of their fingerprints.
+MINIMA, BESIDE = 256, 50
+#: Shingles whose minima are taken at once, and words whose hashes a worker remembers.
+STRIP, REMEMBERED = 4096, 1_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -105,16 +116,50 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> tuple[n
     return (np.concatenate(kept_a), np.concatenate(kept_b)) if kept_a else (none, none)
 
 
-def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: int = 64, budget: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of a spanning forest that prefers those of the least ``far``, and that of each."""
+    parent, out = np.arange(n), []
+    for d in np.unique(far):
+        here = far == d
+        x, y = _forest(n, a[here], b[here], parent)
+        out.append((x, y, np.full(len(x), d)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (a, b, far)
+
+
+def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: int = 64, budget: int = MAX_BITS,
+               beside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as index pairs, of the links between keys within ``budget`` bits.
 
     ``keys``: unsigned; sorted within each range. ``roots``: pairs of ranges (a_lo, a_hi, b_lo, b_hi) that are joined,
     equal for a self-join. A trie node is a range of keys that share a prefix; its children are found by a binary
     search for the next bit. Node pairs are walked depth first in blocks of ``FRONT``, so memory stays bounded.
+
+    With ``beside``, a second word of each key, a link needs ``BESIDE`` equal bits of those at least too, and the forest
+    prefers links that differ least there.
     """
     n = len(keys)
     parent = np.arange(n)
-    out_a, out_b = [], []
+    out_a, out_b, out_far = [], [], []
+    held = 0
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal held
+        if beside is None:
+            a, b = _forest(n, a, b, parent)
+        else:
+            far = np.bitwise_count(beside[a] ^ beside[b])
+            near = far <= 64 - BESIDE
+            a, b = a[near], b[near]
+            out_far.append(far[near])
+        out_a.append(a)
+        out_b.append(b)
+        held += len(a)
+        if beside is not None and held > FRONT:  # what a part's forest leaves out, the whole one does
+            got = _nearest(n, *map(np.concatenate, (out_a, out_b, out_far)))
+            for kept, now in zip((out_a, out_b, out_far), got, strict=True):
+                kept[:] = [now]
+            held = len(got[0])
+
     start = np.array(roots, dtype=np.int64).reshape(-1, 4)
     stack = [(bits - 1, start, np.zeros(len(start), dtype=np.int8))]
     while stack:
@@ -127,19 +172,18 @@ def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: i
         if single.any():  # two keys are left: the rest of the walk is a count of their differing bits
             a, b = front[single, 0], front[single, 2]
             near = (a != b) & (np.bitwise_count(keys[a] ^ keys[b]) <= budget)
-            got = _forest(n, a[near], b[near], parent)
-            out_a.append(got[0])
-            out_b.append(got[1])
+            keep(a[near], b[near])
             front, used = front[~single], used[~single]
         if not len(front):
             continue
-        if bit < 0:  # equal keys below one leaf, or leaves within the budget: chain the ranges
+        if bit < 0:  # equal keys below one leaf, or leaves within the budget: chain the ranges, or try all where there is more to compare
             for a0, a1, b0, b1 in front.tolist():
                 a, b = np.arange(a0, a1), np.arange(b0, b1)
-                x, y = np.concatenate([a[:-1], b[:-1], a[:1]]), np.concatenate([a[1:], b[1:], b[:1]])
-                got = _forest(n, x[x != y], y[x != y], parent)
-                out_a.append(got[0])
-                out_b.append(got[1])
+                if beside is None:
+                    x, y = np.concatenate([a[:-1], b[:-1], a[:1]]), np.concatenate([a[1:], b[1:], b[:1]])
+                else:
+                    x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+                keep(x[x != y], y[x != y])
             continue
         nodes, back = np.unique(np.concatenate([front[:, :2], front[:, 2:]]), axis=0, return_inverse=True)
         back = back.reshape(-1)
@@ -157,6 +201,8 @@ def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: i
         live &= ~((nxt[:, 0] == nxt[:, 2]) & (nxt[:, 1] == nxt[:, 3]) & (nxt[:, 1] - nxt[:, 0] == 1))
         stack.append((bit - 1, nxt[live], use[live]))
     none = np.zeros(0, dtype=np.int64)
+    if beside is not None and out_a:
+        return _nearest(n, *map(np.concatenate, (out_a, out_b, out_far)))[:2]
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
@@ -177,13 +223,15 @@ def _split(keys: np.ndarray, nodes: np.ndarray, bit: int) -> np.ndarray:
 
 
 def _join_units(units: DataFrame) -> DataFrame:
-    """Spanning links (u, v: fingerprints) of each unit; ``units``: unit, side, fp.
+    """Spanning links (u, v) of each unit; ``units``: unit, side, fp, and where links are checked further node and beside.
 
-    Side 0 is joined with itself, side 1 with side 2. Rows arrive sorted by unit, and whole units are solved together
-    in groups of some 200,000 rows, so a task's memory doesn't grow with its partition.
+    Side 0 is joined with itself, side 1 with side 2. u and v are fingerprints, or nodes. Rows arrive sorted by unit, and
+    whole units are solved together in groups of some 200,000 rows, so a task's memory doesn't grow with its partition.
     """
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    laid = units.select("unit", "side", "fp").repartition("unit").sortWithinPartitions("unit")
+    checked = "node" in units.columns
+    kind, name = (pa.string(), "string") if checked else (pa.int64(), "long")
+    schema = pa.schema([("u", kind), ("v", kind)])
+    laid = units.repartition("unit").sortWithinPartitions("unit")
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         unit, side, keys = (t.column(c).to_numpy() for c in ("unit", "side", "fp"))
@@ -198,9 +246,9 @@ def _join_units(units: DataFrame) -> DataFrame:
             np.stack([lo[alone], hi[alone], lo[alone], hi[alone]], axis=1),
             np.stack([lo[first], hi[first], lo[first + 1], hi[first + 1]], axis=1),
         ])
-        x, y = trie_links(keys, roots)
-        keys = keys.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], schema=schema)
+        x, y = trie_links(keys, roots, beside=t.column("beside").to_numpy().view(np.uint64)[order] if checked else None)
+        ids = t.column("node").combine_chunks().take(pa.array(order)) if checked else pa.array(keys.view(np.int64))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x)).cast(kind), ids.take(pa.array(y)).cast(kind)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -219,7 +267,7 @@ def _join_units(units: DataFrame) -> DataFrame:
         if n:
             yield solve(pa.Table.from_batches(held))
 
-    return laid.mapInArrow(run, "u long, v long")
+    return laid.mapInArrow(run, f"u {name}, v {name}")
 
 
 def _bands(rows: DataFrame, bits: int) -> DataFrame:
@@ -235,7 +283,8 @@ def _bands(rows: DataFrame, bits: int) -> DataFrame:
         above = F.shiftleft(F.shiftrightunsigned("rest", low + width), low) if low + width < bits else F.lit(0).cast("long")
         return F.struct(F.xxhash64("unit", F.lit(j), value).alias("unit"), above.bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1)).alias("rest"))
 
-    return rows.select("fp", F.explode(F.array(*[band(j) for j in range(4)])).alias("_b")).select("_b.unit", "fp", "_b.rest")
+    kept = [c for c in rows.columns if c not in ("unit", "rest")]
+    return rows.select(*kept, F.explode(F.array(*[band(j) for j in range(4)])).alias("_b")).select("_b.unit", *kept, "_b.rest")
 
 
 def _in_chunks(rows: DataFrame) -> DataFrame:
@@ -243,24 +292,32 @@ def _in_chunks(rows: DataFrame) -> DataFrame:
     dealt = rows.withColumn("_k", F.ceil(F.col("n") / CROWD)).withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_k")))
     return dealt.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).select(
         F.xxhash64("unit", F.least("_c", "_d"), F.greatest("_c", "_d")).alias("unit"),
-        F.when(F.col("_c") == F.col("_d"), 0).when(F.col("_c") < F.col("_d"), 1).otherwise(2).alias("side"), "fp")
+        F.when(F.col("_c") == F.col("_d"), 0).when(F.col("_c") < F.col("_d"), 1).otherwise(2).alias("side"),
+        *[c for c in rows.columns if c not in ("unit", "n")])
 
 
 def links(unique: DataFrame) -> DataFrame:
-    """A spanning set of links (u, v) between distinct fingerprints (column fp).
+    """A spanning set of links (u, v) between the rows of ``unique``: distinct fingerprints (fp), or distinct nodes.
 
-    Two units whose keys hash alike are merely joined as one: links are tested on whole fingerprints.
+    With columns node and beside, links are between nodes and checked as :func:`trie_links` does; a column family keeps
+    fingerprints of several kinds apart. Two units whose keys hash alike are merely joined as one: links are tested on
+    whole fingerprints.
     """
-    rows, bits, found = unique.select(F.lit(0).cast("long").alias("unit"), "fp", F.col("fp").alias("rest")), 64, []
+    kept = [c for c in ("node", "beside") if c in unique.columns]
+    family = F.col("family").cast("long") if "family" in unique.columns else F.lit(0).cast("long")
+    rows, bits, found = unique.select(family.alias("unit"), "fp", *kept, F.col("fp").alias("rest")), 64, []
+    solved = lambda t: found.append(_join_units(t.select("unit", "side", "fp", *kept)))
+    alone = lambda t: t.withColumn("side", F.lit(0))
     while True:
         rows, bits = _bands(rows, bits), bits - bits // 4
         sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
         crowds = materialise(sizes, f"crowds{bits}")
         if not crowds.take(1):
-            return reduce(DataFrame.unionByName, [*found, _join_units(rows.withColumn("side", F.lit(0)))])
-        found.append(_join_units(rows.join(crowds, "unit", "left_anti").withColumn("side", F.lit(0))))
-        vast = F.col("n") > (CHUNKED if bits >= 4 else 1 << bits)
-        found.append(_join_units(_in_chunks(rows.join(crowds.where(~vast), "unit").select("unit", "fp", "n"))))
+            solved(alone(rows))
+            return reduce(DataFrame.unionByName, found)
+        solved(alone(rows.join(crowds, "unit", "left_anti")))
+        vast = F.col("n") > CHUNKED if bits >= 16 else F.lit(False)  # equal fingerprints of several nodes can't be split
+        solved(_in_chunks(rows.join(crowds.where(~vast), "unit").select("unit", "fp", *kept, "n")))
         if not crowds.where(vast).take(1):
             return reduce(DataFrame.unionByName, found)
         rows = materialise(rows.join(crowds.where(vast).select("unit"), "unit", "left_semi"), f"rest{bits}")
@@ -303,24 +360,138 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marks, materialise(unique.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
 
 
+# --- similar texts -------------------------------------------------------------------------------------------------
+
+_ODD = np.random.default_rng(SEED).integers(0, 2**63, MINIMA + WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)  # multiplication wraps, as is meant
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _votes(h: np.ndarray, weight: np.ndarray | None = None) -> int:
+    """The 64-bit SimHash of hashes: bits that are set by over half of the weight."""
+    if not len(h):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), BLOCK):
+        bits = np.unpackbits(h[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64) if weight is None else weight[i : i + BLOCK] @ bits.astype(np.int64)
+    total = len(h) if weight is None else int(weight.sum())
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes of the runs of ``WORDS`` words, given the words' hashes; of fewer words, of the whole sequence."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    width = min(n, WORDS)
+    out = np.full(n - width + 1, width, dtype=np.uint64)
+    for k in range(width):
+        out = _mixed(out + hashes[k : n - width + 1 + k] * _ODD[MINIMA + k])
+    return np.unique(out)
+
+
+class Sketcher:
+    """(two fingerprints of word counts, one of five-word shingles, minima of their hashes) of texts."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, raw: bytes | None) -> tuple[int, int, int, bytes]:
+        words = (raw or b"").translate(_LOWER).split()
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        hashes = np.empty(len(words), dtype=np.uint64)
+        for i, w in enumerate(words):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh64_intdigest(w, SEED)
+            hashes[i] = h
+        distinct, count = np.unique(hashes, return_counts=True)
+        runs = shingles(hashes)
+        least = np.full(MINIMA, 2**64 - 1, dtype=np.uint64)
+        for i in range(0, len(runs), STRIP):
+            least = np.minimum(least, (runs[i : i + STRIP, None] * _ODD[None, :MINIMA]).min(axis=0))
+        sketch = _mixed(least).astype(np.uint8).tobytes()
+        return _votes(distinct, count), _votes(_mixed(distinct + _ODD[-1]), count), _votes(runs), sketch
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, node, fp1, fp2, beside, sketch) of every row; ``node`` is a digest of the four that follow it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.string()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("beside", pa.int64()), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher()
+        for b in batches:
+            got = [sketcher(t) for t in b.column("raw").to_pylist()]
+            three = np.array([g[:3] for g in got], dtype=np.uint64).reshape(-1, 3)
+            node = [hashlib.md5(w.tobytes() + g[3]).hexdigest() for w, g in zip(three, got, strict=True)]
+            longs = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in three.T]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(node), *longs, pa.array([g[3] for g in got], pa.binary())], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("raw"))
+    return rows.mapInArrow(run, "doc_id long, h long, node string, fp1 long, fp2 long, beside long, sketch binary")
+
+
+def alike(pairs: DataFrame) -> DataFrame:
+    """The rows (u, v) of ``pairs`` (u, v, and their sketches a, b) whose estimated similarity is ``SIMILAR``, less ``MARGIN``, or more."""
+    schema = pa.schema([("u", pa.string()), ("v", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA) for c in ("a", "b"))
+            equal = (x == y).mean(axis=1)  # a 256th of the others are equal by chance
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], schema=schema).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= SIMILAR - MARGIN))
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u string, v string")
+
+
+def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`grouped`, by links of texts that share ``SIMILAR`` of their five-word shingles: (doc_id, h, fp), (fp, root, rep).
+
+    Each of the two fingerprints of word counts goes through the trie join. Its forests prefer links whose third
+    fingerprint, of the shingles, differs least; the sketches of a link's ends then decide. ``fp`` is a text's node.
+    """
+    marks = materialise(sketches(docs), "sketches")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"fp{k}").alias("fp")) for k in (1, 2)])).alias("_k")
+    unique = materialise(marks.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("fp1", "fp2", "beside", "sketch")]), "unique")
+    found = links(unique.select("node", "beside", kinds).select("node", "beside", "_k.family", "_k.fp"))
+    found = materialise(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+    side = lambda n, s: unique.select(F.col("node").alias(n), F.col("sketch").alias(s))
+    linked = components(alike(found.join(side("u", "a"), "u").join(side("v", "b"), "v"))).select("node", F.col("component").alias("root"))
+    group = unique.select("node", "rep").join(linked, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"), "rep")
+    return marks.select("doc_id", "h", F.col("node").alias("fp")), materialise(group, "groups")
+
+
+# --- results -------------------------------------------------------------------------------------------------------
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long, component_id): every row with the smallest doc_id that its fingerprint's links reach.
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows each stay. Rows with a null id
-    link others too; their component_id is null only where no member has an id. Only doc_id and text are read.
+    Null and empty texts have fingerprint zero and link like any other; texts of any length are read whole. Repeated rows
+    each stay. Rows with a null id link others too; their component_id is null only where no member has an id. An empty
+    table gives no row. Only doc_id and text are read.
     """
     marks, group = grouped(docs)
     least = materialise(group.groupBy("root").agg(F.min("rep").alias("component_id")), "minima")
     return marks.join(group.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame, by=grouped) -> DataFrame:
     """The row of the smallest doc_id of each near-duplicate group, with all columns of ``docs``; one of repeated rows.
 
-    A row is known by its id and a hash of its text. The rows that go are few beside the texts, so they are broadcast
-    up to ``MAX_BROADCAST``; beyond it the join is shuffled.
+    ``by`` finds the groups: :func:`grouped` or :func:`similar`. A row is known by its id and a hash of its text. Null and
+    empty texts are one group; of rows with a null id one stays where no other has an id. An empty table gives none.
+    Columns may have any names. The rows that go are few beside the texts, so they are broadcast up to ``MAX_BROADCAST``;
+    beyond it the join is shuffled.
     """
-    marks, group = grouped(docs)
+    marks, group = by(docs)
     pairs = materialise(
         marks.groupBy("doc_id", "h", "fp").agg(F.count(F.lit(1)).alias("n")).join(group.select("fp", "root"), "fp"), "pairs")
     first = materialise(pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "h")).alias("first")), "firsts")

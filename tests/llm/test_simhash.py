@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 import xxhash
@@ -127,3 +129,77 @@ def test_query_and_edge_rows(spark, sf_dir):
     left = simhash.one_per_group(odd)
     assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == ["5", "9", "None"]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def near_copies(seed=3, groups=40):
+    """Texts with copies of which few or many words are replaced; (id, text)."""
+    rng = np.random.default_rng(seed)
+    common, out = [f"c{i}" for i in range(60)], []
+    for g in range(groups):
+        n = int(rng.integers(80, 500))
+        base = [common[int(rng.zipf(1.4)) % 60] if rng.random() < 0.5 else f"w{g}x{int(rng.integers(0, 4000))}" for _ in range(n)]
+        out.append(base)
+        for _ in range(4):
+            share = rng.choice([0.004, 0.01, 0.02, 0.06, 0.2])
+            out.append([f"r{int(rng.integers(0, 10**6))}" if rng.random() < share else w for w in base])
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def plain_similarity(a, b):
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+
+
+def test_similar_texts_against_brute_force(spark):
+    rows = near_copies()
+    df = spark.createDataFrame([*rows, (500, rows[7][1]), (None, rows[9][1])], "doc_id long, text string").repartition(5)
+    marks, group = simhash.similar(df)
+    root = {r.doc_id: r.root for r in marks.join(group, "fp").collect()}
+    assert root[500] == root[7] and root[None] == root[9]
+    caught = total = 0
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        s = plain_similarity(a, b) if i // 5 == j // 5 else 0
+        caught += (s >= 0.8) and root[i] == root[j]
+        total += s >= 0.8
+        if i // 5 != j // 5:
+            assert root[i] != root[j]
+    assert total > 100 and caught >= 0.95 * total
+    for g in range(40):  # a link needs a similarity near 0.8: without one, a text stays alone
+        mine = rows[5 * g : 5 * g + 5]
+        for i, a in mine:
+            if max(plain_similarity(a, b) for j, b in mine if j != i) < 0.65:
+                assert sum(root[j] == root[i] for j, _ in rows) == 1
+    left = simhash.one_per_group(df, simhash.similar)
+    assert {r.doc_id for r in left.collect()} == {min(i for i, x in root.items() if i is not None and x == k) for k in set(root.values())}
+
+
+def test_similar_edge_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "STRIP", 7)
+    odd = spark.createDataFrame([(None, None), (7, ""), (5, None), (5, None), (None, "x y z"), (9, "q"), (10, "Q"), (11, "z y x"), (12, "a b " * 60_000)], "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("_hash", F.lit(2))
+    left = simhash.one_per_group(odd, simhash.similar)
+    assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == ["11", "12", "5", "9", "None"]
+    assert simhash.one_per_group(odd.limit(0), simhash.similar).count() == 0
+
+
+def test_checked_links_span_what_brute_force_links(spark, monkeypatch):
+    """Keys that repeat, a second word beside them, crowds of any size."""
+    rng = np.random.default_rng(21)
+    keys = rng.choice(clustered(2, centres=5, each=30), 260)
+    beside = (rng.integers(0, 2**63, 6, dtype=np.uint64)[rng.integers(0, 6, 260)]) ^ (np.uint64(1) << rng.integers(0, 63, 260, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 260, dtype=np.uint64))
+    near = lambda i, j: np.bitwise_count(keys[i] ^ keys[j]) <= 3 and np.bitwise_count(beside[i] ^ beside[j]) <= 14
+    parent = list(range(260))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for i, j in itertools.combinations(range(260), 2):
+        if near(i, j):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(f"n{i:03d}", int(np.int64(b.view(np.int64))), int(k.view(np.int64))) for i, (k, b) in enumerate(zip(keys, beside, strict=True))], "node string, beside long, fp long")
+    for crowd, chunked, front in ((1024, 65536, simhash.FRONT), (8, 10**6, 50), (16, 32, 50)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "CHUNKED", chunked)
+        monkeypatch.setattr(simhash, "FRONT", front)
+        got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
+        assert [int(got.get(f"n{i:03d}", f"n{i:03d}")[1:]) for i in range(260)] == [find(i) for i in range(260)]
