@@ -406,12 +406,9 @@ class Sketcher:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        hashes = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w, SEED)
-            hashes[i] = h
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         distinct, count = np.unique(hashes, return_counts=True)
         runs = shingles(hashes)
         least = np.full(MINIMA, 2**64 - 1, dtype=np.uint64)

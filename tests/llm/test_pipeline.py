@@ -1,9 +1,13 @@
+import itertools
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from readloom.llm import mixing, queries
 from readloom.llm.common import materialise
 
+from .test_simhash import near_copies, plain_similarity
+
 
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -31,5 +35,34 @@ def test_stages(spark, sf_dir):
     assert after.agg(F.sum("doc_tokens")).first()[0] >= after.agg(F.sum("length")).first()[0] > 0
 
 
-def test_run(spark, sf_dir):
-    assert cp.run(spark, sf_dir).count() > 0
+def test_run_and_its_order(spark, sf_dir):
+    """Packing follows the order of the mix, so two runs give the same pieces."""
+    one, two = (sorted(tuple(r) for r in cp.run(spark, sf_dir).collect()) for _ in "ab")
+    assert one == two and len(one) > 0
+
+
+def test_near_copies_go(spark, sf_dir):
+    rows = near_copies(groups=15)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    left = {r.doc_id for r in cp.near_dedup(spark, df, sf_dir).collect()}
+    gone = [(i, t) for i, t in rows if i not in left]
+    assert all(max(plain_similarity(t, u) for j, u in rows if j != i and j // 5 == i // 5) > 0.65 for i, t in gone)
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if i // 5 == j // 5 and plain_similarity(a, b) >= 0.85:
+            assert not {i, j} <= left
+
+
+def test_empty_and_odd_tables(spark, sf_dir, tmp_path):
+    """No rows at all; and rows of nulls, empty and repeated texts beside a column of a clashing name."""
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
+    assert cp.run(spark, f"file://{tmp_path}").count() == 0
+    long = " ".join(f"word{i * i % 997}" for i in range(20_000))
+    rows = [(None, None, None), (1, None, "a"), (2, "", None), (2, "", None), (3, "few words", "a"), (None, long, "b"), (4, long, "b"), (4, long, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long"), "fp": F.lit(1), "_copy": F.lit(2)})
+    for name, stage in cp.STAGES:
+        new = materialise(stage(spark, docs, sf_dir), name)
+        assert name == "packing" or new.columns == docs.columns
+        if name == "simhash_near_dedup":
+            assert sorted(str(r.doc_id) for r in new.collect()) == ["1", "3", "4"]
+        docs = new if name not in ("quality_rules", "quality_classifier") else docs
