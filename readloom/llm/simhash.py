@@ -17,8 +17,8 @@ per fingerprint, never all of its pairs.
 Components come from the forests by rounds of star contraction on tables, cut by ``materialise``.
 
 Fingerprints of three-word shingles within three bits find few of the pairs that share 0.8 of their shingles of five words.
-For those, :func:`similar` joins two fingerprints of word counts in the same way, which such pairs leave within three bits,
-and keeps the links whose sketches of five-word shingles agree.
+For those, :func:`similar` joins two fingerprints of words, by the logarithms of their counts, in the same way within four
+bits, which most such pairs keep to, and keeps the links whose sketches of five-word shingles agree.
 """
 
 from __future__ import annotations
@@ -36,14 +36,17 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise, sized
 
 MAX_BITS = 3
+#: Differing bits of similar texts' fingerprints of words.
+WORD_BITS = 4
 SHINGLE = 3
 SEED = 42
 #: Fingerprints in one subtrie that a task joins as a whole.
 CROWD = 1024
 #: Fingerprints in one subtrie that are joined by pairs of chunks.
 CHUNKED = 64 * CROWD
-#: Node pairs of a trie join that are expanded at once.
-FRONT = 2_000_000
+#: Node pairs of a trie join that are expanded at once (some 100 MB), and pairs of keys below which they aren't expanded further.
+FRONT = 200_000
+LEAF = 16
 #: Rows of two longs that are broadcast at most (some 32 MB).
 MAX_BROADCAST = 1_000_000
 #: Shingles of a text that are hashed at once.
@@ -168,12 +171,16 @@ def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: i
             half = len(front) // 2
             stack += [(bit, front[half:], used[half:]), (bit, front[:half], used[:half])]
             continue
-        single = (front[:, 1] - front[:, 0] == 1) & (front[:, 3] - front[:, 2] == 1)
-        if single.any():  # two keys are left: the rest of the walk is a count of their differing bits
-            a, b = front[single, 0], front[single, 2]
-            near = (a != b) & (np.bitwise_count(keys[a] ^ keys[b]) <= budget)
+        wide, high = front[:, 1] - front[:, 0], front[:, 3] - front[:, 2]
+        few = wide * high <= LEAF
+        if few.any():  # few keys are left: the rest of the walk is a count of their differing bits
+            many, high = (wide * high)[few], high[few]
+            row = np.repeat(np.arange(len(many)), many)
+            at = np.arange(len(row)) - np.repeat(many.cumsum() - many, many)
+            a, b = front[few, 0][row] + at // high[row], front[few, 2][row] + at % high[row]
+            near = (np.bitwise_count(keys[a] ^ keys[b]) <= budget) & ((a < b) | (front[few, 0] != front[few, 2])[row])
             keep(a[near], b[near])
-            front, used = front[~single], used[~single]
+            front, used = front[~few], used[~few]
         if not len(front):
             continue
         if bit < 0:  # equal keys below one leaf, or leaves within the budget: chain the ranges, or try all where there is more to compare
@@ -222,8 +229,8 @@ def _split(keys: np.ndarray, nodes: np.ndarray, bit: int) -> np.ndarray:
 # --- links over all fingerprints -----------------------------------------------------------------------------------
 
 
-def _join_units(units: DataFrame) -> DataFrame:
-    """Spanning links (u, v) of each unit; ``units``: unit, side, fp, and where links are checked further node and beside.
+def _join_units(units: DataFrame, budget: int = MAX_BITS) -> DataFrame:
+    """Spanning links (u, v) of each unit within ``budget`` bits; ``units``: unit, side, fp, and where links are checked further node and beside.
 
     Side 0 is joined with itself, side 1 with side 2. u and v are fingerprints, or nodes. Rows arrive sorted by unit, and
     whole units are solved together in groups of some 200,000 rows, so a task's memory doesn't grow with its partition.
@@ -246,7 +253,7 @@ def _join_units(units: DataFrame) -> DataFrame:
             np.stack([lo[alone], hi[alone], lo[alone], hi[alone]], axis=1),
             np.stack([lo[first], hi[first], lo[first + 1], hi[first + 1]], axis=1),
         ])
-        x, y = trie_links(keys, roots, beside=t.column("beside").to_numpy().view(np.uint64)[order] if checked else None)
+        x, y = trie_links(keys, roots, budget=budget, beside=t.column("beside").to_numpy().view(np.uint64)[order] if checked else None)
         ids = t.column("node").combine_chunks().take(pa.array(order)) if checked else pa.array(keys.view(np.int64))
         return pa.RecordBatch.from_arrays([ids.take(pa.array(x)).cast(kind), ids.take(pa.array(y)).cast(kind)], schema=schema)
 
@@ -270,12 +277,13 @@ def _join_units(units: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, f"u {name}, v {name}")
 
 
-def _bands(rows: DataFrame, bits: int) -> DataFrame:
-    """unit, fp, rest of every row four times: its unit with the value of one of four bands of ``rest``, and the other bits.
+def _bands(rows: DataFrame, bits: int, budget: int = MAX_BITS) -> DataFrame:
+    """unit, fp, rest of every row once per band: its unit with the value of one of the bands of ``rest``, and the other bits.
 
-    ``rest`` has ``bits`` bits. Two fingerprints that agree so far and differ in three bits agree on one of the bands.
+    ``rest`` has ``bits`` bits. Of one band more than ``budget``, two fingerprints that agree so far and differ in that
+    many bits agree on one.
     """
-    width = bits // 4
+    width = bits // (budget + 1)
 
     def band(j: int):
         low = width * j
@@ -284,7 +292,7 @@ def _bands(rows: DataFrame, bits: int) -> DataFrame:
         return F.struct(F.xxhash64("unit", F.lit(j), value).alias("unit"), above.bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1)).alias("rest"))
 
     kept = [c for c in rows.columns if c not in ("unit", "rest")]
-    return rows.select(*kept, F.explode(F.array(*[band(j) for j in range(4)])).alias("_b")).select("_b.unit", *kept, "_b.rest")
+    return rows.select(*kept, F.explode(F.array(*[band(j) for j in range(budget + 1)])).alias("_b")).select("_b.unit", *kept, "_b.rest")
 
 
 def _in_chunks(rows: DataFrame) -> DataFrame:
@@ -296,8 +304,8 @@ def _in_chunks(rows: DataFrame) -> DataFrame:
         *[c for c in rows.columns if c not in ("unit", "n")])
 
 
-def links(unique: DataFrame) -> DataFrame:
-    """A spanning set of links (u, v) between the rows of ``unique``: distinct fingerprints (fp), or distinct nodes.
+def links(unique: DataFrame, budget: int = MAX_BITS) -> DataFrame:
+    """A spanning set of links (u, v), within ``budget`` bits, between the rows of ``unique``: distinct fingerprints (fp), or distinct nodes.
 
     With columns node and beside, links are between nodes and checked as :func:`trie_links` does; a column family keeps
     fingerprints of several kinds apart. Two units whose keys hash alike are merely joined as one: links are tested on
@@ -306,10 +314,10 @@ def links(unique: DataFrame) -> DataFrame:
     kept = [c for c in ("node", "beside") if c in unique.columns]
     family = F.col("family").cast("long") if "family" in unique.columns else F.lit(0).cast("long")
     rows, bits, found = unique.select(family.alias("unit"), "fp", *kept, F.col("fp").alias("rest")), 64, []
-    solved = lambda t: found.append(_join_units(t.select("unit", "side", "fp", *kept)))
+    solved = lambda t: found.append(_join_units(t.select("unit", "side", "fp", *kept), budget))
     alone = lambda t: t.withColumn("side", F.lit(0))
     while True:
-        rows, bits = _bands(rows, bits), bits - bits // 4
+        rows, bits = _bands(rows, bits, budget), bits - bits // (budget + 1)
         sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
         crowds = materialise(sizes, f"crowds{bits}")
         if not crowds.take(1):
@@ -396,7 +404,7 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 class Sketcher:
-    """(two fingerprints of word counts, one of five-word shingles, minima of their hashes) of texts."""
+    """(two fingerprints of words, one of five-word shingles, minima of their hashes) of texts."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -415,7 +423,8 @@ class Sketcher:
         for i in range(0, len(runs), STRIP):
             least = np.minimum(least, (runs[i : i + STRIP, None] * _ODD[None, :MINIMA]).min(axis=0))
         sketch = _mixed(least).astype(np.uint8).tobytes()
-        return _votes(distinct, count), _votes(_mixed(distinct + _ODD[-1]), count), _votes(runs), sketch
+        weight = np.rint(1024 * np.log1p(count)).astype(np.int64)  # a text's commonest words are those of many others
+        return _votes(distinct, weight), _votes(_mixed(distinct + _ODD[-1]), weight), _votes(runs), sketch
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -451,13 +460,14 @@ def alike(pairs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As :func:`grouped`, by links of texts that share ``SIMILAR`` of their five-word shingles: (doc_id, h, fp), (fp, root, rep).
 
-    Each of the two fingerprints of word counts goes through the trie join. Its forests prefer links whose third
-    fingerprint, of the shingles, differs least; the sketches of a link's ends then decide. ``fp`` is a text's node.
+    Each of the two fingerprints of words goes through the trie join. Its forests prefer links whose third
+    fingerprint, of the shingles, differs least; the sketches of a link's ends then decide. At least nine of ten pairs of
+    that similarity come to one group. ``fp`` is a text's node.
     """
     marks = materialise(sketches(docs), "sketches")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"fp{k}").alias("fp")) for k in (1, 2)])).alias("_k")
     unique = materialise(marks.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("fp1", "fp2", "beside", "sketch")]), "unique")
-    found = links(unique.select("node", "beside", kinds).select("node", "beside", "_k.family", "_k.fp"))
+    found = links(unique.select("node", "beside", kinds).select("node", "beside", "_k.family", "_k.fp"), WORD_BITS)
     found = materialise(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
     side = lambda n, s: unique.select(F.col("node").alias(n), F.col("sketch").alias(s))
     linked = components(alike(found.join(side("u", "a"), "u").join(side("v", "b"), "v"))).select("node", F.col("component").alias("root"))

@@ -163,7 +163,7 @@ def test_similar_texts_against_brute_force(spark):
         total += s >= 0.8
         if i // 5 != j // 5:
             assert root[i] != root[j]
-    assert total > 100 and caught >= 0.95 * total
+    assert total > 100 and caught >= 0.9 * total
     for g in range(40):  # a link needs a similarity near 0.8: without one, a text stays alone
         mine = rows[5 * g : 5 * g + 5]
         for i, a in mine:
