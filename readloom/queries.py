@@ -323,11 +323,6 @@ def read_first_paths(spark, sf_dir):
     return traversal.read_first_paths(graphs_of(spark, sf_dir, stored=True)).select("graph_id", F.array_join("nodes", ",").alias("nodes"), "n_reads")
 
 
-@query("validate_traversal", "SELECT graph_id, path_id FROM paths WHERE len(nodes) <> len(edges) + 1", _PATHS)
-def validate_traversal(spark, sf_dir):
-    return validation.invalid_paths(_walked(spark, sf_dir)[1]).select("graph_id", "path_id")
-
-
 # --- analytics -----------------------------------------------------------------------------------------------------
 
 _CONNECTED = """,
@@ -374,28 +369,64 @@ def is_simple(spark, sf_dir):
     return analytics.is_simple(*_walked(spark, sf_dir))
 
 
-@query("bubbles")
+_FACTS = """,
+counts AS (
+  SELECT n.graph_id, COUNT(*) FILTER (n.is_source) AS sources, COUNT(*) FILTER (n.is_sink) AS sinks FROM ends n GROUP BY n.graph_id),
+lens AS (
+  SELECT c.*, COALESCE((SELECT MAX(len(p.nodes)) FROM paths p WHERE p.graph_id = c.graph_id), 0) AS longest FROM counts c)"""
+#: Bubbles of graphs of four layers at most, which buckets are: a search has taken all it can after two levels.
+_BUBBLES = """,
+kids AS (SELECT graph_id, source_id AS p, sink_id AS c, ROW_NUMBER() OVER (PARTITION BY graph_id, source_id ORDER BY ord DESC) AS k FROM edges),
+forks AS (SELECT graph_id, p AS s, c AS f, k FROM kids k1 WHERE EXISTS (SELECT 1 FROM kids k2 WHERE k2.graph_id = k1.graph_id AND k2.p = k1.p AND k2.k = 2)),
+starts AS (SELECT DISTINCT graph_id, f FROM forks),
+level1 AS (SELECT s.graph_id, s.f, k.c AS n, k.k AS r FROM starts s JOIN kids k ON k.graph_id = s.graph_id AND k.p = s.f),
+level2 AS (
+  SELECT * FROM (
+    SELECT a.graph_id, a.f, k.c AS n, a.n AS via, a.r AS vr, k.k, ROW_NUMBER() OVER (PARTITION BY a.graph_id, a.f, k.c ORDER BY a.r, k.k) AS pick
+    FROM level1 a JOIN kids k ON k.graph_id = a.graph_id AND k.p = a.n
+    WHERE NOT EXISTS (SELECT 1 FROM level1 b WHERE b.graph_id = a.graph_id AND b.f = a.f AND b.n = k.c)) WHERE pick = 1),
+taken AS (
+  SELECT graph_id, f, f AS n, 0 AS r, 0 AS known, [f] AS walk FROM starts
+  UNION ALL SELECT graph_id, f, n, r, 1, [f, n] FROM level1
+  UNION ALL SELECT graph_id, f, n, (SELECT COUNT(*) FROM level1 b WHERE b.graph_id = a.graph_id AND b.f = a.f) + ROW_NUMBER() OVER (PARTITION BY graph_id, f ORDER BY vr, k), vr + 1, [f, via, n] FROM level2 a),
+duels AS (SELECT a.graph_id, a.s, a.f AS x, b.f AS y FROM forks a JOIN forks b ON a.graph_id = b.graph_id AND a.s = b.s AND a.k < b.k),
+shared AS (
+  SELECT d.*, t.n, t.r AS rx, u.r AS ry, t.known AS kx, u.known AS ky, list_prepend(d.s, t.walk) AS path1, list_prepend(d.s, u.walk) AS path2
+  FROM duels d JOIN taken t ON t.graph_id = d.graph_id AND t.f = d.x JOIN taken u ON u.graph_id = d.graph_id AND u.f = d.y AND u.n = t.n),
+ends_at AS (
+  SELECT graph_id, s, x, y, MIN(CASE WHEN ky <= rx THEN rx END) AS first_x, MIN(CASE WHEN kx <= ry + 1 THEN ry END) AS first_y FROM shared GROUP BY ALL),
+met AS (
+  SELECT DISTINCT h.graph_id, h.path1, h.path2 FROM shared h JOIN ends_at e USING (graph_id, s, x, y)
+  WHERE least(coalesce(e.first_x, 1000), coalesce(e.first_y, 1000)) < 100 AND len(h.path1) > 2 AND len(h.path2) > 2 AND (
+        (h.rx = e.first_x AND h.ky <= h.rx AND coalesce(e.first_y, 1000) >= e.first_x)
+     OR (h.ry = e.first_y AND h.kx <= h.ry + 1 AND coalesce(e.first_x, 1000) > e.first_y)
+     OR (h.ry = e.first_x AND h.kx <= h.ry AND coalesce(e.first_y, 1000) >= e.first_x))),
+around AS (
+  SELECT t.graph_id, [t.s, t.f] AS path1, [t.s, u.f, t.f] AS path2 FROM forks t JOIN forks u ON u.graph_id = t.graph_id AND u.s = t.s AND u.f <> t.f JOIN kids k ON k.graph_id = u.graph_id AND k.p = u.f AND k.c = t.f
+  UNION ALL
+  SELECT t.graph_id, [t.s, t.f], [t.s, u.f, k.c, t.f] FROM forks t JOIN forks u ON u.graph_id = t.graph_id AND u.s = t.s AND u.f <> t.f JOIN kids k ON k.graph_id = u.graph_id AND k.p = u.f
+  JOIN kids m ON m.graph_id = k.graph_id AND m.p = k.c AND m.c = t.f WHERE NOT EXISTS (SELECT 1 FROM forks w WHERE w.graph_id = t.graph_id AND w.s = t.s AND w.f = k.c)),
+bubbles AS (SELECT * FROM met UNION ALL SELECT * FROM around)"""
+_CLASS = """CASE WHEN longest = 2 THEN CASE WHEN sinks = 1 AND sources > 1 THEN 'FadeIn' WHEN sources = 1 AND sinks > 1 THEN 'FadeOut' WHEN sources > 1 AND sinks > 1 THEN 'Bipartite' ELSE 'NotDefined' END
+       WHEN sources = 1 AND sinks = 1 THEN 'UniquePath' WHEN NOT EXISTS (SELECT 1 FROM bubbles b WHERE b.graph_id = l.graph_id) THEN 'NotDefined'
+       WHEN EXISTS (SELECT 1 FROM bubbles b WHERE b.graph_id = l.graph_id AND len(b.path1) <> len(b.path2)) THEN 'HeteroPath' ELSE 'EquiPath' END"""
+
+
+@query("bubbles", "SELECT graph_id, array_to_string(path1, ',') AS path1, array_to_string(path2, ',') AS path2 FROM bubbles", _BASE + _BUBBLES)
 def bubbles(spark, sf_dir):
     return analytics.bubbles(graphs_of(spark, sf_dir, stored=True)).select("graph_id", F.array_join("path1", ",").alias("path1"), F.array_join("path2", ",").alias("path2"))
 
 
-@query("is_bubble")
+@query("is_bubble", "SELECT graph_id, EXISTS (SELECT 1 FROM bubbles b WHERE b.graph_id = n.graph_id) AS is_bubble FROM (SELECT DISTINCT graph_id FROM nodes) n", _BASE + _BUBBLES)
 def is_bubble(spark, sf_dir):
     return analytics.is_bubble(graphs_of(spark, sf_dir, stored=True))
 
 
-@query("topology")
+@query("topology", f"SELECT graph_id, {_CLASS} AS topology FROM lens l", _PATHS + _FACTS + _BUBBLES)
 def topology(spark, sf_dir):
     return analytics.topology(*_walked(spark, sf_dir))
 
 
-_FACTS = """,
-counts AS (
-  SELECT n.graph_id, COUNT(*) FILTER (n.is_source) AS sources, COUNT(*) FILTER (n.is_sink) AS sinks FROM ends n GROUP BY n.graph_id),
-lens AS (
-  SELECT c.*, COALESCE((SELECT MAX(len(p.nodes)) FROM paths p WHERE p.graph_id = c.graph_id), 0) AS longest FROM counts c)"""
-
-
 @query("topology_simple", """SELECT graph_id, CASE WHEN longest = 2 THEN CASE WHEN sinks = 1 AND sources > 1 THEN 'FadeIn' WHEN sources = 1 AND sinks > 1 THEN 'FadeOut'
        WHEN sources > 1 AND sinks > 1 THEN 'Bipartite' ELSE 'NotDefined' END WHEN sources = 1 AND sinks = 1 THEN 'UniquePath' ELSE 'ByBubbles' END AS class FROM lens""", _PATHS + _FACTS)
 def topology_simple(spark, sf_dir):
@@ -426,12 +457,12 @@ def is_unique_path(spark, sf_dir):
     return analytics.has_topology(analytics.topology(*_walked(spark, sf_dir)), "UniquePath")
 
 
-@query("is_equi_path")
+@query("is_equi_path", f"SELECT graph_id, {_CLASS} = 'EquiPath' AS matches FROM lens l", _PATHS + _FACTS + _BUBBLES)
 def is_equi_path(spark, sf_dir):
     return analytics.has_topology(analytics.topology(*_walked(spark, sf_dir)), "EquiPath")
 
 
-@query("is_hetero_path")
+@query("is_hetero_path", f"SELECT graph_id, {_CLASS} = 'HeteroPath' AS matches FROM lens l", _PATHS + _FACTS + _BUBBLES)
 def is_hetero_path(spark, sf_dir):
     return analytics.has_topology(analytics.topology(*_walked(spark, sf_dir)), "HeteroPath")
 
@@ -444,11 +475,24 @@ def summary_core(spark, sf_dir):
     return analytics.summary(graphs_of(spark, sf_dir, stored=True)).drop("topology")
 
 
-@query("summary")
+_SUMMARY = f"""SELECT l.graph_id AS gid, (SELECT COUNT(*) FROM nodes n WHERE n.graph_id = l.graph_id) AS nodes, (SELECT COUNT(*) FROM edges e WHERE e.graph_id = l.graph_id) AS edges,
+       (SELECT COUNT(*) FROM paths p WHERE p.graph_id = l.graph_id) AS paths, CAST(longest AS BIGINT) AS max_path_len, longest >= 2 AS super_path, is_cyclic, is_connected, {_CLASS} AS topology
+       FROM lens l JOIN cyclic USING (graph_id) JOIN connected USING (graph_id)"""
+_SUMMARY_BASE = _PATHS + _FACTS + _CYCLE + _CONNECTED + _BUBBLES
+
+
+@query("summary", _SUMMARY, _SUMMARY_BASE)
 def summary(spark, sf_dir):
     return analytics.summary(graphs_of(spark, sf_dir, stored=True))
 
 
+@query("summary_lines", f"""SELECT 'gid,nodes,edges,paths,max_path_len,super_path,is_cyclic,is_connected,topology' AS line UNION ALL
+       SELECT concat_ws(',', gid, nodes, edges, paths, max_path_len, super_path, is_cyclic, is_connected, topology) FROM ({_SUMMARY})""", _SUMMARY_BASE)
+def summary_lines(spark, sf_dir):
+    g = graphs_of(spark, sf_dir, stored=True)
+    return exports.summary_lines(g, analytics.summary(g)).select("line")
+
+
 # --- exports -------------------------------------------------------------------------------------------------------
 
 
@@ -553,7 +597,11 @@ def json_edges(spark, sf_dir):
     return exports.json_edges(graphs_of(spark, sf_dir)).select("graph_id", "edge_id", "json")
 
 
-@query("json_graphs")
+@query("json_graphs", """SELECT g.graph_id, '{"directed":true,"elements":{"edges":[' || coalesce((SELECT STRING_AGG('{"data":{"breakpoints":"' || e.sv || '","id":"' || e.edge_id || '","source":"' || e.source_id
+       || '","target":"' || e.sink_id || '","weight":' || len(e.shared) || '}}', ',' ORDER BY e.ord) FROM edges e WHERE e.graph_id = g.graph_id), '') || '],"nodes":['
+       || (SELECT STRING_AGG('{"data":{"chrom":"' || reference_id || '","exons":"[' || exons || ']","id":"' || node_id || '","ptc":' || n_reads || ',"ptf":' || CAST(CAST(CAST(n_reads / 10.0 AS DOUBLE) AS FLOAT) AS DOUBLE)
+       || ',"reads":["' || array_to_string(read_texts, '","') || '"],"ref_end":' || reference_end || ',"ref_start":' || reference_start || ',"strand":"' || strand || '"}}', ',' ORDER BY n.ord) FROM nodes n WHERE n.graph_id = g.graph_id)
+       || ']},"multigraph":true}' AS line FROM (SELECT DISTINCT graph_id FROM nodes) g""")
 def json_graphs(spark, sf_dir):
     return exports.json_lines(graphs_of(spark, sf_dir, stored=True)).select("graph_id", "line")
 
@@ -600,11 +648,6 @@ def validate_paths(spark, sf_dir):
     return validation.missing_path_elements(g).select("graph_id", "group_id", "id")
 
 
-@query("validate_links", "SELECT target_graph AS graph_id, target_element AS id FROM links WHERE 1 = 0")
-def validate_links(spark, sf_dir):
-    return validation.missing_link_elements(graphs_of(spark, sf_dir)).select("graph_id", "id")
-
-
 @query("chain_build", """SELECT graph_id, 'node' AS kind, node_id AS id, CAST(NULL AS VARCHAR) AS source_id, CAST(NULL AS VARCHAR) AS sink_id FROM (SELECT DISTINCT graph_id, unnest(elements) AS node_id FROM user_paths)
        UNION ALL SELECT graph_id, 'edge', edge_id, source_id, sink_id FROM edges""")
 def chain_build(spark, sf_dir):
@@ -620,3 +663,6 @@ def chain_build(spark, sf_dir):
     none = F.lit(None).cast("string")
     return made.nodes.select("graph_id", F.lit("node").alias("kind"), F.col("node_id").alias("id"), none.alias("source_id"), none.alias("sink_id")).unionByName(
         made.edges.select("graph_id", F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), "source_id", "sink_id"))
+
+
+from . import format_queries  # noqa: E402, F401 - it adds its queries to these

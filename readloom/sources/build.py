@@ -29,7 +29,7 @@ def _rest(i: int):
 
 
 def _error(rows: DataFrame, bad, message: str) -> DataFrame:
-    return rows.where(bad).select("file", "line_no", "kind", F.lit(message).alias("message"))
+    return rows.where(bad).select("file", "line_no", F.lit(message).alias("message"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -40,7 +40,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def tables(records: DataFrame) -> tuple[GraphSet, DataFrame]:
-    """The tables of all records that are valid, and the errors (file, line_no, kind, message) of the others.
+    """The tables of all records that are valid, and the errors (file, line_no, message) of the others.
 
     Rules that depend on order (an attribute needs its element before it, a later node replaces an earlier one and its
     attributes) go by line number. Positions (``ord``) follow first mentions: twice the line number, one more for the
@@ -183,16 +183,23 @@ def _maps(rows: DataFrame, key: list[str]) -> DataFrame:
     return flat.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "v")))).alias("attributes"))
 
 
-def _finish(spark: SparkSession, records: DataFrame, mode: str, links: str) -> GraphSet:
+def _made(records: DataFrame, links: str) -> tuple[GraphSet, DataFrame]:
+    records = materialise(records, "records")
+    made, errors = tables(records)
+    if links == "permissive":
+        errors = errors.where(~F.col("message").startswith("the link's"))
+    text = records.select("file", "line_no", "kind", F.array_join("tokens", " ").alias("record"))
+    errors = errors.join(text, ["file", "line_no"]).select("file", "line_no", "kind", "record", "message")
+    return made.map(lambda name, t: materialise(t, name)), errors
+
+
+def _finish(records: DataFrame, mode: str, links: str) -> GraphSet:
     from ..operators.validation import reference_errors
 
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError("mode is FAILFAST or PERMISSIVE")
-    made, errors = tables(materialise(records, "records"))
-    made = made.map(lambda name, t: materialise(t, name))
+    made, errors = _made(records, links)
     if mode == "FAILFAST":
-        if links == "permissive":
-            errors = errors.where(~F.col("message").startswith("the link's"))
         first = errors.orderBy("file", "line_no", "message").limit(5).collect()
         if not first:
             first = reference_errors(made, check_links=links != "permissive").limit(5).collect()
@@ -206,9 +213,14 @@ def load(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST", li
 
     ``links`` = permissive accepts links to graphs that aren't there, as selecting and splitting write them.
     """
-    return _finish(spark, read_records(spark, paths), mode, links)
+    return _finish(read_records(spark, paths), mode, links)
+
+
+def read(spark: SparkSession, paths: str | list[str], links: str = "strict") -> tuple[GraphSet, DataFrame]:
+    """Read files as :func:`load` does in mode PERMISSIVE, with a row (file, line_no, kind, record, message) for each record left out."""
+    return _made(read_records(spark, paths), links)
 
 
 def loads(spark: SparkSession, text: str, mode: str = "FAILFAST", links: str = "strict") -> GraphSet:
     """Read a text in memory."""
-    return _finish(spark, parse_records(spark, text), mode, links)
+    return _finish(parse_records(spark, text), mode, links)
