@@ -101,6 +101,53 @@ def test_queries_on_all_rows(spark, sf_dir):
     assert np.mean([r.predicted == labels[r.doc_id] for r in got if r.held_out and r.doc_id in labels]) > 0.9
 
 
+def plain_sample(docs, labels):
+    """Features and labels of the rows that aren't held out, by id."""
+    ids = sorted(i for i, q in labels.items() if q is not None and i in docs and zlib.crc32(str(i).encode()) % 3 != 1)
+    return np.array([statistics((docs[i] or "").encode())[1] for i in ids]), np.array([float(labels[i]) for i in ids])
+
+
+def test_verdicts_and_scores_by_a_plain_scorer(spark, sf_dir):
+    """Every row of both queries, scored a tree and a table at a time from models fitted on a plainly made sample."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    x, y = plain_sample(docs, labels)
+    trees, gam = boosted_rules.fit(x, y), additive.fit(x, y)
+
+    def tree_score(row):
+        total = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if row[f[at]] > t[at] else 1)
+            total += v[at - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    def table_score(row):
+        total = gam.base + sum(t[sum(v > c for c in cuts)] for cuts, t, v in zip(gam.cuts, gam.tables, row, strict=True))
+        total += sum(t[sum(row[a] > c for c in gam.coarse[a]), sum(row[b] > c for c in gam.coarse[b])] for a, b, t in gam.pairs)
+        return 1 / (1 + np.exp(-total))
+
+    rows = {i: statistics((t or "").encode())[1] for i, t in docs.items()}
+    for r in queries.op4_quality_rules(spark, sf_dir).collect():
+        s = tree_score(rows[r.doc_id])
+        assert abs(r.tree_score - s) < 1e-9 and r.kept == (not r.base_failed and s >= 0.5)
+    for r in queries.op10_quality_classifier(spark, sf_dir).collect():
+        s = table_score(rows[r.doc_id])
+        assert abs(r.score - s) < 1e-9 and r.predicted == int(s >= 0.5)
+
+
+def test_repeated_labelled_rows_are_one(spark):
+    """However often a labelled document comes, the sample has a row of it."""
+    from readloom.llm.labelled import labelled_sample
+
+    rows = [(i, f"text {i} of some words") for i in range(60)] * 2 + [(7, "another text of seven")] * 300 + [(None, "x")]
+    labels = [(i, i % 2) for i in range(60)] + [(8, 1), (None, 1), (9, None), (99, 1)]
+    x, y = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(x) == len(y) == len(kept) and y.tolist() == [1.0 if i == 8 else i % 2 for i in kept]
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "w " * 200_000)], "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("_raw", F.lit("x"))
     x, y = sample(200)
@@ -108,4 +155,5 @@ def test_edge_rows(spark):
     assert len({r.score for r in additive.quality_scores(df, additive.fit(x, y, rounds=2)).collect()[:3]}) == 1
     assert boosted_rules.passing(df, boosted_rules.fit(x, y, trees=2)).columns == df.columns
     none = df.limit(0)
+    assert additive.quality_scores(none, additive.fitted(none, none.selectExpr("doc_id", "1 AS quality"))).count() == 0
     assert boosted_rules.quality_rules(none, boosted_rules.fitted(none, none.selectExpr("doc_id", "1 AS quality"))).count() == 0
