@@ -47,9 +47,9 @@ def test_near_copies_go(spark, sf_dir):
     left = {r.doc_id for r in cp.near_dedup(spark, df, sf_dir).collect()}
     gone = [(i, t) for i, t in rows if i not in left]
     assert all(max(plain_similarity(t, u) for j, u in rows if j != i and j // 5 == i // 5) > 0.65 for i, t in gone)
-    for (i, a), (j, b) in itertools.combinations(rows, 2):
-        if i // 5 == j // 5 and plain_similarity(a, b) >= 0.85:
-            assert not {i, j} <= left
+    # of the pairs that are similar enough, at least nine of ten don't both stay, as the operator states
+    both = [{i, j} <= left for (i, a), (j, b) in itertools.combinations(rows, 2) if i // 5 == j // 5 and plain_similarity(a, b) >= 0.8]
+    assert len(both) > 30 and sum(both) <= 0.1 * len(both)
 
 
 def test_empty_and_odd_tables(spark, sf_dir, tmp_path):
