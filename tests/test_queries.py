@@ -9,7 +9,7 @@ import __spark_entry__
 from readloom import queries as q
 
 CHEAP = ["node_table", "edge_table", "edge_weight", "degrees", "introns", "chain_nodes", "chain_edges", "traverse_paths", "read_first_paths", "is_connected", "is_cyclic_unbucketed", "topology_simple",
-         "gtf_lines", "vcf_lines", "json_nodes", "dot_lines", "links_for_ids", "merge_rename", "chain_build"]
+         "gtf_lines", "vcf_lines", "json_nodes", "dot_lines", "links_for_ids", "merge_rename", "chain_build", "load_nodes", "load_edges", "load_errors", "load_string", "summary_lines", "split_text", "fasta_lookup"]
 
 
 @pytest.fixture(scope="module")
