@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from . import cli_help
 from .operators import analytics, datasets, traversal
 from .plans import exports, write
 from .sources.build import load
@@ -38,11 +39,17 @@ def parser() -> argparse.ArgumentParser:
     q = command("query", "the graphs of some ids")
     q.add_argument("-i", "--ids", required=True, help="ids, separated by commas")
     q.add_argument("--ids-file", help="a file with an id per line")
+    shell = commands.add_parser("completions", help="print a completion script for a command named readloom")
+    shell.add_argument("shell", choices=sorted(cli_help.SHELLS))
+    commands.add_parser("markdown-help", help="print this help as Markdown")
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command in ("completions", "markdown-help"):
+        sys.stdout.write(cli_help.SHELLS[args.shell](parser()) if args.command == "completions" else cli_help.markdown(parser()))
+        return 0
     spark = spark or SparkSession.builder.appName("readloom").getOrCreate()
     if args.command == "merge":
         g = datasets.merge(load(spark, args.inputs))

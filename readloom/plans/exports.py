@@ -18,6 +18,8 @@ from ..operators.lookups import numbered
 from ..schema import GraphSet
 
 ORDER = ["graph_ord", "row_ord"]
+#: Header lines in a chunk, about, and chunks that are broadcast at most, when a collection is split.
+HEADERS_AT_ONCE, HEADER_CHUNKS = 1000, 64
 _TAB = "\t"
 
 
@@ -275,10 +277,12 @@ def split_lines(g: GraphSet) -> DataFrame:
     from ..operators.datasets import split_links
 
     own = text_lines(g.with_tables(links=g.links.limit(0)))
-    # every file repeats the headers: they are carried as one array, so that graphs are not crossed with header rows
-    head = own.where("graph_id IS NULL").groupBy().agg(F.array_sort(F.collect_list(F.struct("graph_ord", "row_ord", "line"))).alias("h"))
-    one = F.lit(1)
-    shared = g.graphs.select("graph_id").distinct().withColumn("k", one).join(head.withColumn("k", one), "k").select("graph_id", F.inline("h"))
+    # every file repeats the headers: they go in chunks of bounded size, which graphs are joined with by number
+    heads = own.where("graph_id IS NULL")
+    chunks = -(-heads.count() // HEADERS_AT_ONCE)
+    dealt = heads.groupBy(F.pmod(F.xxhash64("row_ord", "line"), F.lit(chunks)).alias("k")).agg(F.collect_list(F.struct("graph_ord", "row_ord", "line")).alias("h"))
+    each = g.graphs.select("graph_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    shared = each.join(F.broadcast(dealt) if chunks <= HEADER_CHUNKS else dealt, "k").select("graph_id", F.inline("h"))
     links = split_links(g).withColumnRenamed("for_graph", "graph_id")
     last = F.lit(2**62).alias("graph_ord")
     title = links.select("graph_id").distinct().select("graph_id", last, F.explode(F.array(F.struct(_key(0, 0).alias("k"), F.lit("").alias("t")), F.struct(_key(1, 0).alias("k"), F.lit("# Inter-graph links").alias("t")))).alias("x")).select(

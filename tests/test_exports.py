@@ -1,10 +1,11 @@
 import itertools
 import json
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
-from readloom import cli
+from readloom import cli, cli_help
 from readloom.operators import datasets, traversal
 from readloom.plans import exports
 from readloom.sources.build import load, loads
@@ -75,6 +76,36 @@ def test_select_merge_split(spark, tmp_path):
     assert datasets.merge(load(spark, [str(default)])).graphs.first().graph_id == "TSG_DEFAULT_GRAPH_0"
 
 
+def test_split_repeats_every_header(spark, monkeypatch):
+    """However many chunks the headers take, and however those are joined, each graph's file has them all, in order."""
+    g = loads(spark, "".join(f"H K{i} v\n" for i in range(23)) + TWO_GRAPHS)
+    want = text(exports.split_lines(g).where("graph_id = 'g1'"))
+    assert [x.split("\t")[1] for x in want if x.startswith("H")] == [*(f"K{i}" for i in range(23)), "TSG", "PG"]
+    monkeypatch.setattr(exports, "HEADERS_AT_ONCE", 3)
+    for broadcast in (100, 1):
+        monkeypatch.setattr(exports, "HEADER_CHUNKS", broadcast)
+        assert text(exports.split_lines(g).where("graph_id = 'g1'")) == want
+        assert exports.split_lines(g).where("line LIKE 'H%'").count() == 2 * 25
+
+
+def test_help(capsys):
+    names = {name for name, _, _ in cli_help.commands(cli.parser())}
+    assert {"summary", "query", "split", "completions"} <= names
+    for shell in cli_help.SHELLS:
+        assert cli.main(["completions", shell]) == 0
+        out = capsys.readouterr().out
+        assert all(name in out for name in names) and "ids-file" in out
+
+    def complete(words, at):
+        script = cli_help.bash(cli.parser()) + f'COMP_WORDS=(readloom {words}); COMP_CWORD={at}; _readloom; echo "${{COMPREPLY[@]}}"'
+        return subprocess.run(["bash", "--norc", "-c", script], capture_output=True, text=True, check=True, cwd="/").stdout.split()
+
+    assert complete("s", 1) == ["summary", "split"] and "--ids-file" in complete("query --ids", 2)
+    assert cli.main(["markdown-help"]) == 0
+    page = capsys.readouterr().out
+    assert all(f"## `readloom {name}`" in page for name in names) and "`--text-path`" in page
+
+
 def test_cli(spark, tmp_path, capsys):
     a = tmp_path / "a.tsg"
     a.write_text(TWO_GRAPHS)
