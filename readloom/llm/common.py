@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, new_dir, put, shared_root, store  # noqa: F401 - the operators take them from here
+from ..storage import discard, materialise, new_dir, put, shared_root, store  # noqa: F401 - the operators take them from here
 
 #: The ASCII white space that separates words.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, sized
+from .common import discard, fresh, materialise, sized
 
 MAX_BITS = 3
 #: Differing bits of similar texts' fingerprints of words.
@@ -336,7 +336,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star contraction until the set of links stays the same. A hub's minimum is
     pre-aggregated and stored, so that the join on a hub's key has a plain exchange on either side, which adaptive
-    execution can split.
+    execution can split. A round's tables are deleted once the next one's are written.
     """
     links = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -344,12 +344,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: each larger neighbour of a node links to the node's smallest neighbour (itself included)
         near = both(links)
-        low = materialise(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialise(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: each smaller neighbour of a node, and the node, link to the smallest of them
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = materialise(small.where("u <> v").distinct(), "links")
+        before, links = links, materialise(small.where("u <> v").distinct(), "links")
+        discard(before, least, low)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from readloom import storage
 from readloom.llm import queries, simhash
 
 
@@ -203,3 +204,11 @@ def test_checked_links_span_what_brute_force_links(spark, monkeypatch):
         monkeypatch.setattr(simhash, "FRONT", front)
         got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
         assert [int(got.get(f"n{i:03d}", f"n{i:03d}")[1:]) for i in range(260)] == [find(i) for i in range(260)]
+
+
+def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
+    """A long chain takes several rounds of contraction, whose tables go when the next ones are there."""
+    monkeypatch.setattr(storage, "shared_root", lambda spark: f"file://{tmp_path}")
+    got = simhash.components(spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 0) for i in range(1, 41)]
+    assert len(list((tmp_path / "readloom").iterdir())) == 1
