@@ -18,7 +18,10 @@ Components come from the forests by rounds of star contraction on tables, cut by
 
 Fingerprints of three-word shingles within three bits find few of the pairs that share 0.8 of their shingles of five words.
 For those, :func:`similar` joins two fingerprints of words, by the logarithms of their counts, in the same way within four
-bits, which most such pairs keep to, and keeps the links whose sketches of five-word shingles agree.
+bits, which most such pairs keep to, and keeps the links whose sketches of five-word shingles agree. Many different texts
+can share one such fingerprint, and a crowd of near copies keeps together in every band. So the members of crowded bands
+are first held against some of them (:func:`led`); of the clusters that come of it no two members are compared again, but
+all others are with each of them.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints in one subtrie that a task joins as a whole.
 CROWD = 1024
+#: Fingerprints in a chunk that isn't joined with itself.
+WIDE = 16 * CROWD
 #: Fingerprints in one subtrie that are joined by pairs of chunks.
 CHUNKED = 64 * CROWD
 #: Node pairs of a trie join that are expanded at once (some 100 MB), and pairs of keys below which they aren't expanded further.
@@ -55,6 +60,8 @@ BLOCK = 100_000
 WORDS, SIMILAR, MARGIN = 5, 0.8, 0.025
 #: Hash minima in a sketch (an estimate's standard error is 0.025 at 0.8), and equal bits of the 64 of their fingerprints.
 MINIMA, BESIDE = 256, 50
+#: Members of a crowd that all of them are held against, on average, and members that are at once.
+LEADERS, LED = 64, 4096
 #: Shingles whose minima are taken at once, and words whose hashes a worker remembers.
 STRIP, REMEMBERED = 4096, 1_000_000
 
@@ -119,18 +126,42 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> tuple[n
     return (np.concatenate(kept_a), np.concatenate(kept_b)) if kept_a else (none, none)
 
 
-def _nearest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The links of a spanning forest that prefers those of the least ``far``, and that of each."""
-    parent, out = np.arange(n), []
-    for d in np.unique(far):
+def _nearest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of a spanning forest that prefers those of the least ``far``, and that of each.
+
+    ``levels`` gets the components by links of ``far`` below 3, below 6 and so on, in its rows from 1.
+    """
+    parent, out = np.arange(n), [(a[:0], b[:0], far[:0])]
+    for d in range(65 - BESIDE):
         here = far == d
-        x, y = _forest(n, a[here], b[here], parent)
-        out.append((x, y, np.full(len(x), d)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (a, b, far)
+        if here.any():
+            x, y = _forest(n, a[here], b[here], parent)
+            out.append((x, y, np.full(len(x), d, dtype=far.dtype)))
+        if levels is not None and d % 3 == 2:
+            levels[(d + 1) // 3] = _find(parent, np.arange(n))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _pairs(front: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The index pairs of pairs of ranges, about ``FRONT`` at once; of a range with itself each pair once."""
+    step = np.maximum(1, FRONT // (front[:, 3] - front[:, 2]))
+    cuts = -(-(front[:, 1] - front[:, 0]) // step)
+    row = np.repeat(np.arange(len(front)), cuts)
+    a0 = front[row, 0] + (np.arange(len(row)) - np.repeat(cuts.cumsum() - cuts, cuts)) * step[row]
+    b0, high = front[row, 2], (front[:, 3] - front[:, 2])[row]
+    many = (np.minimum(a0 + step[row], front[row, 1]) - a0) * high
+    other = (front[:, 0] != front[:, 2])[row]
+    edge = np.flatnonzero(np.diff((many.cumsum() - many) // FRONT)) + 1
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(row)], strict=True):
+        at = np.repeat(np.arange(lo, hi), many[lo:hi])
+        k = np.arange(len(at)) - np.repeat(many[lo:hi].cumsum() - many[lo:hi], many[lo:hi])
+        a, b = a0[at] + k // high[at], b0[at] + k % high[at]
+        once = (a < b) | other[at]
+        yield a[once], b[once]
 
 
 def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: int = 64, budget: int = MAX_BITS,
-               beside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+               beside: np.ndarray | None = None, other: np.ndarray | None = None, apart: tuple[tuple[int, int], ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as index pairs, of the links between keys within ``budget`` bits.
 
     ``keys``: unsigned; sorted within each range. ``roots``: pairs of ranges (a_lo, a_hi, b_lo, b_hi) that are joined,
@@ -138,30 +169,36 @@ def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: i
     search for the next bit. Node pairs are walked depth first in blocks of ``FRONT``, so memory stays bounded.
 
     With ``beside``, a second word of each key, a link needs ``BESIDE`` equal bits of those at least too, and the forest
-    prefers links that differ least there.
+    prefers links that differ least there. With ``other``, a link needs more than ``budget`` differing bits of those. Links need
+    a differing bit in each of the bands ``apart`` (lowest bit and mask).
     """
     n = len(keys)
     parent = np.arange(n)
     out_a, out_b, out_far = [], [], []
-    held = 0
+    held = settled = 0
+    levels = None
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal held
+        nonlocal held, settled, levels
         if beside is None:
             a, b = _forest(n, a, b, parent)
         else:
             far = np.bitwise_count(beside[a] ^ beside[b])
             near = far <= 64 - BESIDE
+            if levels is not None:  # nearer links join them already
+                near[near] = levels[(far[near] + 1) // 3, a[near]] != levels[(far[near] + 1) // 3, b[near]]
             a, b = a[near], b[near]
             out_far.append(far[near])
         out_a.append(a)
         out_b.append(b)
         held += len(a)
-        if beside is not None and held > FRONT:  # what a part's forest leaves out, the whole one does
-            got = _nearest(n, *map(np.concatenate, (out_a, out_b, out_far)))
+        if beside is not None and held > settled + FRONT // 2:  # what a part's forest leaves out, the whole one does
+            if levels is None:
+                levels = np.tile(np.arange(n), ((65 - BESIDE) // 3 + 1, 1))
+            got = _nearest(n, *map(np.concatenate, (out_a, out_b, out_far)), levels)
             for kept, now in zip((out_a, out_b, out_far), got, strict=True):
                 kept[:] = [now]
-            held = len(got[0])
+            held = settled = len(got[0])
 
     start = np.array(roots, dtype=np.int64).reshape(-1, 4)
     stack = [(bits - 1, start, np.zeros(len(start), dtype=np.int8))]
@@ -171,38 +208,43 @@ def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: i
             half = len(front) // 2
             stack += [(bit, front[half:], used[half:]), (bit, front[:half], used[:half])]
             continue
+        for low, mask in apart:
+            if bit == low - 1:
+                differ = ((keys[front[:, 0]] ^ keys[front[:, 2]]) >> np.uint64(low)) & np.uint64(mask) != 0
+                front, used = front[differ], used[differ]
         wide, high = front[:, 1] - front[:, 0], front[:, 3] - front[:, 2]
-        few = wide * high <= LEAF
-        if few.any():  # few keys are left: the rest of the walk is a count of their differing bits
-            many, high = (wide * high)[few], high[few]
-            row = np.repeat(np.arange(len(many)), many)
-            at = np.arange(len(row)) - np.repeat(many.cumsum() - many, many)
-            a, b = front[few, 0][row] + at // high[row], front[few, 2][row] + at % high[row]
-            near = (np.bitwise_count(keys[a] ^ keys[b]) <= budget) & ((a < b) | (front[few, 0] != front[few, 2])[row])
-            keep(a[near], b[near])
+        few = wide * high <= (LEAF if bit >= 0 or beside is None else np.inf)
+        if few.any():  # few keys are left, or equal ones to compare further: the rest of the walk is a count of their differing bits
+            for a, b in _pairs(front[few]):
+                x = keys[a] ^ keys[b]
+                near = np.bitwise_count(x) <= budget
+                for low, mask in apart:
+                    near &= (x >> np.uint64(low)) & np.uint64(mask) != 0
+                a, b = a[near], b[near]
+                if other is not None:
+                    near = np.bitwise_count(other[a] ^ other[b]) > budget
+                    a, b = a[near], b[near]
+                keep(a, b)
             front, used = front[~few], used[~few]
         if not len(front):
             continue
-        if bit < 0:  # equal keys below one leaf, or leaves within the budget: chain the ranges, or try all where there is more to compare
+        if bit < 0:  # equal keys below one leaf, or leaves within the budget: chain the ranges
             for a0, a1, b0, b1 in front.tolist():
                 a, b = np.arange(a0, a1), np.arange(b0, b1)
-                if beside is None:
-                    x, y = np.concatenate([a[:-1], b[:-1], a[:1]]), np.concatenate([a[1:], b[1:], b[:1]])
-                else:
-                    x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+                x, y = np.concatenate([a[:-1], b[:-1], a[:1]]), np.concatenate([a[1:], b[1:], b[:1]])
                 keep(x[x != y], y[x != y])
             continue
-        nodes, back = np.unique(np.concatenate([front[:, :2], front[:, 2:]]), axis=0, return_inverse=True)
-        back = back.reshape(-1)
-        cut = _split(keys, nodes, bit)[back]
+        ranges = np.concatenate([front[:, :2], front[:, 2:]])
+        nodes, back = np.unique(ranges[:, 0] * (n + 1) + ranges[:, 1], return_inverse=True)  # rows would be sorted far more slowly
+        cut = _split(keys, np.stack([nodes // (n + 1), nodes % (n + 1)], axis=1), bit)[back]
         ma, mb = cut[: len(front)], cut[len(front):]
         a0, a1, b0, b1 = front.T
         same = (a0 == b0) & (a1 == b1)
         zero = np.stack([a0, ma, b0, mb], axis=1)
         one = np.stack([ma, a1, mb, b1], axis=1)
         cross = np.stack([a0, ma, mb, b1], axis=1)
-        other = np.stack([ma, a1, b0, mb], axis=1)[~same]
-        nxt = np.concatenate([zero, one, cross, other])
+        crossed = np.stack([ma, a1, b0, mb], axis=1)[~same]
+        nxt = np.concatenate([zero, one, cross, crossed])
         use = np.concatenate([used, used, used + 1, used[~same] + 1])
         live = (use <= budget) & (nxt[:, 1] > nxt[:, 0]) & (nxt[:, 3] > nxt[:, 2])
         live &= ~((nxt[:, 0] == nxt[:, 2]) & (nxt[:, 1] == nxt[:, 3]) & (nxt[:, 1] - nxt[:, 0] == 1))
@@ -229,12 +271,33 @@ def _split(keys: np.ndarray, nodes: np.ndarray, bit: int) -> np.ndarray:
 # --- links over all fingerprints -----------------------------------------------------------------------------------
 
 
+def _whole_units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of ``batches``, sorted by unit, in tables of whole units, of some ``rows`` at least but for the last."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        unit = t.column("unit").to_numpy()
+        cut = int(np.argmax(unit == unit[-1]))
+        if cut:
+            yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), t.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _join_units(units: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """Spanning links (u, v) of each unit within ``budget`` bits; ``units``: unit, side, fp, and where links are checked further node and beside.
+    """Spanning links (u, v) of each unit within ``budget`` bits; ``units``: unit, side, fp, and where links are checked further node, beside, band and other.
 
     Side 0 is joined with itself, side 1 with side 2. u and v are fingerprints, or nodes. Rows arrive sorted by unit, and
     whole units are solved together in groups of some 200,000 rows, so a task's memory doesn't grow with its partition.
+    Of checked links, one that several first bands have is left to the highest, one that the first family has to that.
     """
+    width = 64 // (budget + 1)
     checked = "node" in units.columns
     kind, name = (pa.string(), "string") if checked else (pa.int64(), "long")
     schema = pa.schema([("u", kind), ("v", kind)])
@@ -253,26 +316,21 @@ def _join_units(units: DataFrame, budget: int = MAX_BITS) -> DataFrame:
             np.stack([lo[alone], hi[alone], lo[alone], hi[alone]], axis=1),
             np.stack([lo[first], hi[first], lo[first + 1], hi[first + 1]], axis=1),
         ])
-        x, y = trie_links(keys, roots, budget=budget, beside=t.column("beside").to_numpy().view(np.uint64)[order] if checked else None)
+        if checked:
+            beside, band, other = (t.column(c).to_numpy()[order] for c in ("beside", "band", "other"))
+            found = [(np.zeros(0, np.int64),) * 2]
+            for k in np.unique(band[roots[:, 0]]).tolist():
+                second, j = divmod(k, 64)
+                apart = tuple((width * i, (1 << width) - 1) for i in range(budget, j, -1))
+                found.append(trie_links(keys, roots[band[roots[:, 0]] == k], budget=budget, beside=beside.view(np.uint64), other=other.view(np.uint64) if second else None, apart=apart))
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        else:
+            x, y = trie_links(keys, roots, budget=budget)
         ids = t.column("node").combine_chunks().take(pa.array(order)) if checked else pa.array(keys.view(np.int64))
         return pa.RecordBatch.from_arrays([ids.take(pa.array(x)).cast(kind), ids.take(pa.array(y)).cast(kind)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n < 200_000:
-                continue
-            t = pa.Table.from_batches(held)
-            unit = t.column("unit").to_numpy()
-            cut = int(np.argmax(unit == unit[-1]))
-            if cut:
-                yield solve(t.slice(0, cut))
-                held, n = t.slice(cut).to_batches(), t.num_rows - cut
-        if n:
-            yield solve(pa.Table.from_batches(held))
+        yield from map(solve, _whole_units(batches, 200_000))
 
     return laid.mapInArrow(run, f"u {name}, v {name}")
 
@@ -281,7 +339,7 @@ def _bands(rows: DataFrame, bits: int, budget: int = MAX_BITS) -> DataFrame:
     """unit, fp, rest of every row once per band: its unit with the value of one of the bands of ``rest``, and the other bits.
 
     ``rest`` has ``bits`` bits. Of one band more than ``budget``, two fingerprints that agree so far and differ in that
-    many bits agree on one.
+    many bits agree on one. A column band tells which, plus 64 for a family after the first, if there is a column family.
     """
     width = bits // (budget + 1)
 
@@ -289,46 +347,87 @@ def _bands(rows: DataFrame, bits: int, budget: int = MAX_BITS) -> DataFrame:
         low = width * j
         value = F.shiftrightunsigned("rest", low).bitwiseAND((1 << width) - 1)
         above = F.shiftleft(F.shiftrightunsigned("rest", low + width), low) if low + width < bits else F.lit(0).cast("long")
-        return F.struct(F.xxhash64("unit", F.lit(j), value).alias("unit"), above.bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1)).alias("rest"))
+        which = [(F.lit(j) + F.when(F.col("family") > 1, 64).otherwise(0)).cast("long").alias("band")] if "family" in rows.columns else []
+        return F.struct(F.xxhash64("unit", F.lit(j), value).alias("unit"), above.bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1)).alias("rest"), *which)
+
+    kept = [c for c in rows.columns if c not in ("unit", "rest", "family")]
+    named = ["_b.band"] if "family" in rows.columns else []
+    return rows.select(*kept, F.explode(F.array(*[band(j) for j in range(budget + 1)])).alias("_b")).select("_b.unit", *kept, *named, "_b.rest")
 
-    kept = [c for c in rows.columns if c not in ("unit", "rest")]
-    return rows.select(*kept, F.explode(F.array(*[band(j) for j in range(budget + 1)])).alias("_b")).select("_b.unit", *kept, "_b.rest")
+
+def _crowds(rows: DataFrame) -> DataFrame:
+    """The units of more than ``CROWD`` rows (unit, n: their rows).
+
+    Where rows have a cluster, n is without the rows of the unit's largest one, which are m rows of the cluster top.
+    """
+    if "cluster" not in rows.columns:
+        return rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    each = rows.groupBy("unit", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.when(F.col("cluster").isNotNull(), F.struct("n", "cluster")))
+    units = each.groupBy("unit").agg(F.sum("n").alias("n"), top.alias("top")).where(F.col("n") > CROWD)
+    return units.withColumn("m", F.coalesce("top.n", F.lit(0).cast("long"))).select("unit", (F.col("n") - F.col("m")).alias("n"), "m", F.col("top.cluster").alias("top"))
 
 
 def _in_chunks(rows: DataFrame) -> DataFrame:
-    """Units of ``rows`` (unit, fp, n: its fingerprints) cut into chunks by hash, and one unit per pair of chunks."""
-    dealt = rows.withColumn("_k", F.ceil(F.col("n") / CROWD)).withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_k")))
-    return dealt.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).select(
-        F.xxhash64("unit", F.least("_c", "_d"), F.greatest("_c", "_d")).alias("unit"),
-        F.when(F.col("_c") == F.col("_d"), 0).when(F.col("_c") < F.col("_d"), 1).otherwise(2).alias("side"),
-        *[c for c in rows.columns if c not in ("unit", "n")])
+    """Units of ``rows`` (unit, fp, n: its fingerprints) cut into chunks by hash, and one unit per pair of chunks.
+
+    With m and top, the m rows of the cluster top have chunks of their own, which meet the others' but not each other.
+    """
+    kept = [c for c in rows.columns if c not in ("unit", "n", "m", "top", "cluster")]
+    key = F.xxhash64(*[c for c in ("fp", "node") if c in kept])
+    if "top" not in rows.columns:
+        dealt = rows.withColumn("_k", F.ceil(F.col("n") / CROWD)).withColumn("_c", F.pmod(key, F.col("_k")))
+        return dealt.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).select(
+            F.xxhash64("unit", F.least("_c", "_d"), F.greatest("_c", "_d")).alias("unit"),
+            F.when(F.col("_c") == F.col("_d"), 0).when(F.col("_c") < F.col("_d"), 1).otherwise(2).alias("side"), *kept)
+    one = F.lit(1).cast("long")
+    dealt = rows.withColumn("_top", F.coalesce(F.col("cluster") == F.col("top"), F.lit(False))).withColumn("_k", F.ceil(F.col("n") / CROWD)).withColumn("_t", F.ceil(F.col("m") / WIDE))
+    dealt = dealt.withColumn("_c", F.pmod(key, F.greatest(F.when(F.col("_top"), F.col("_t")).otherwise(F.col("_k")), one)))
+    upto = lambda n: F.slice(F.sequence(one - 1, F.greatest(n, one) - 1), 1, n.cast("int"))
+    unit = lambda x, y, side: F.struct(F.xxhash64("unit", x, y).alias("unit"), side.alias("side"))
+    met = lambda x, y, side: F.struct(F.xxhash64("unit", F.lit("top"), x, y).alias("unit"), F.lit(side).alias("side"))
+    c, k, t = F.col("_c"), F.col("_k"), F.col("_t")
+    others = F.transform(upto(k), lambda d: unit(F.least(c, d), F.greatest(c, d), F.when(c == d, 0).when(c < d, 1).otherwise(2)))
+    return dealt.withColumn("_u", F.explode(
+        F.when(F.col("_top"), F.transform(upto(k), lambda d: met(d, c, 2))).otherwise(F.concat(others, F.transform(upto(t), lambda d: met(c, d, 1))))
+    )).select("_u.unit", "_u.side", *kept)
 
 
 def links(unique: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     """A spanning set of links (u, v), within ``budget`` bits, between the rows of ``unique``: distinct fingerprints (fp), or distinct nodes.
 
-    With columns node and beside, links are between nodes and checked as :func:`trie_links` does; a column family keeps
-    fingerprints of several kinds apart. Two units whose keys hash alike are merely joined as one: links are tested on
+    With columns node and beside, links are between nodes and checked as :func:`trie_links` does; a column family (from 1) keeps
+    fingerprints of several kinds apart, and other has those of the first family, whose links later ones leave to it. Rows of one cluster (null: of none) are known to be linked, and in crowded units those
+    of the largest one aren't compared with each other. Two units whose keys hash alike are merely joined as one: links are tested on
     whole fingerprints.
     """
-    kept = [c for c in ("node", "beside") if c in unique.columns]
-    family = F.col("family").cast("long") if "family" in unique.columns else F.lit(0).cast("long")
-    rows, bits, found = unique.select(family.alias("unit"), "fp", *kept, F.col("fp").alias("rest")), 64, []
-    solved = lambda t: found.append(_join_units(t.select("unit", "side", "fp", *kept), budget))
+    checked = "node" in unique.columns
+    compared = ["node", "beside", "band", "other"] if checked else []
+    family = F.col("family").cast("long") if "family" in unique.columns else F.lit(1).cast("long")
+    other = F.col("other") if "other" in unique.columns else F.lit(0).cast("long")
+    more = [c for c in unique.columns if c == "cluster"]
+    rows = unique.select(family.alias("unit"), "fp", *(["node", "beside", other.alias("other"), family.alias("family"), *more] if checked else []), F.col("fp").alias("rest"))
+    bits, found = 64, []
+    solved = lambda t: found.append(_join_units(t.select("unit", "side", "fp", *compared), budget))
     alone = lambda t: t.withColumn("side", F.lit(0))
     while True:
         rows, bits = _bands(rows, bits, budget), bits - bits // (budget + 1)
-        sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
-        crowds = materialise(sizes, f"crowds{bits}")
+        crowds = materialise(_crowds(rows), f"crowds{bits}")
         if not crowds.take(1):
             solved(alone(rows))
             return reduce(DataFrame.unionByName, found)
         solved(alone(rows.join(crowds, "unit", "left_anti")))
-        vast = F.col("n") > CHUNKED if bits >= 16 else F.lit(False)  # equal fingerprints of several nodes can't be split
-        solved(_in_chunks(rows.join(crowds.where(~vast), "unit").select("unit", "fp", *kept, "n")))
-        if not crowds.where(vast).take(1):
+        vast = crowds.where(F.col("n") > CHUNKED if bits >= 16 else F.lit(False)).select("unit")
+        split = bool(vast.take(1))
+        if split and checked:  # equal fingerprints of several nodes can't be split
+            apart = rows.join(vast, "unit", "left_semi").groupBy("unit").agg(F.approx_count_distinct("fp").alias("n"))
+            vast = materialise(apart.where(F.col("n") > CHUNKED).select("unit"), f"vast{bits}")
+            split = bool(vast.take(1))
+        chunked = crowds.join(vast, "unit", "left_anti") if split else crowds
+        solved(_in_chunks(rows.drop("rest").join(chunked, "unit")))
+        if not split:
             return reduce(DataFrame.unionByName, found)
-        rows = materialise(rows.join(crowds.where(vast).select("unit"), "unit", "left_semi"), f"rest{bits}")
+        rows = materialise(rows.join(vast, "unit", "left_semi"), f"rest{bits}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -445,33 +544,95 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h long, node string, fp1 long, fp2 long, beside long, sketch binary")
 
 
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sketches, a row each, have an estimated similarity of ``SIMILAR``, less ``MARGIN``, or more."""
+    equal = (x == y).mean(axis=1)  # a 256th of the others are equal by chance
+    return (equal - 1 / 256) / (1 - 1 / 256) >= SIMILAR - MARGIN
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
+
+
 def alike(pairs: DataFrame) -> DataFrame:
     """The rows (u, v) of ``pairs`` (u, v, and their sketches a, b) whose estimated similarity is ``SIMILAR``, less ``MARGIN``, or more."""
     schema = pa.schema([("u", pa.string()), ("v", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA) for c in ("a", "b"))
-            equal = (x == y).mean(axis=1)  # a 256th of the others are equal by chance
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], schema=schema).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= SIMILAR - MARGIN))
+            near = _agree(_sketches(b.column("a")), _sketches(b.column("b")))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], schema=schema).filter(pa.array(near))
 
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u string, v string")
 
 
+def led(keyed: DataFrame, sketched: DataFrame, budget: int) -> DataFrame | None:
+    """Links (u, v) of alike sketches between the members of crowds and some of them; null without a crowd.
+
+    ``keyed``: node, family, fp; ``sketched``: node, sketch. A node goes to the largest of its crowded bands. Some
+    ``LEADERS`` of each crowd, by a hash, are held against all of its members, ``LED`` at once, so rows grow with the
+    members. Of the links a spanning forest of each part is returned.
+    """
+    banded = _bands(keyed.select(F.col("family").cast("long").alias("unit"), "node", F.col("fp").alias("rest")), 64, budget).select("unit", "node")
+    crowds = materialise(_crowds(banded), "crowds")
+    if not crowds.take(1):
+        return None
+    largest = banded.join(crowds, "unit").groupBy("node").agg(F.max(F.struct("n", "unit")).alias("_m")).select("node", "_m.n", "_m.unit")
+    part = lambda p, side: F.struct(F.xxhash64("unit", p).alias("unit"), F.lit(side).alias("side"))
+    parts = F.ceil(F.col("n") / LED)
+    every = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: part(p, 0))
+    leads = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LEADERS)) == 0
+    own = F.array(part(F.pmod(F.xxhash64("node", F.lit(1)), parts), 1))
+    dealt = largest.join(sketched, "node").withColumn("_p", F.explode(F.when(leads, F.concat(every, own)).otherwise(own)))
+    laid = dealt.select("_p.unit", "_p.side", "node", "sketch").repartition("unit").sortWithinPartitions("unit", "side")
+    schema = pa.schema([("u", pa.string()), ("v", pa.string())])
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        unit, side, sketch = t.column("unit").to_numpy(), t.column("side").to_numpy(), _sketches(t.column("sketch"))
+        parent, links = np.arange(len(unit)), [(np.zeros(0, np.int64),) * 2]
+        edge = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            for i in range(lo, lo + int((side[lo:hi] == 0).sum())):
+                near = lo + np.flatnonzero(_agree(sketch[i], sketch[lo:hi]))
+                links.append(_forest(len(unit), np.full(len(near), i), near, parent))
+        ids = t.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))).cast(pa.string()) for x in zip(*links, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(solve, _whole_units(batches, 2 * LED))
+
+    return materialise(laid.mapInArrow(run, "u string, v string").where("u <> v"), "led")
+
+
+def _clusters(ties: DataFrame) -> DataFrame | None:
+    """(node, cluster) of the components of ``ties`` (u, v) that have more than ``CROWD`` members; null without one."""
+    if ties.limit(CROWD).count() < CROWD:
+        return None
+    tied = components(ties).select("node", F.col("component").alias("cluster"))
+    tied = tied.unionByName(tied.select(F.col("cluster").alias("node"), "cluster").distinct())
+    large = materialise(tied.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("cluster"), "large")
+    return tied.join(large, "cluster", "left_semi") if large.take(1) else None
+
+
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As :func:`grouped`, by links of texts that share ``SIMILAR`` of their five-word shingles: (doc_id, h, fp), (fp, root, rep).
 
     Each of the two fingerprints of words goes through the trie join. Its forests prefer links whose third
     fingerprint, of the shingles, differs least; the sketches of a link's ends then decide. At least nine of ten pairs of
-    that similarity come to one group. ``fp`` is a text's node.
+    that similarity come to one group. ``fp`` is a text's node. In crowds, the links of :func:`led` come first.
     """
     marks = materialise(sketches(docs), "sketches")
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"fp{k}").alias("fp")) for k in (1, 2)])).alias("_k")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"fp{k}").alias("fp"), F.col("fp1").alias("other")) for k in (1, 2)])).alias("_k")
     unique = materialise(marks.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("fp1", "fp2", "beside", "sketch")]), "unique")
-    found = links(unique.select("node", "beside", kinds).select("node", "beside", "_k.family", "_k.fp"), WORD_BITS)
+    by_kind = lambda t, *also: t.select("node", "beside", *also, kinds).select("node", "beside", *also, "_k.family", "_k.fp", "_k.other")
+    ties = led(by_kind(unique), unique.select("node", "sketch"), WORD_BITS)
+    known = None if ties is None else _clusters(ties)
+    keyed = by_kind(unique) if known is None else by_kind(materialise(unique.select("node", "beside", "fp1", "fp2").join(known, "node", "left"), "known"), "cluster")
+    found = links(keyed, WORD_BITS)
     found = materialise(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
     side = lambda n, s: unique.select(F.col("node").alias(n), F.col("sketch").alias(s))
-    linked = components(alike(found.join(side("u", "a"), "u").join(side("v", "b"), "v"))).select("node", F.col("component").alias("root"))
+    near = alike(found.join(side("u", "a"), "u").join(side("v", "b"), "v"))
+    linked = components(near if ties is None else near.unionByName(ties)).select("node", F.col("component").alias("root"))
     group = unique.select("node", "rep").join(linked, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"), "rep")
     return marks.select("doc_id", "h", F.col("node").alias("fp")), materialise(group, "groups")
 

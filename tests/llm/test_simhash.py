@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -212,3 +213,74 @@ def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
     got = simhash.components(spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))).collect()
     assert sorted(tuple(r) for r in got) == [(i, 0) for i in range(1, 41)]
     assert len(list((tmp_path / "readloom").iterdir())) == 1
+
+
+def test_equal_keys_take_little_memory():
+    """Thousands of equal keys with different second words: as many links at once as a block has, not all pairs of them."""
+    rng = np.random.default_rng(4)
+    group = rng.integers(0, 5, 3000)
+    beside = rng.integers(0, 2**63, 5, dtype=np.uint64)[group] ^ (np.uint64(1) << rng.integers(0, 63, 3000, dtype=np.uint64))
+    tracemalloc.start()
+    a, b = simhash.trie_links(np.full(3000, 77, dtype=np.uint64), [(0, 3000, 0, 3000)], budget=4, beside=beside)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 2995 and (group[a] == group[b]).all() and peak < 100e6
+
+
+def test_known_clusters_and_families_lose_no_link(spark, monkeypatch):
+    """The links and those that are known of a cluster join what brute force joins, by the keys of either family."""
+    rng = np.random.default_rng(22)
+    one, two = (rng.choice(clustered(s, centres=3, each=40, spread=4), 240) for s in (5, 6))
+    beside = np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 63, 240, dtype=np.uint64))
+    beside[:40] = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    near = lambda k, i, j: np.bitwise_count(k[i] ^ k[j]) <= 4 and np.bitwise_count(beside[i] ^ beside[j]) <= 14
+    root = plain_groups(240, [(i, j) for i, j in itertools.combinations(range(240), 2) if near(one, i, j) or near(two, i, j)])
+    first = plain_groups(240, [(i, j) for i, j in itertools.combinations(range(240), 2) if near(one, i, j)])
+    largest = max(set(first), key=first.count)
+    mine = [i for i in range(240) if first[i] == largest]
+    assert 40 < len(mine) < 200 and len(set(root)) > 10
+    long = lambda x: int(np.uint64(x).view(np.int64))
+    rows = [(f"n{i:03d}", long(beside[i]), k, long(v[i]), long(one[i]), "c" if i in mine else None) for i in range(240) for k, v in ((1, one), (2, two))]
+    df = spark.createDataFrame(rows, "node string, beside long, family int, fp long, other long, cluster string")
+    known = spark.createDataFrame([(f"n{mine[0]:03d}", f"n{i:03d}") for i in mine[1:]], "u string, v string")
+    for crowd, chunked in ((1024, 65536), (8, 10**6), (8, 32)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "WIDE", 2 * crowd)
+        monkeypatch.setattr(simhash, "CHUNKED", chunked)
+        got = {r.node: r.component for r in simhash.components(simhash.links(df, 4).unionByName(known)).collect()}
+        assert [int(got.get(f"n{i:03d}", f"n{i:03d}")[1:]) for i in range(240)] == root
+
+
+def plain_groups(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_a_crowd_of_near_copies(spark, monkeypatch):
+    """Near copies of one text: rows of the join don't grow with their square, and those that are similar come to one group."""
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    monkeypatch.setattr(simhash, "WIDE", 64)
+    monkeypatch.setattr(simhash, "LEADERS", 8)
+    monkeypatch.setattr(simhash, "LED", 50)
+    rng = np.random.default_rng(8)
+    base = [f"w{int(x)}" for x in rng.integers(0, 300, 200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        text = list(base)
+        for p in rng.integers(0, 200, int(rng.integers(1, 3))):
+            text[p] = f"r{i}x{p}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(f"o{i}x{int(x)}" for x in rng.integers(0, 300, 60))) for i in range(20)]
+    dealt, join = [], simhash._join_units
+    monkeypatch.setattr(simhash, "_join_units", lambda units, budget: dealt.append(units.count()) or join(units, budget))
+    marks, group = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    root = {r.doc_id: r.root for r in marks.join(group, "fp").collect()}
+    assert len({root[i] for i in range(400)}) == 1 and len(set(root.values())) == 21
+    assert sum(dealt) < 10 * len(rows) * 5  # of pairs of chunks alone it would be some 25 rows for each of ten bands
