@@ -16,7 +16,11 @@ BIN = 10_000
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(reference_id, start, bases): the lines of each sequence, with the place of their first base, from 1."""
+    """(reference_id, start, bases): the lines of each sequence, with the place of their first base, from 1.
+
+    A path may be a directory or a pattern; its files are read as one text, in order of their names, so a sequence may go
+    on from one part file to the next.
+    """
     lines = spark.read.text(path).select(
         F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at")).alias("block"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("value"))
     title = F.when(F.col("value").startswith(">"), F.struct(F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("id"), F.col("row").alias("row")))
@@ -26,13 +30,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     local = local.withColumn("sum", F.sum("size").over(Window.partitionBy("block", "own").orderBy("row")))
     # per split: the title that is open at its end and the bases since then, and the bases before its first title
     ends = local.groupBy("block").agg(F.max_by("own", "row").alias("last"), F.max_by("sum", "row").alias("tail"), F.max(F.when(F.col("own").isNull(), F.col("sum"))).alias("head"))
-    before = Window.partitionBy("block.path").orderBy("block.at")
+    before = Window.partitionBy(F.lit(0)).orderBy("block.path", "block.at")  # a row per split
     runs = ends.withColumn("run", F.count("last").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     # of the splits since the last one with a title: its tail, and the whole of those without
     carried = runs.select(
         "block", F.last("last", True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("carry"),
         (F.coalesce(F.last(F.when(F.col("last").isNotNull(), F.col("tail")), True).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-         + F.coalesce(F.sum(F.when(F.col("last").isNull(), F.col("head"))).over(Window.partitionBy("block.path", "run").orderBy("block.at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("skip"))
+         + F.coalesce(F.sum(F.when(F.col("last").isNull(), F.col("head"))).over(Window.partitionBy("run").orderBy("block.path", "block.at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("skip"))
     placed = local.join(carried, "block").where((F.col("size") > 0) & F.coalesce("own", "carry").isNotNull())
     start = F.col("sum") - F.col("size") + 1 + F.when(F.col("own").isNull(), F.col("skip")).otherwise(0)
     return placed.select(F.coalesce("own.id", "carry.id").alias("reference_id"), start.cast("bigint").alias("start"), F.col("value").alias("bases"))

@@ -143,6 +143,18 @@ def test_fasta_annotation(spark, tmp_path):
     assert got == {"a": bases[8:20100], "b": bases[::-1][98:140], "d": "AC"}
 
 
+def test_fasta_in_part_files(spark, tmp_path):
+    """A sequence goes on from one part file to the next, and through one without a title."""
+    bases = "".join("ACGT"[(i * 7 + i // 5) % 4] for i in range(3_000))
+    lines = [">c1 about", *(bases[i : i + 60] for i in range(0, 3_000, 60)), ">c2", *(bases[::-1][i : i + 60] for i in range(0, 3_000, 60))]
+    (tmp_path / "ref").mkdir()
+    for k, (a, b) in enumerate([(0, 20), (20, 35), (35, 70), (70, 102)]):
+        (tmp_path / "ref" / f"part-{k:05d}.txt").write_text("\n".join(lines[a:b]) + "\n")
+    got = read_fasta(spark, str(tmp_path / "ref")).collect()
+    want = [("c1", i + 1, bases[i : i + 60]) for i in range(0, 3_000, 60)] + [("c2", i + 1, bases[::-1][i : i + 60]) for i in range(0, 3_000, 60)]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_stream(spark, tmp_path):
     from readloom.streaming.directory import watch
 
