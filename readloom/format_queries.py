@@ -195,7 +195,7 @@ _SAID = [
 @query("load_errors", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in _SAID) + ") v(record, message)")
 def load_errors(spark, sf_dir):
     """Malformed lines after all graphs: each an error row, and nothing else."""
-    g, errors = read(spark, written(spark, sf_dir, _BAD))
+    _, errors = read(spark, written(spark, sf_dir, _BAD), stored=False)
     return errors.select("record", "message")
 
 

@@ -71,6 +71,11 @@ def attribute(x: Column) -> Column:
     return F.when((F.size(p) == 3) & known, F.struct(F.get(p, F.lit(0)).alias("tag"), kind.alias("type"), F.get(p, F.lit(2)).alias("value")))
 
 
+def is_attribute(x: Column) -> Column:
+    """Whether :func:`attribute` has a value, by one pattern."""
+    return x.rlike(f"^[^:]*:[{''.join(ATTRIBUTE_TYPES)}][^:]*:")
+
+
 def attribute_map(items: Column) -> Column:
     """An array of (tag, type, value) as a map; the last of equal tags wins."""
     tags = F.array_distinct(F.transform(items, lambda a: a["tag"]))

@@ -13,6 +13,8 @@ from .text import parse_records, read_records
 
 _NO_ATTRIBUTES = f"CAST(map() AS {ATTRIBUTES})"
 _KEY = ["file", "graph_id"]
+#: Errors that are broadcast to the records at most.
+MAX_BROADCAST = 100_000
 
 
 class InvalidGraphs(ValueError):
@@ -39,9 +41,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def tables(records: DataFrame) -> tuple[GraphSet, DataFrame]:
+def tables(records: DataFrame, chains: bool = True) -> tuple[GraphSet, DataFrame]:
     """The tables of all records that are valid, and the errors (file, line_no, message) of the others.
 
+    ``chains`` false says that no record is a chain.
+
     Rules that depend on order (an attribute needs its element before it, a later node replaces an earlier one and its
     attributes) go by line number. Positions (``ord``) follow first mentions: twice the line number, one more for the
     sink of an edge line.
@@ -104,18 +108,21 @@ def tables(records: DataFrame) -> tuple[GraphSet, DataFrame]:
         F.expr("named_struct('reference_name1', '', 'reference_name2', '', 'breakpoint1', 0L, 'breakpoint2', 0L, 'sv_type', '')").alias("sv"))
     chain_edges = chain_edges.withColumn("n", F.row_number().over(Window.partitionBy(*_KEY, "edge_id").orderBy("line_no"))).where("n = 1").drop("n")
     chain_edges = chain_edges.join(e.select(*_KEY, "edge_id").distinct(), [*_KEY, "edge_id"], "left_anti")
-    every_edge = e.unionByName(chain_edges)
+    every_edge = e.unionByName(chain_edges) if chains else e
 
     # attributes of elements
-    a = of("A").withColumn("items", F.transform(_rest(3), T.attribute))
-    errors.append(_error(a, (size < 4) | F.coalesce(F.exists("items", lambda x: x.isNull()), F.lit(True)) | ~_tok(1).isin("N", "E", "U", "P", "C", "G"), "a malformed attribute line"))
-    a = a.where((size >= 4) & ~F.exists("items", lambda x: x.isNull()) & _tok(1).isin("N", "E", "U", "P", "C", "G")).select(
-        *_KEY, "line_no", "kind", _tok(1).alias("on"), _tok(2).alias("id"), "items")
+    known = _tok(1).isin("N", "E", "U", "P", "C", "G")
+    malformed = F.exists(_rest(3), lambda x: ~T.is_attribute(x))
+    errors.append(_error(of("A"), (size < 4) | malformed | ~known, "a malformed attribute line"))
+    a = of("A").where((size >= 4) & known & ~malformed).select(
+        *_KEY, "line_no", "kind", _tok(1).alias("on"), _tok(2).alias("id"), F.transform(_rest(3), T.attribute).alias("items"))
     missing = "the attribute's element is not defined before it"
 
     first_seen = mentioned.groupBy(*_KEY, "node_id").agg(F.min("ord").alias("ord"))
     last_node = n.groupBy(*_KEY, "node_id").agg(F.max_by(F.struct("reference_id", "strand", "exons", "reads", "sequence"), "line_no").alias("d"), F.max("line_no").alias("set_at"))
-    node = first_seen.unionByName(chain_nodes.groupBy(*_KEY, "node_id").agg(F.min("ord").alias("ord")).join(first_seen, [*_KEY, "node_id"], "left_anti"))
+    node = first_seen
+    if chains:
+        node = node.unionByName(chain_nodes.groupBy(*_KEY, "node_id").agg(F.min("ord").alias("ord")).join(first_seen, [*_KEY, "node_id"], "left_anti"))
     node = node.join(last_node, [*_KEY, "node_id"], "left")
     on_node = a.where("`on` = 'N'").withColumnRenamed("id", "node_id").join(first_seen.withColumnRenamed("ord", "seen"), [*_KEY, "node_id"], "left")
     errors.append(_error(on_node, F.col("seen").isNull() | (F.col("seen") > F.col("line_no") * 2), missing))
@@ -178,19 +185,26 @@ def tables(records: DataFrame) -> tuple[GraphSet, DataFrame]:
 
 def _maps(rows: DataFrame, key: list[str]) -> DataFrame:
     """The attribute map of each key; of equal tags the last line's wins, and within a line the last."""
-    flat = rows.select(*key, "line_no", F.posexplode("items").alias("pos", "a")).groupBy(*key, "a.tag").agg(
+    # dealt by the key, the rows need no further exchange for the tags, the maps and the join that follows
+    flat = rows.select(*key, "line_no", "items").repartition(*key).select(*key, "line_no", F.posexplode("items").alias("pos", "a")).groupBy(*key, "a.tag").agg(
         F.max_by(F.struct("a.type", "a.value"), F.struct("line_no", "pos")).alias("v"))
     return flat.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "v")))).alias("attributes"))
 
 
 def _made(records: DataFrame, links: str) -> tuple[GraphSet, DataFrame]:
-    records = materialise(records, "records")
-    made, errors = tables(records)
+    """The tables, as plans over the stored records, and the stored errors with their records."""
+    records = materialise(records, "records", by=("kind",))
+    made, errors = tables(records, chains=bool(records.where("kind = 'C'").take(1)))
     if links == "permissive":
         errors = errors.where(~F.col("message").startswith("the link's"))
+    errors = materialise(errors, "errors")
+    few = errors.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     text = records.select("file", "line_no", "kind", F.array_join("tokens", " ").alias("record"))
-    errors = errors.join(text, ["file", "line_no"]).select("file", "line_no", "kind", "record", "message")
-    return made.map(lambda name, t: materialise(t, name)), errors
+    return made, text.join(F.broadcast(errors) if few else errors, ["file", "line_no"]).select("file", "line_no", "kind", "record", "message")
+
+
+def _stored(made: GraphSet) -> GraphSet:
+    return made.map(lambda name, t: materialise(t, name))
 
 
 def _finish(records: DataFrame, mode: str, links: str) -> GraphSet:
@@ -199,12 +213,13 @@ def _finish(records: DataFrame, mode: str, links: str) -> GraphSet:
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError("mode is FAILFAST or PERMISSIVE")
     made, errors = _made(records, links)
-    if mode == "FAILFAST":
-        first = errors.orderBy("file", "line_no", "message").limit(5).collect()
-        if not first:
+    first = errors.orderBy("file", "line_no", "message").limit(5).collect() if mode == "FAILFAST" else []
+    if not first:
+        made = _stored(made)
+        if mode == "FAILFAST":
             first = reference_errors(made, check_links=links != "permissive").limit(5).collect()
-        if first:
-            raise InvalidGraphs("; ".join(" ".join(str(v) for v in r) for r in first))
+    if first:
+        raise InvalidGraphs("; ".join(" ".join(str(v) for v in r) for r in first))
     return made
 
 
@@ -216,9 +231,13 @@ def load(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST", li
     return _finish(read_records(spark, paths), mode, links)
 
 
-def read(spark: SparkSession, paths: str | list[str], links: str = "strict") -> tuple[GraphSet, DataFrame]:
-    """Read files as :func:`load` does in mode PERMISSIVE, with a row (file, line_no, kind, record, message) for each record left out."""
-    return _made(read_records(spark, paths), links)
+def read(spark: SparkSession, paths: str | list[str], links: str = "strict", stored: bool = True) -> tuple[GraphSet, DataFrame]:
+    """Read files as :func:`load` does in mode PERMISSIVE, with a row (file, line_no, kind, record, message) for each record left out.
+
+    Without ``stored`` the tables are made from the stored records as they are asked for, for callers that want the errors or few tables.
+    """
+    made, errors = _made(read_records(spark, paths), links)
+    return (_stored(made) if stored else made), errors
 
 
 def loads(spark: SparkSession, text: str, mode: str = "FAILFAST", links: str = "strict") -> GraphSet:

@@ -19,13 +19,15 @@ def numbered(lines: DataFrame) -> DataFrame:
     """(file, block, row, value) to records: file, line_no, graph_id, kind, tokens."""
     in_block = Window.partitionBy("file", "block").orderBy("row")
     upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    cut = lines.withColumn("tokens", T.tokens(F.col("value"))).withColumn("kind", F.get("tokens", F.lit(0)))
-    section = F.when(F.col("kind") == "G", F.get("tokens", F.lit(1)))
-    local = cut.withColumn("n", F.row_number().over(in_block)).withColumn("own", F.last(section, True).over(upto))
-    ends = local.groupBy("file", "block").agg(F.max("n").alias("lines"), F.max_by("own", "n").alias("last"))
+    # lines are sorted as they are and cut afterwards; only those of graphs are cut before
+    section = F.when(F.col("value").rlike(r"(?U)^\s*G(?:\s|$)"), F.get(T.tokens(F.col("value")), F.lit(1)))
+    found = lines.withColumn("section", section)
+    local = found.withColumn("n", F.row_number().over(in_block)).withColumn("own", F.last("section", True).over(upto))
+    ends = found.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.max_by("section", F.when(F.col("section").isNotNull(), F.col("row"))).alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("file", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("skip"), F.last("last", True).over(before).alias("carry"))
-    return local.join(carried, ["file", "block"]).select(
+    cut = local.join(carried, ["file", "block"]).withColumn("tokens", T.tokens(F.col("value"))).withColumn("kind", F.get("tokens", F.lit(0)))
+    return cut.select(
         "file", (F.col("skip") + F.col("n")).cast("bigint").alias("line_no"),
         F.coalesce("own", "carry", F.lit(DEFAULT_GRAPH)).alias("graph_id"), "kind", "tokens",
     ).where(F.col("kind").isin(*RECORDS))

@@ -24,11 +24,14 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/readloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Rows of each value of the columns ``by``, which should be few, are in files of their own.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
     return out

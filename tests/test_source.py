@@ -120,3 +120,21 @@ def test_field_parsers(spark):
     assert spark.range(1).select(T.as_int(m, "k").alias("v")).first().v is None
     with pytest.raises(Exception, match="no integer"):
         spark.range(1).select(T.typed(m, "k", strict=True).alias("v")).collect()
+
+
+def test_read_without_tables(spark, tmp_path, monkeypatch):
+    """A caller that wants the errors alone doesn't have all tables written."""
+    from readloom.sources import build
+
+    (tmp_path / "a.tsg").write_text("G g\nN a c:+:1-2 r:SO\nA N a k:i:1 n::2\nA N a k:ix:1\nA N b k:i:1\nA X a k:i:1\nA N a k:q:1\nA N a k:i\nU u\n")
+    written, real = [], build.materialise
+    monkeypatch.setattr(build, "materialise", lambda t, name, **o: written.append(name) or real(t, name, **o))
+    g, errors = build.read(spark, str(tmp_path / "a.tsg"), stored=False)
+    said = sorted((r.line_no, r.kind, r.record, r.message) for r in errors.collect())
+    assert said == [(i, k, x, m) for i, k, x, m in [
+        (3, "A", "A N a k:i:1 n::2", "a malformed attribute line"), (5, "A", "A N b k:i:1", "the attribute's element is not defined before it"), (6, "A", "A X a k:i:1", "a malformed attribute line"),
+        (7, "A", "A N a k:q:1", "a malformed attribute line"), (8, "A", "A N a k:i", "a malformed attribute line"), (9, "U", "U u", "a group needs an id and elements")]]
+    assert written == ["records", "errors"]
+    assert [(r.node_id, r.attributes["k"].value) for r in g.nodes.collect()] == [("a", "1")]
+    stored, again = build.read(spark, str(tmp_path / "a.tsg"))
+    assert again.count() == 6 and [tuple(r) for r in stored.nodes.collect()] == [tuple(r) for r in g.nodes.collect()] and "nodes" in written
