@@ -138,3 +138,15 @@ def test_read_without_tables(spark, tmp_path, monkeypatch):
     assert [(r.node_id, r.attributes["k"].value) for r in g.nodes.collect()] == [("a", "1")]
     stored, again = build.read(spark, str(tmp_path / "a.tsg"))
     assert again.count() == 6 and [tuple(r) for r in stored.nodes.collect()] == [tuple(r) for r in g.nodes.collect()] and "nodes" in written
+
+
+def test_load_finds_errors_first(spark, tmp_path, monkeypatch):
+    """A text with malformed records ends the loading before a table is written; records have files by their kind."""
+    from readloom.sources import build
+
+    written, real = [], build.materialise
+    monkeypatch.setattr(build, "materialise", lambda t, name, **o: written.append((name, o)) or real(t, name, **o))
+    (tmp_path / "a.tsg").write_text("G g\nN a c:+:1-2 r:SO\nU u\n")
+    with pytest.raises(InvalidGraphs, match="a group needs an id and elements"):
+        load(spark, str(tmp_path / "a.tsg"))
+    assert written == [("records", {"by": ("kind",)}), ("errors", {})]
